@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.cleaning import clean_numeric_frame
 from panelcast.operators.baselines import baseline_predictions
 from panelcast.operators.folds import assign_blocked_folds, blocked_fold_sizes
-from panelcast.operators.metrics import event_metrics
+from panelcast.operators.metrics import event_metric_columns
 from panelcast.operators.select import extract_features, quote
 from panelcast.operators.series import add_total, site_day_mean, weekly_pairs
+from panelcast.session import cut_lineage
 from panelcast.schema import (BASE_FEATURES, TOTAL_NAME, TOTAL_PARTS, TOXIN_FEATURES,
                               TOXIN_MODEL_FEATURES, FeatureSpec)
 
@@ -54,22 +55,36 @@ def validation_inputs(pairs: DataFrame, split_types=("year", "station_year")):
 
 
 def baseline_validation(pairs: DataFrame, spec: PanelSpec, *, split_types=("year", "station_year"),
-                        threshold: float = 1.0):
-    """Baseline-only blocked validation: (fold_metrics, predictions)."""
-    assigned, sizes = validation_inputs(pairs, split_types)
+                        threshold: float = 1.0, materialize: bool = True):
+    """Baseline-only blocked validation: (fold_metrics, predictions).
+
+    The pairs table feeds several aggregations; with ``materialize`` it is
+    checkpointed once (to ``spark.checkpoint.dir``) instead of being
+    recomputed from the raw table by every branch.
+    """
+    if materialize:
+        pairs = cut_lineage(pairs)
+    assigned = assign_blocked_folds(pairs, split_types)
     keep = [spec.site, *PAIR_METADATA]
     preds = baseline_predictions(assigned, current=spec.target, target=spec.target_out,
                                  site=spec.site, keep=keep)
-    return fold_metrics(preds, sizes, threshold), preds
+    return fold_metrics(preds, threshold), preds
 
 
-def fold_metrics(predictions: DataFrame, sizes: DataFrame, threshold: float,
+def fold_metrics(predictions: DataFrame, threshold: float,
                  model_details: DataFrame | None = None) -> DataFrame:
-    """Per (split type, fold, method) metrics with the fold sizes and fit details."""
+    """Per (split type, fold, method) metrics, fold sizes and fit details.
+
+    One aggregation over the predictions; ``train_rows`` is the split's row
+    count minus the fold's (each row is a test row exactly once per split
+    type and method), summed over the small per-fold table.
+    """
     keys = ["split_type", "fold", "method", "model", "baseline"]
-    m = predictions.groupBy(*keys).agg(F.min("nominal_horizon_days").alias("horizon_days"))
-    met = event_metrics(predictions, keys, threshold=threshold).join(m, keys)
-    out = met.join(sizes.select("split_type", "fold", "train_rows"), ["split_type", "fold"])
+    met = predictions.groupBy(*keys).agg(
+        F.min("nominal_horizon_days").alias("horizon_days"), F.count(F.lit(1)).alias("test_rows"),
+        *event_metric_columns("y_true", "y_pred", threshold))
+    split_rows = F.sum("test_rows").over(Window.partitionBy("split_type", "method"))
+    out = met.withColumn("train_rows", split_rows - F.col("test_rows"))
     if model_details is not None:
         out = out.join(model_details, ["split_type", "fold", "method"], "left")
     else:
