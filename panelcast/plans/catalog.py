@@ -482,6 +482,103 @@ FROM preds GROUP BY split_type, method, model, baseline"""
 
 SPEC_CUR = PanelSpec(site="site", time="time", target="total", features=list(panel.FEATURES))
 
+
+# ------------------------------------------------- random split / k-fold
+def horizon_dataset(spark: SparkSession, sf_dir: str, horizon_days: int = 7) -> DataFrame:
+    from panelcast.operators.series import shifted_target
+    return shifted_target(daily(spark, sf_dir), "total", horizon_days=horizon_days,
+                          date_col="Date", site="site", out="y")
+
+
+HORIZON_SQL = DAILY_SQL + """,
+hd AS (
+  SELECT * FROM (
+    SELECT *, lead(total, 7) OVER (PARTITION BY site, year("Date") ORDER BY "Date") AS y FROM dailyt)
+  WHERE y IS NOT NULL AND site IS NOT NULL
+),
+hk AS (SELECT *, md5(concat_ws(':', '42', CAST(site AS VARCHAR), CAST("Date" AS VARCHAR))) AS h
+       FROM hd),
+rk AS (SELECT *, row_number() OVER (ORDER BY h, site, "Date") - 1 AS shuffle_pos,
+              count(*) OVER () AS n_all FROM hk),
+sp AS (SELECT *, shuffle_pos < ceil(n_all * 0.2) AS is_test FROM rk)"""
+
+
+def q_exact_random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelcast.operators.ranking import exact_split
+    s = exact_split(horizon_dataset(spark, sf_dir), ["site", "Date"], test_size=0.2, seed=SEED)
+    return s.select("site", "Date", "is_test", "shuffle_pos")
+
+
+SQL_EXACT_RANDOM_SPLIT = "WITH " + HORIZON_SQL + """
+SELECT site, "Date", is_test, shuffle_pos FROM sp"""
+
+
+def q_kfold_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelcast.operators.ranking import kfold_assign
+    s = kfold_assign(horizon_dataset(spark, sf_dir), ["site", "Date"], k=5, test_size=0.2, seed=SEED)
+    return s.select("site", "Date", "is_test", "cv_fold")
+
+
+SQL_KFOLD_ASSIGN = "WITH " + HORIZON_SQL + """
+SELECT site, "Date", is_test,
+       CASE WHEN NOT is_test
+            THEN CAST(ntile(5) OVER (PARTITION BY is_test ORDER BY shuffle_pos) - 1 AS INTEGER) END
+         AS cv_fold
+FROM sp"""
+
+
+def q_fixed_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelcast.operators.ranking import fixed_sample
+    s = fixed_sample(horizon_dataset(spark, sf_dir), ["site", "Date"], 200, seed=SEED)
+    return round_doubles(s.select("site", "Date", "total", "y"))
+
+
+SQL_FIXED_SAMPLE = "WITH " + HORIZON_SQL + """
+SELECT site, "Date", round(total, 6) AS total, round(y, 6) AS y
+FROM hk ORDER BY h, site, "Date" LIMIT 200"""
+
+
+# ------------------------------------------------ fold-local statistics
+def _assigned_materialized(spark: SparkSession, sf_dir: str):
+    from panelcast.operators.folds import assign_blocked_folds
+    from panelcast.session import cut_lineage
+    return assign_blocked_folds(cut_lineage(pairs(spark, sf_dir)))
+
+
+def q_fold_standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelcast.operators.foldstats import complement_moments
+    m = complement_moments(_assigned_materialized(spark, sf_dir), panel.FEATURES)
+    return round_doubles(m)
+
+
+LONGV_SQL = ASSIGNED_SQL + """,
+longv AS (
+  SELECT split_type, fold, 'total' AS feature, total AS value FROM assigned
+  UNION ALL SELECT split_type, fold, 'qty', qty FROM assigned
+  UNION ALL SELECT split_type, fold, 'price', price FROM assigned
+  UNION ALL SELECT split_type, fold, 'part_a', part_a FROM assigned
+  UNION ALL SELECT split_type, fold, 'part_b', part_b FROM assigned
+),
+trv AS (SELECT f.split_type, f.fold, x.feature, x.value
+        FROM folds f JOIN longv x ON x.split_type = f.split_type AND x.fold <> f.fold)"""
+
+SQL_FOLD_STANDARDIZE = "WITH " + LONGV_SQL + """
+SELECT split_type, fold, feature, count(*) AS n, round(avg(value), 6) AS mean,
+       round(CASE WHEN stddev_pop(value) = 0 THEN 1.0 ELSE stddev_pop(value) END, 6) AS sd
+FROM trv GROUP BY split_type, fold, feature"""
+
+
+def q_fold_median_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelcast.operators.foldstats import complement_median
+    m = complement_median(_assigned_materialized(spark, sf_dir), panel.FEATURES,
+                          ["site", "current_date"])
+    return round_doubles(m)
+
+
+SQL_FOLD_MEDIAN_IMPUTE = "WITH " + LONGV_SQL + """
+SELECT split_type, fold, feature, round(median(value), 6) AS median
+FROM trv GROUP BY split_type, fold, feature"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "site_day_mean": q_site_day_mean,
     "weekly_pairs": q_weekly_pairs,
@@ -498,6 +595,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "event_metrics_by_fold": q_event_metrics_by_fold,
     "fold_summary": q_fold_summary,
     "pooled_summary": q_pooled_summary,
+    "exact_random_split": q_exact_random_split,
+    "kfold_assign": q_kfold_assign,
+    "fixed_sample": q_fixed_sample,
+    "fold_standardize": q_fold_standardize,
+    "fold_median_impute": q_fold_median_impute,
 }
 
 ORACLE_SQL_RAW: dict[str, str] = {
@@ -516,6 +618,11 @@ ORACLE_SQL_RAW: dict[str, str] = {
     "event_metrics_by_fold": SQL_EVENT_METRICS_BY_FOLD,
     "fold_summary": _summary_sql(),
     "pooled_summary": SQL_POOLED_SUMMARY,
+    "exact_random_split": SQL_EXACT_RANDOM_SPLIT,
+    "kfold_assign": SQL_KFOLD_ASSIGN,
+    "fixed_sample": SQL_FIXED_SAMPLE,
+    "fold_standardize": SQL_FOLD_STANDARDIZE,
+    "fold_median_impute": SQL_FOLD_MEDIAN_IMPUTE,
 }
 
 ORACLE_SQL: dict[str, str] = {k: sql_quantise(v) for k, v in ORACLE_SQL_RAW.items()}
