@@ -579,6 +579,16 @@ SQL_FOLD_MEDIAN_IMPUTE = "WITH " + LONGV_SQL + """
 SELECT split_type, fold, feature, round(median(value), 6) AS median
 FROM trv GROUP BY split_type, fold, feature"""
 
+
+# ------------------------------------------------------------------ models
+def q_linear_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fold-local OLS for every year and station-year fold (one Gram pass)."""
+    from panelcast.plans.weekly import fold_metrics, linear_predictions, model_details
+    assigned = _assigned_materialized(spark, sf_dir)
+    preds = linear_predictions(assigned, SPEC)
+    fm = fold_metrics(preds, THRESHOLD, model_details(preds, "linear"))
+    return round_doubles(fm)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "site_day_mean": q_site_day_mean,
     "weekly_pairs": q_weekly_pairs,
@@ -600,6 +610,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fixed_sample": q_fixed_sample,
     "fold_standardize": q_fold_standardize,
     "fold_median_impute": q_fold_median_impute,
+    "linear_blocked": q_linear_blocked,
 }
 
 ORACLE_SQL_RAW: dict[str, str] = {

@@ -115,3 +115,30 @@ def require_rows(df: DataFrame) -> DataFrame:
 
 def pair_columns(spec: PanelSpec) -> list:
     return [quote(c) for c in [*spec.features, spec.site, *PAIR_METADATA, spec.target_out]]
+
+
+def linear_predictions(assigned: DataFrame, spec: PanelSpec, *, medians: DataFrame | None = None,
+                       alpha: float = 0.0, method: str = "linear",
+                       label: str = "Linear Regression") -> DataFrame:
+    """Fold-local OLS (or ridge) predictions for every test row, clipped at 0."""
+    from panelcast.operators.linear import fit_blocked_linear, predict_blocked_linear
+    coefs = fit_blocked_linear(assigned, spec.features, spec.target_out, alpha=alpha,
+                               medians=medians)
+    keep = [spec.site, *PAIR_METADATA]
+    pred = predict_blocked_linear(assigned, coefs, spec.features)
+    return pred.select("split_type", "fold", F.lit(method).alias("method"),
+                       F.lit(label).alias("model"), F.lit("none").alias("baseline"),
+                       *[quote(c) for c in keep],
+                       quote(spec.target_out).cast("double").alias("y_true"), "y_pred")
+
+
+def model_details(predictions: DataFrame, method: str, best_params: str = "{}",
+                  inner_cv_splits: int = 0, best_inner_cv_rmse: float | None = None,
+                  fit_seconds: float = 0.0) -> DataFrame:
+    """One row per (split type, fold) with the fit details of a model."""
+    return (predictions.select("split_type", "fold").distinct()
+            .select("split_type", "fold", F.lit(method).alias("method"),
+                    F.lit(best_params).alias("best_params"),
+                    F.lit(best_inner_cv_rmse).cast("double").alias("best_inner_cv_rmse"),
+                    F.lit(inner_cv_splits).cast("int").alias("inner_cv_splits"),
+                    F.lit(float(fit_seconds)).alias("fit_seconds")))
