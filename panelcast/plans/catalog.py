@@ -589,6 +589,40 @@ def q_linear_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     fm = fold_metrics(preds, THRESHOLD, model_details(preds, "linear"))
     return round_doubles(fm)
 
+
+def q_knn_regress_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact fold-local KNN (k=5, uniform, p=2) for every held-out year."""
+    from panelcast.operators.folds import assign_blocked_folds
+    from panelcast.operators.foldstats import complement_moments
+    from panelcast.operators.knn import knn_neighbours, knn_predict
+    from panelcast.session import cut_lineage
+    assigned = assign_blocked_folds(cut_lineage(pairs(spark, sf_dir)), ("year",))
+    mom = complement_moments(assigned, panel.FEATURES)
+    nn = knn_neighbours(assigned, panel.FEATURES, "total_target", ["site", "current_date"], mom,
+                        k_max=5, p=2)
+    pred = knn_predict(nn, 5, "uniform")
+    truth = assigned.select("fold", "site", "current_date", F.col("total_target").alias("y_true"))
+    return round_doubles(pred.join(truth, ["fold", "site", "current_date"])
+                         .select("fold", "site", "current_date", "y_true", "y_pred"))
+
+
+def _knn_sql(feats=tuple(panel.FEATURES), k: int = 5) -> str:
+    sds = ", ".join(f"CASE WHEN stddev_pop(x.{f}) = 0 THEN 1.0 ELSE stddev_pop(x.{f}) END AS s_{f}"
+                    for f in feats)
+    dist = " + ".join(f"((q.{f} - c.{f}) / q.s_{f}) * ((q.{f} - c.{f}) / q.s_{f})" for f in feats)
+    return "WITH " + PAIRS_SQL + f""",
+yr AS (SELECT CAST(target_year AS VARCHAR) AS fold, * FROM pairs),
+fy AS (SELECT DISTINCT fold FROM yr),
+mom AS (SELECT f.fold, {sds} FROM fy f JOIN yr x ON x.fold <> f.fold GROUP BY f.fold),
+q AS (SELECT yr.*, {", ".join(f"mom.s_{f}" for f in feats)} FROM yr JOIN mom USING (fold)),
+pr AS (SELECT q.fold, q.site, q."current_date", q.total_target AS y_true, c.total_target AS cy,
+              sqrt({dist}) AS d
+       FROM q JOIN yr c ON c.fold <> q.fold),
+top AS (SELECT * FROM pr
+        QUALIFY row_number() OVER (PARTITION BY fold, site, "current_date" ORDER BY d) <= {k})
+SELECT fold, site, "current_date", round(min(y_true), 6) AS y_true, round(avg(cy), 6) AS y_pred
+FROM top GROUP BY fold, site, "current_date\""""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "site_day_mean": q_site_day_mean,
     "weekly_pairs": q_weekly_pairs,
@@ -611,6 +645,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fold_standardize": q_fold_standardize,
     "fold_median_impute": q_fold_median_impute,
     "linear_blocked": q_linear_blocked,
+    "knn_regress_year": q_knn_regress_year,
 }
 
 ORACLE_SQL_RAW: dict[str, str] = {
@@ -634,6 +669,7 @@ ORACLE_SQL_RAW: dict[str, str] = {
     "fixed_sample": SQL_FIXED_SAMPLE,
     "fold_standardize": SQL_FOLD_STANDARDIZE,
     "fold_median_impute": SQL_FOLD_MEDIAN_IMPUTE,
+    "knn_regress_year": _knn_sql(),
 }
 
 ORACLE_SQL: dict[str, str] = {k: sql_quantise(v) for k, v in ORACLE_SQL_RAW.items()}

@@ -59,3 +59,40 @@ def test_complement_median_matches_numpy(spark):
     for f in ["0", "1", "2", "3"]:
         for c in ["a", "b", "c"]:
             assert abs(got[(f, c)] - np.nanmedian(pdf[pdf.fold != f][c].to_numpy(dtype=float))) < 1e-12
+
+
+def _np_knn(pdf, feats, sds, k, p, weights):
+    preds = {}
+    for f in pdf.fold.unique():
+        tr, te = pdf[pdf.fold != f], pdf[pdf.fold == f]
+        X, Q = tr[feats].to_numpy(float), te[feats].to_numpy(float)
+        s = np.array([sds[(f, c)] for c in feats])
+        diff = np.abs(Q[:, None, :] - X[None, :, :]) / s
+        dist = diff.sum(-1) if p == 1 else np.sqrt((diff ** 2).sum(-1))
+        for qi, rid in enumerate(te.rid):
+            order = np.lexsort((tr.rid.to_numpy(), dist[qi]))[:k]
+            dd, yy = dist[qi][order], tr.y.to_numpy()[order]
+            if weights == "uniform":
+                preds[(f, rid)] = yy.mean()
+            elif (dd == 0).any():
+                preds[(f, rid)] = yy[dd == 0].mean()
+            else:
+                preds[(f, rid)] = (yy / dd).sum() / (1 / dd).sum()
+    return preds
+
+
+def test_knn_exact_against_brute_force(spark):
+    from panelcast.operators.foldstats import complement_moments
+    from panelcast.operators.knn import knn_neighbours, knn_predict
+    feats = ["a", "b", "c"]
+    df = _fixture(spark)
+    pdf = df.toPandas()
+    mom = complement_moments(df, feats)
+    sds = {(r["fold"], r["feature"]): r["sd"] for r in mom.collect()}
+    for p in (1, 2):
+        nn = knn_neighbours(df, feats, "y", ["rid"], mom, k_max=11, p=p).cache()
+        for k, wts in ((3, "uniform"), (11, "distance")):
+            got = {(r["fold"], r["rid"]): r["y_pred"] for r in knn_predict(nn, k, wts).collect()}
+            want = _np_knn(pdf, feats, sds, k, p, wts)
+            assert set(got) == set(want)
+            assert max(abs(got[key] - want[key]) for key in want) < 1e-9
