@@ -623,6 +623,67 @@ top AS (SELECT * FROM pr
 SELECT fold, site, "current_date", round(min(y_true), 6) AS y_true, round(avg(cy), 6) AS y_pred
 FROM top GROUP BY fold, site, "current_date\""""
 
+
+# ----------------------------------------------------------------- outliers
+def q_outlier_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contamination 0.5 % threshold and report per raw measure column."""
+    from panelcast.operators.outliers import flag_outliers
+    raw = panel.read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_quantity").alias("qty"),
+        F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("part_a"),
+        F.col("l_tax").alias("part_b"))
+    _, report = flag_outliers(raw, panel.MEASURES, ["l_orderkey", "l_linenumber"],
+                              contamination=0.005)
+    return round_doubles(report)
+
+
+SQL_OUTLIER_THRESHOLD = """
+WITH raw AS (SELECT l_orderkey, l_linenumber, l_quantity AS qty, l_extendedprice AS price,
+                    l_discount AS part_a, l_tax AS part_b FROM lineitem),
+lg AS (SELECT l_orderkey, l_linenumber, 'qty' AS "column", qty AS value FROM raw
+       UNION ALL SELECT l_orderkey, l_linenumber, 'price', price FROM raw
+       UNION ALL SELECT l_orderkey, l_linenumber, 'part_a', part_a FROM raw
+       UNION ALL SELECT l_orderkey, l_linenumber, 'part_b', part_b FROM raw),
+st AS (SELECT "column", avg(value) AS m, stddev_pop(value) AS s FROM lg GROUP BY "column"),
+sc AS (SELECT lg.*, -abs((value - m) / CASE WHEN s > 0 THEN s ELSE 1.0 END) AS score
+       FROM lg JOIN st USING ("column")),
+th AS (SELECT "column", quantile_cont(score, 0.005) AS threshold FROM sc GROUP BY "column")
+SELECT "column", count(value) AS original_non_nan,
+       CAST(count_if(value IS NOT NULL AND NOT (score < threshold)) AS BIGINT) AS filtered_non_nan,
+       CAST(count_if(score < threshold) AS BIGINT) AS outliers, round(min(threshold), 6) AS threshold
+FROM sc JOIN th USING ("column") GROUP BY "column\""""
+
+
+def _tree_blocked(spark: SparkSession, sf_dir: str, name: str, params: dict) -> DataFrame:
+    """Tree model for every held-out year: fold metrics.
+
+    The registered query fits one grid point per fold (``params``); nested
+    tuning over the whole grid is ``fit_blocked_spark_ml(..., tune=True)``.
+    """
+    from panelcast.operators.folds import assign_blocked_folds
+    from panelcast.operators.models import fit_blocked_spark_ml, make_model_spec
+    from panelcast.plans.weekly import PAIR_METADATA, fold_metrics
+    from panelcast.session import cut_lineage
+    from dataclasses import replace
+    spec = make_model_spec(name, random_state=SEED)
+    spec = replace(spec, param_grid={k: [v] for k, v in params.items()})
+    assigned = assign_blocked_folds(cut_lineage(pairs(spark, sf_dir)), ("year",))
+    preds, details = fit_blocked_spark_ml(assigned, spec, panel.FEATURES, "total_target",
+                                          split_type="year", group_col="target_year", tune=False)
+    preds = preds.select("split_type", "fold", F.lit(spec.name).alias("method"),
+                         F.lit(spec.label).alias("model"), F.lit("none").alias("baseline"),
+                         "site", *PAIR_METADATA, F.col("total_target").alias("y_true"), "y_pred")
+    fm = fold_metrics(preds, THRESHOLD, details.drop("fit_seconds").withColumn("fit_seconds", F.lit(0.0)))
+    return round_doubles(fm.drop("fit_seconds"))
+
+
+def q_random_forest_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tree_blocked(spark, sf_dir, "random_forest", {"max_depth": 8})
+
+
+def q_gbt_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tree_blocked(spark, sf_dir, "xgboost", {"max_depth": 2})
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "site_day_mean": q_site_day_mean,
     "weekly_pairs": q_weekly_pairs,
@@ -646,6 +707,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fold_median_impute": q_fold_median_impute,
     "linear_blocked": q_linear_blocked,
     "knn_regress_year": q_knn_regress_year,
+    "outlier_threshold": q_outlier_threshold,
+    "random_forest_blocked": q_random_forest_blocked,
 }
 
 ORACLE_SQL_RAW: dict[str, str] = {
@@ -670,6 +733,7 @@ ORACLE_SQL_RAW: dict[str, str] = {
     "fold_standardize": SQL_FOLD_STANDARDIZE,
     "fold_median_impute": SQL_FOLD_MEDIAN_IMPUTE,
     "knn_regress_year": _knn_sql(),
+    "outlier_threshold": SQL_OUTLIER_THRESHOLD,
 }
 
 ORACLE_SQL: dict[str, str] = {k: sql_quantise(v) for k, v in ORACLE_SQL_RAW.items()}
