@@ -684,6 +684,28 @@ def q_random_forest_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_gbt_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tree_blocked(spark, sf_dir, "xgboost", {"max_depth": 2})
 
+
+# ------------------------------------------------ daily KNN grid search
+def _daily_long(spark: SparkSession, sf_dir: str, horizons) -> DataFrame:
+    from panelcast.operators.series import multi_horizon_targets
+    d = daily(spark, sf_dir)
+    return multi_horizon_targets(d, "total", list(horizons), date_col="Date", site="site", out="y")
+
+
+def q_knn_grid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cv_results of the 20-point KNN grid (5-fold CV, 7-day horizon)."""
+    from panelcast.plans.daily import knn_grid_search
+    cv_results, _, _, _ = knn_grid_search(_daily_long(spark, sf_dir, [7]), panel.FEATURES, "y",
+                                          ["site", "Date"], seed=SEED)
+    return round_doubles(cv_results.withColumnRenamed("split_type", "horizon_days"))
+
+
+def q_horizon_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Horizons 1-7: KNN grid search per horizon, all in one plan."""
+    from panelcast.plans.daily import horizon_comparison
+    return round_doubles(horizon_comparison(_daily_long(spark, sf_dir, range(1, 8)), panel.FEATURES,
+                                            "y", ["site", "Date"], seed=SEED))
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "site_day_mean": q_site_day_mean,
     "weekly_pairs": q_weekly_pairs,
@@ -709,6 +731,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_regress_year": q_knn_regress_year,
     "outlier_threshold": q_outlier_threshold,
     "random_forest_blocked": q_random_forest_blocked,
+    "knn_grid_rank": q_knn_grid_rank,
 }
 
 ORACLE_SQL_RAW: dict[str, str] = {
