@@ -706,6 +706,23 @@ def q_horizon_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(horizon_comparison(_daily_long(spark, sf_dir, range(1, 8)), panel.FEATURES,
                                             "y", ["site", "Date"], seed=SEED))
 
+
+def q_polynomial_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degree-2 ridge (alpha = 1) on fold-standardised features, every fold."""
+    from panelcast.operators.linear import (fit_blocked_linear, polynomial_columns,
+                                            predict_blocked_linear)
+    from panelcast.plans.weekly import PAIR_METADATA, fold_metrics, model_details
+    assigned = _assigned_materialized(spark, sf_dir)
+    expanded, names = polynomial_columns(assigned, panel.FEATURES)
+    from panelcast.session import cut_lineage
+    coefs = cut_lineage(fit_blocked_linear(expanded, names, "total_target", alpha=1.0))
+    pred = predict_blocked_linear(expanded, coefs, names)
+    preds = pred.select("split_type", "fold", F.lit("polynomial").alias("method"),
+                        F.lit("Polynomial Regression").alias("model"), F.lit("none").alias("baseline"),
+                        "site", *PAIR_METADATA, F.col("total_target").alias("y_true"), "y_pred")
+    fm = fold_metrics(preds, THRESHOLD, model_details(coefs, "polynomial", '{"alpha": 1.0}'))
+    return round_doubles(fm)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "site_day_mean": q_site_day_mean,
     "weekly_pairs": q_weekly_pairs,
@@ -732,6 +749,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "outlier_threshold": q_outlier_threshold,
     "random_forest_blocked": q_random_forest_blocked,
     "knn_grid_rank": q_knn_grid_rank,
+    "polynomial_blocked": q_polynomial_blocked,
 }
 
 ORACLE_SQL_RAW: dict[str, str] = {

@@ -122,8 +122,9 @@ def linear_predictions(assigned: DataFrame, spec: PanelSpec, *, medians: DataFra
                        label: str = "Linear Regression") -> DataFrame:
     """Fold-local OLS (or ridge) predictions for every test row, clipped at 0."""
     from panelcast.operators.linear import fit_blocked_linear, predict_blocked_linear
-    coefs = fit_blocked_linear(assigned, spec.features, spec.target_out, alpha=alpha,
-                               medians=medians)
+    # one small row per fold, read by every test row: materialise once
+    coefs = cut_lineage(fit_blocked_linear(assigned, spec.features, spec.target_out, alpha=alpha,
+                                           medians=medians))
     keep = [spec.site, *PAIR_METADATA]
     pred = predict_blocked_linear(assigned, coefs, spec.features)
     return pred.select("split_type", "fold", F.lit(method).alias("method"),
@@ -135,7 +136,9 @@ def linear_predictions(assigned: DataFrame, spec: PanelSpec, *, medians: DataFra
 def model_details(predictions: DataFrame, method: str, best_params: str = "{}",
                   inner_cv_splits: int = 0, best_inner_cv_rmse: float | None = None,
                   fit_seconds: float = 0.0) -> DataFrame:
-    """One row per (split type, fold) with the fit details of a model."""
+    """One row per (split type, fold) with the fit details of a model
+    (``predictions`` may be any table with those two columns, e.g. the
+    coefficient table)."""
     return (predictions.select("split_type", "fold").distinct()
             .select("split_type", "fold", F.lit(method).alias("method"),
                     F.lit(best_params).alias("best_params"),

@@ -1,0 +1,27 @@
+import json
+import os
+import tempfile
+
+from pyspark.sql import functions as F
+
+from panelcast.sources.sinks import summary_display, write_json_report, write_table
+
+
+def test_json_report_and_table(spark):
+    out = tempfile.mkdtemp(prefix="pc-sink-", dir="/tmp")
+    t = spark.createDataFrame([(1, None), (2, 0.5)], "h int, r2 double")
+    write_json_report(spark, {"task": "x", "rows": 2}, out + "/report", {"results": t})
+    files = [f for f in os.listdir(out + "/report") if f.endswith(".json")]
+    rec = json.loads(open(out + "/report/" + files[0]).read().splitlines()[0])
+    assert json.loads(rec["payload"]) == {"task": "x", "rows": 2}
+    assert rec["results"] == [{"h": 1, "r2": None}, {"h": 2, "r2": 0.5}]
+    write_table(t.withColumn("horizon_days", F.lit(7)), out + "/tbl", partition_by=["horizon_days"])
+    assert os.path.isdir(out + "/tbl/horizon_days=7")
+
+
+def test_summary_display_names(spark):
+    cols = ["horizon_days", "split_type", "model", "baseline", "folds", "test_rows"] + [
+        f"{m}_mean_sd" for m in ("mae", "rmse", "r2", "pod", "far", "csi")]
+    df = spark.createDataFrame([tuple(["x"] * len(cols))], ", ".join(f"{c} string" for c in cols))
+    assert summary_display(df).columns[:6] == ["horizon", "split_type", "model", "baseline",
+                                               "folds", "N"]
