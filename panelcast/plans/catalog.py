@@ -723,6 +723,36 @@ def q_polynomial_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     fm = fold_metrics(preds, THRESHOLD, model_details(coefs, "polynomial", '{"alpha": 1.0}'))
     return round_doubles(fm)
 
+
+# ------------------------------------------------------------ explanations
+def _split_linear(spark: SparkSession, sf_dir: str):
+    """Daily 7-day horizon: exact 80/20 split, OLS fitted on the training rows."""
+    from panelcast.operators.linear import fit_blocked_linear
+    from panelcast.operators.ranking import exact_split
+    from panelcast.session import cut_lineage
+    d = exact_split(horizon_dataset(spark, sf_dir), ["site", "Date"], test_size=0.2, seed=SEED)
+    d = cut_lineage(d.select(F.lit("h7").alias("split_type"),
+                             F.when(F.col("is_test"), "test").otherwise("train").alias("fold"),
+                             "site", "Date", *panel.FEATURES, "y"))
+    coefs = fit_blocked_linear(d, panel.FEATURES, "y").where(F.col("fold") == "test").first()
+    beta = {f: coefs[f"b_{i}"] for i, f in enumerate(panel.FEATURES)}  # model parameters
+    return d.where(F.col("fold") == "test"), beta, coefs["b0"]
+
+
+def q_permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelcast.operators.explain import linear_predictor, permutation_importance
+    test, beta, b0 = _split_linear(spark, sf_dir)
+    return round_doubles(permutation_importance(test, panel.FEATURES, "y", ["site", "Date"],
+                                                linear_predictor(beta, b0), n_repeats=30, seed=SEED))
+
+
+def q_shapley_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelcast.operators.explain import linear_shapley
+    from panelcast.operators.ranking import fixed_sample
+    test, beta, _ = _split_linear(spark, sf_dir)
+    sample = fixed_sample(test, ["site", "Date"], 200, seed=SEED)
+    return round_doubles(linear_shapley(sample, panel.FEATURES, ["site", "Date"], beta))
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "site_day_mean": q_site_day_mean,
     "weekly_pairs": q_weekly_pairs,
@@ -750,6 +780,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "random_forest_blocked": q_random_forest_blocked,
     "knn_grid_rank": q_knn_grid_rank,
     "polynomial_blocked": q_polynomial_blocked,
+    "permutation_importance": q_permutation_importance,
+    "shapley_values": q_shapley_values,
 }
 
 ORACLE_SQL_RAW: dict[str, str] = {

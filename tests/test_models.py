@@ -96,3 +96,39 @@ def test_knn_exact_against_brute_force(spark):
             want = _np_knn(pdf, feats, sds, k, p, wts)
             assert set(got) == set(want)
             assert max(abs(got[key] - want[key]) for key in want) < 1e-9
+
+
+def test_permutation_importance_matches_numpy(spark):
+    import hashlib
+    from panelcast.operators.explain import linear_predictor, permutation_importance
+    df = _fixture(spark).where("fold = '0'")
+    pdf = df.toPandas()
+    beta, b0 = {"a": 2.0, "b": -0.3, "c": 5.0}, 1.5
+    got = {r["feature"]: r for r in permutation_importance(
+        df, ["a", "b", "c"], "y", ["rid"], linear_predictor(beta, b0), n_repeats=4, seed=3).collect()}
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    ids = sorted(pdf.rid, key=lambda r: (md5(f"3:{r}"), r))
+    X = pdf.set_index("rid").loc[ids]
+    pred = lambda M: b0 + M.a * beta["a"] + M.b * beta["b"] + M.c * beta["c"]
+    base = ((pred(X) - X.y) ** 2).mean()
+    for f in ("a", "b", "c"):
+        imps = []
+        for r in range(4):
+            donor = sorted(pdf.rid, key=lambda i: (md5(f"3:{f}:{r}:{i}"), i))
+            M = X.copy()
+            M[f] = pdf.set_index("rid").loc[donor][f].to_numpy()
+            imps.append(((pred(M) - M.y) ** 2).mean() - base)
+        assert abs(got[f]["importance_mean"] - np.mean(imps)) < 1e-9
+        assert abs(got[f]["importance_std"] - np.std(imps)) < 1e-9
+
+
+def test_linear_shapley_sums_to_prediction_gap(spark):
+    from panelcast.operators.explain import linear_shapley
+    df = _fixture(spark).where("fold = '1'")
+    beta = {"a": 2.0, "b": -0.3, "c": 5.0}
+    long = linear_shapley(df, ["a", "b", "c"], ["rid"], beta).toPandas()
+    pdf = df.toPandas().set_index("rid")
+    for f in beta:
+        sub = long[long.feature == f].set_index("rid")
+        want = beta[f] * (pdf[f] - pdf[f].mean())
+        assert np.allclose(sub.shap_value.sort_index(), want.sort_index(), atol=1e-12)
