@@ -84,3 +84,125 @@ def flag_outliers(df: DataFrame, columns: list[str], id_cols: list[str], *,
     others = [c for c in df.columns if c not in columns]
     filtered = df.select(*[quote(c) for c in others]).join(wide, id_cols)
     return filtered.select(*[quote(c) for c in df.columns]), report
+
+
+# ------------------------------------------------------------ isolation forest
+EULER_GAMMA = 0.5772156649015329
+
+
+def average_path_length(n):
+    """Expected path length of an unsuccessful search in a binary tree of n points."""
+    import numpy as np
+    n = np.asarray(n, dtype=float)
+    out = np.zeros_like(n)
+    out[n == 2] = 1.0
+    big = n > 2
+    out[big] = 2.0 * (np.log(n[big] - 1.0) + EULER_GAMMA) - 2.0 * (n[big] - 1.0) / n[big]
+    return out
+
+
+def _tree_seed(seed: int, column: str, tree: int) -> int:
+    import hashlib
+    return int(hashlib.md5(f"{seed}:{column}:{tree}".encode()).hexdigest()[:12], 16)
+
+
+def _build_tree(values, max_depth: int, rng):
+    """1-D isolation tree -> (sorted thresholds, path length of each leaf
+    interval).  A split draws t uniformly in [min, max); x <= t goes left."""
+    import numpy as np
+    stack = [(np.sort(values), 0, None)]
+    out = []
+    while stack:
+        v, depth, upper = stack.pop()
+        lo, hi = v[0], v[-1]
+        if depth >= max_depth or len(v) <= 1 or lo == hi:
+            out.append((upper, depth + float(average_path_length([len(v)])[0])))
+            continue
+        t = rng.uniform(lo, hi)
+        if t >= hi:
+            t = lo
+        k = int(np.searchsorted(v, t, side="right"))
+        # push right first so leaves come out left to right
+        stack.append((v[k:], depth + 1, upper))
+        stack.append((v[:k], depth + 1, t))
+    thresholds = [u for u, _ in out if u is not None]
+    lengths = [h for _, h in out]
+    return np.array(thresholds, dtype=float), np.array(lengths, dtype=float)
+
+
+def isolation_forest_scores(df: DataFrame, columns: list[str], id_cols: list[str], *,
+                            n_trees: int = 100, max_samples: int = 256, seed: int = 42) -> DataFrame:
+    """(id..., column, score) with score = -2**(-E[h(x)] / c(psi)) per column
+    (lower = more anomalous, like ``score_samples``).  One 1-D forest per column."""
+    import math
+
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import Window as W
+
+    long = unpivot_measures(df, columns, id_cols).where(F.col("value").isNotNull())
+    counts = {r["column"]: r["n"] for r in
+              long.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}  # per column
+    samples = []
+    for col, n in counts.items():
+        psi = min(max_samples, n)
+        part = long.where(F.col("column") == col)
+        if n >= n_trees * psi:
+            h = md5_key_expr(seed, F.lit(col), *id_cols)
+            ranked = global_index(part.withColumn("__h", h), ["__h", *id_cols],
+                                  F.conv(F.substring("__h", 1, 4), 16, 10).cast("int"), out="__pos")
+            picked = ranked.where(F.col("__pos") < n_trees * psi).select(
+                "column", (F.col("__pos") % n_trees).cast("int").alias("tree"), "value")
+        else:
+            t = part.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
+            h = md5_key_expr(seed, F.lit(col), F.col("tree"), *id_cols)
+            w = W.partitionBy("column", "tree").orderBy(h, *id_cols)  # < n_trees * psi rows
+            picked = t.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= psi).select(
+                "column", F.col("tree").cast("int").alias("tree"), "value")
+        samples.append(picked)
+    sample = samples[0]
+    for s in samples[1:]:
+        sample = sample.unionByName(s)
+    max_depth = int(math.ceil(math.log2(max(max_samples, 2))))
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        col, tree = pdf["column"].iloc[0], int(pdf["tree"].iloc[0])
+        rng = np.random.default_rng(_tree_seed(seed, col, tree))
+        thr, lens = _build_tree(pdf["value"].to_numpy(float), max_depth, rng)
+        return pd.DataFrame({"column": [col], "tree": [tree], "thr": [thr.tolist()],
+                             "len": [lens.tolist()]})
+
+    trees = sample.groupBy("column", "tree").applyInPandas(
+        build, "column string, tree int, thr array<double>, len array<double>")
+    # the forest: at most n_trees * psi thresholds per column (bounded model)
+    forest = {}
+    for col in counts:
+        rows = trees.where(F.col("column") == col).collect()
+        allthr = np.unique(np.concatenate([np.asarray(r["thr"]) for r in rows]))
+        reps = np.append(allthr, np.inf)
+        total = np.zeros(len(reps))
+        for r in rows:
+            total += np.asarray(r["len"])[np.searchsorted(np.asarray(r["thr"]), reps, side="left")]
+        psi = min(max_samples, counts[col])
+        forest[col] = (allthr, total / len(rows), float(average_path_length([psi])[0]))
+
+    bc = df.sparkSession.sparkContext.broadcast(forest)
+    out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in long.schema.fields
+                            if f.name != "value"] + ["score double"])
+
+    def score(batches):
+        model = bc.value
+        for pdf in batches:
+            res = np.empty(len(pdf))
+            for col, idx in pdf.groupby("column").indices.items():
+                thr, mean_len, c = model[col]
+                x = pdf["value"].to_numpy(float)[idx]
+                res[idx] = -np.power(2.0, -mean_len[np.searchsorted(thr, x, side="left")] / c)
+            yield pdf.drop(columns=["value"]).assign(score=res)
+
+    return long.mapInPandas(score, out_schema)
+
+
+def md5_key_expr(seed, *cols):
+    from panelcast.operators.ranking import md5_key
+    return md5_key(seed, *cols)

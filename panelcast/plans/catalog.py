@@ -753,6 +753,19 @@ def q_shapley_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = fixed_sample(test, ["site", "Date"], 200, seed=SEED)
     return round_doubles(linear_shapley(sample, panel.FEATURES, ["site", "Date"], beta))
 
+
+def q_iforest_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Isolation-forest outlier report (0.5 % contamination) per raw measure."""
+    from panelcast.operators.outliers import flag_outliers, isolation_forest_scores
+    raw = panel.read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_quantity").alias("qty"),
+        F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("part_a"),
+        F.col("l_tax").alias("part_b"))
+    ids = ["l_orderkey", "l_linenumber"]
+    scores = isolation_forest_scores(raw, panel.MEASURES, ids, seed=SEED)
+    _, report = flag_outliers(raw, panel.MEASURES, ids, contamination=0.005, scores=scores)
+    return round_doubles(report)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "site_day_mean": q_site_day_mean,
     "weekly_pairs": q_weekly_pairs,
@@ -782,6 +795,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "polynomial_blocked": q_polynomial_blocked,
     "permutation_importance": q_permutation_importance,
     "shapley_values": q_shapley_values,
+    "iforest_outliers": q_iforest_outliers,
 }
 
 ORACLE_SQL_RAW: dict[str, str] = {
