@@ -766,6 +766,14 @@ def q_iforest_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, report = flag_outliers(raw, panel.MEASURES, ids, contamination=0.005, scores=scores)
     return round_doubles(report)
 
+
+def q_blocked_validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KNN, linear and polynomial models plus both baselines, every fold of
+    both split types, summarised across folds."""
+    from panelcast.plans.weekly import evaluate_blocked_validation
+    _, _, summary, _ = evaluate_blocked_validation(pairs(spark, sf_dir), SPEC, threshold=THRESHOLD)
+    return round_doubles(summary)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "site_day_mean": q_site_day_mean,
     "weekly_pairs": q_weekly_pairs,
@@ -796,6 +804,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "permutation_importance": q_permutation_importance,
     "shapley_values": q_shapley_values,
     "iforest_outliers": q_iforest_outliers,
+    "blocked_validation_summary": q_blocked_validation_summary,
 }
 
 ORACLE_SQL_RAW: dict[str, str] = {
