@@ -774,6 +774,17 @@ def q_blocked_validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, summary, _ = evaluate_blocked_validation(pairs(spark, sf_dir), SPEC, threshold=THRESHOLD)
     return round_doubles(summary)
 
+
+def q_knn_nested_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KNN with the 20-point grid tuned by inner group k-fold CV inside every
+    held-out year (nested), scored per fold."""
+    from panelcast.operators.folds import assign_blocked_folds
+    from panelcast.plans.weekly import fold_metrics, knn_nested_predictions
+    from panelcast.session import cut_lineage
+    assigned = assign_blocked_folds(cut_lineage(pairs(spark, sf_dir)), ("year",))
+    preds, details = knn_nested_predictions(assigned, SPEC, split_type="year")
+    return round_doubles(fold_metrics(preds, THRESHOLD, details))
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "site_day_mean": q_site_day_mean,
     "weekly_pairs": q_weekly_pairs,
@@ -805,6 +816,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "shapley_values": q_shapley_values,
     "iforest_outliers": q_iforest_outliers,
     "blocked_validation_summary": q_blocked_validation_summary,
+    "knn_nested_year": q_knn_nested_year,
 }
 
 ORACLE_SQL_RAW: dict[str, str] = {

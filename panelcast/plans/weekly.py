@@ -169,7 +169,7 @@ def knn_blocked_predictions(assigned: DataFrame, spec: PanelSpec, *, k: int = 5,
 def evaluate_blocked_validation(pairs: DataFrame, spec: PanelSpec, *,
                                 split_types=("year", "station_year"),
                                 model_names=("knn", "linear", "polynomial"),
-                                threshold: float = 1.0):
+                                threshold: float = 1.0, tune_knn: bool = False):
     """Models + persistence + seasonal climatology for every blocked fold.
 
     Returns (fold_metrics, predictions, summary, pooled).  Gram models and KNN
@@ -205,7 +205,17 @@ def evaluate_blocked_validation(pairs: DataFrame, spec: PanelSpec, *,
             parts.append(pr)
             details.append(model_details(coefs, "polynomial", '{"alpha": 1.0}'))
         elif name == "knn":
-            pr = knn_blocked_predictions(assigned, spec)
+            nested = []
+            if tune_knn:
+                for st in split_types:
+                    n_folds = assigned.where(F.col("split_type") == st).select("fold").distinct().count()
+                    if n_folds <= MAX_NESTED_OUTER_FOLDS:
+                        nested.append(st)
+                        pr, det = knn_nested_predictions(assigned, spec, split_type=st)
+                        parts.append(pr)
+                        details.append(det)
+            rest = assigned.where(~F.col("split_type").isin(nested)) if nested else assigned
+            pr = knn_blocked_predictions(rest, spec)
             parts.append(pr)
             details.append(model_details(pr, "knn", '{"n_neighbors": 5, "p": 2, "weights": "uniform"}'))
         elif ms.kind == "spark_ml":
@@ -229,3 +239,107 @@ def evaluate_blocked_validation(pairs: DataFrame, spec: PanelSpec, *,
     fm = fm_base if fm_models is None else fm_models.unionByName(fm_base)
     preds = base if model_preds is None else model_preds.unionByName(base)
     return fm, preds, summarize_fold_metrics(fm), summarize_pooled_predictions(preds, threshold)
+
+
+MAX_NESTED_OUTER_FOLDS = 50
+
+
+def knn_nested_predictions(assigned: DataFrame, spec: PanelSpec, *, split_type: str = "year",
+                           inner_cv: int = 5, param_grid: dict | None = None,
+                           max_outer_folds: int = MAX_NESTED_OUTER_FOLDS):
+    """KNN tuned inside every outer fold by group k-fold CV (nested), then
+    used to predict the fold's test rows.  Returns (predictions, details).
+
+    Each training row is replicated once per outer fold it trains (the
+    inner problem of fold f is its own split key), so one exact neighbour
+    search per metric ``p`` scores every (outer fold, inner fold, grid
+    point).  The replication factor is the number of outer folds, hence the
+    ``max_outer_folds`` guard (fine for year splits; station-year splits with
+    thousands of folds should use fixed parameters).
+    """
+    import json
+
+    from panelcast.operators.foldstats import complement_moments
+    from panelcast.operators.knn import knn_neighbours, knn_predict
+    from panelcast.operators.models import group_kfold_map
+    from panelcast.plans.daily import _grid
+    from panelcast.schema import KNN_PARAM_GRID
+    from panelcast.functions.labels import clip_nonnegative
+
+    grid = _grid(param_grid or KNN_PARAM_GRID)
+    k_max = max(g["n_neighbors"] for g in grid)
+    part = cut_lineage(assigned.where(F.col("split_type") == split_type))
+    counts = part.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))  # one row per group
+    groups = [r["fold"] for r in counts.collect()]
+    if len(groups) > max_outer_folds:
+        raise ValueError(f"nested KNN tuning replicates rows per outer fold; {len(groups)} folds "
+                         f"exceed max_outer_folds={max_outer_folds}")
+    spark = assigned.sparkSession
+    mapping, splits = [], {}
+    for f in groups:
+        others = counts.where(F.col("fold") != f)
+        k = min(inner_cv, len(groups) - 1)
+        if k < 2:
+            raise ValueError("At least two training groups are required for blocked tuning")
+        splits[f] = k
+        for g, j in group_kfold_map(others, "fold", k).items():
+            mapping.append((f, g, int(j)))
+    mp = spark.createDataFrame(mapping, "outer string, fold string, inner int")
+    ids = [spec.site, "current_date"]
+    cols = [quote(c) for c in dict.fromkeys([*ids, *spec.features, spec.target_out])]
+    # bounded: (outer folds)^2 rows
+    inner = cut_lineage(part.join(F.broadcast(mp), "fold").select(
+        F.col("outer").alias("split_type"), F.col("inner").cast("string").alias("fold"), *cols))
+    mom = complement_moments(inner, spec.features)
+    truth = inner.select("split_type", "fold", *[quote(c) for c in ids],
+                         quote(spec.target_out).cast("double").alias("__y"))
+    scored = []
+    for p in sorted({g["p"] for g in grid}):
+        nn = cut_lineage(knn_neighbours(inner, spec.features, spec.target_out, ids, mom,
+                                        k_max=k_max, p=p).join(truth, ["split_type", "fold", *ids]))
+        for cid, g in enumerate(grid):
+            if g["p"] == p:
+                pr = knn_predict(nn, g["n_neighbors"], g["weights"])
+                scored.append(pr.select("split_type", "fold", F.lit(cid).alias("candidate"),
+                                        ((F.col("y_pred") - F.col("__y")) ** 2).alias("__se")))
+    from functools import reduce
+    per_fold = reduce(lambda a, b: a.unionByName(b), scored).groupBy(
+        "split_type", "candidate", "fold").agg(F.avg("__se").alias("mse"))
+    mean = per_fold.groupBy("split_type", "candidate").agg(F.avg("mse").alias("mean_mse"))
+    wb = Window.partitionBy("split_type").orderBy("mean_mse", "candidate")
+    best = cut_lineage(mean.withColumn("__r", F.row_number().over(wb)).where("__r = 1")
+                       .select(F.col("split_type").alias("fold"), "candidate", "mean_mse"))
+    # outer predictions with every candidate, keep each fold's chosen one
+    outer_mom = complement_moments(part, spec.features)
+    preds = []
+    for p in sorted({g["p"] for g in grid}):
+        nn = cut_lineage(knn_neighbours(part, spec.features, spec.target_out, ids, outer_mom,
+                                        k_max=k_max, p=p))
+        for cid, g in enumerate(grid):
+            if g["p"] == p:
+                pr = knn_predict(nn, g["n_neighbors"], g["weights"])
+                preds.append(pr.select("split_type", "fold", *[quote(c) for c in ids],
+                                       F.lit(cid).alias("candidate"), "y_pred"))
+    chosen = reduce(lambda a, b: a.unionByName(b), preds).join(
+        best.select("fold", "candidate"), ["fold", "candidate"])
+    keep = [spec.site, *PAIR_METADATA]
+    rows = part.select("split_type", "fold", *[quote(c) for c in dict.fromkeys(keep)],
+                       quote(spec.target_out).cast("double").alias("y_true"))
+    out = rows.join(chosen.drop("candidate"), ["split_type", "fold", *ids]).select(
+        "split_type", "fold", F.lit("knn").alias("method"), F.lit("KNN").alias("model"),
+        F.lit("none").alias("baseline"), *[quote(c) for c in keep], "y_true",
+        clip_nonnegative("y_pred").alias("y_pred"))
+    cand = spark.createDataFrame(
+        [(i, json.dumps(g, sort_keys=True)) for i, g in enumerate(grid)],
+        "candidate int, best_params string")
+    details = best.join(F.broadcast(cand), "candidate").select(  # grid: 20 rows
+        F.lit(split_type).alias("split_type"), "fold", F.lit("knn").alias("method"),
+        "best_params", F.sqrt("mean_mse").alias("best_inner_cv_rmse"),
+        F.lit(0.0).alias("fit_seconds"))
+    # one row per outer fold (guarded above)
+    det_splits = spark.createDataFrame([(f, k) for f, k in splits.items()],
+                                       "fold string, __k int")
+    details = details.join(F.broadcast(det_splits), "fold").select(
+        "split_type", "fold", "method", "best_params", "best_inner_cv_rmse",
+        F.col("__k").alias("inner_cv_splits"), "fit_seconds")
+    return out, details

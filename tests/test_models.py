@@ -132,3 +132,52 @@ def test_linear_shapley_sums_to_prediction_gap(spark):
         sub = long[long.feature == f].set_index("rid")
         want = beta[f] * (pdf[f] - pdf[f].mean())
         assert np.allclose(sub.shap_value.sort_index(), want.sort_index(), atol=1e-12)
+
+
+def _comp_sds(pdf, feats):
+    out = {}
+    for f in pdf.fold.unique():
+        rest = pdf[pdf.fold != f]
+        for c in feats:
+            s = rest[c].to_numpy(float).std()
+            out[(f, c)] = s if s > 0 else 1.0
+    return out
+
+
+def test_nested_knn_tuning_matches_numpy(spark):
+    import datetime as dt
+
+    from panelcast.plans.daily import _grid
+    from panelcast.plans.weekly import PanelSpec, knn_nested_predictions
+    feats = ["a", "b", "c"]
+    df = _fixture(spark)
+    df = (df.withColumnRenamed("rid", "site").withColumn("current_date", F.lit(dt.date(2020, 1, 1)))
+          .withColumn("t_target", F.col("y")).withColumn("target_date", F.lit(dt.date(2020, 1, 8)))
+          .withColumn("target_year", F.col("fold").cast("int"))
+          .withColumn("station_year", F.col("fold")).withColumn("nominal_horizon_days", F.lit(7))
+          .withColumn("actual_horizon_days", F.lit(7)))
+    spec = PanelSpec(site="site", time="current_date", target="t", features=feats)
+    grid = {"n_neighbors": [3, 5], "weights": ["uniform", "distance"], "p": [1, 2]}
+    preds, details = knn_nested_predictions(df, spec, split_type="year", inner_cv=5, param_grid=grid)
+    got = {(r["fold"], r["site"]): r["y_pred"] for r in preds.collect()}
+    pdf = df.select("fold", F.col("site").alias("rid"), *feats, "y").toPandas()
+    cands = _grid(grid)
+    for f in sorted(pdf.fold.unique()):
+        sub = pdf[pdf.fold != f].copy()
+        scores = []
+        for g in cands:
+            want = _np_knn(sub, feats, _comp_sds(sub, feats), g["n_neighbors"], g["p"], g["weights"])
+            se = {}
+            for (ff, rid), v in want.items():
+                yv = float(sub[sub.rid == rid].y.iloc[0])
+                se.setdefault(ff, []).append((v - yv) ** 2)
+            scores.append(np.mean([np.mean(v) for v in se.values()]))
+        best = cands[int(np.argmin(scores))]
+        both = pdf[(pdf.fold == f) | (pdf.fold != f)].copy()
+        both["fold"] = np.where(both.fold == f, "test", "train")
+        sds = _comp_sds(both, feats)
+        want = _np_knn(both, feats, sds, best["n_neighbors"], best["p"], best["weights"])
+        for (ff, rid), v in want.items():
+            if ff == "test":
+                assert abs(got[(f, rid)] - max(v, 0.0)) < 1e-9
+    assert details.count() == 4
