@@ -785,6 +785,16 @@ def q_knn_nested_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     preds, details = knn_nested_predictions(assigned, SPEC, split_type="year")
     return round_doubles(fold_metrics(preds, THRESHOLD, details))
 
+
+def q_ridge_nested_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polynomial ridge, alpha in {1, 10} tuned by nested group k-fold CV per held-out year."""
+    from panelcast.operators.folds import assign_blocked_folds
+    from panelcast.plans.weekly import fold_metrics, ridge_nested_predictions
+    from panelcast.session import cut_lineage
+    assigned = assign_blocked_folds(cut_lineage(pairs(spark, sf_dir)), ("year",))
+    preds, details = ridge_nested_predictions(assigned, SPEC, split_type="year")
+    return round_doubles(fold_metrics(preds, THRESHOLD, details))
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "site_day_mean": q_site_day_mean,
     "weekly_pairs": q_weekly_pairs,
@@ -817,6 +827,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "iforest_outliers": q_iforest_outliers,
     "blocked_validation_summary": q_blocked_validation_summary,
     "knn_nested_year": q_knn_nested_year,
+    "ridge_nested_year": q_ridge_nested_year,
 }
 
 ORACLE_SQL_RAW: dict[str, str] = {

@@ -181,3 +181,41 @@ def test_nested_knn_tuning_matches_numpy(spark):
             if ff == "test":
                 assert abs(got[(f, rid)] - max(v, 0.0)) < 1e-9
     assert details.count() == 4
+
+
+def test_nested_ridge_tuning_matches_numpy(spark):
+    import datetime as dt
+
+    from panelcast.plans.weekly import PanelSpec, ridge_nested_predictions
+    feats = ["a", "b", "c"]
+    df = _fixture(spark)
+    df = (df.withColumnRenamed("rid", "site").withColumn("current_date", F.lit(dt.date(2020, 1, 1)))
+          .withColumn("t_target", F.col("y")).withColumn("target_date", F.lit(dt.date(2020, 1, 8)))
+          .withColumn("target_year", F.col("fold").cast("int"))
+          .withColumn("station_year", F.col("fold")).withColumn("nominal_horizon_days", F.lit(7))
+          .withColumn("actual_horizon_days", F.lit(7)))
+    spec = PanelSpec(site="site", time="current_date", target="t", features=feats)
+    preds, _ = ridge_nested_predictions(df, spec, split_type="year", alphas=(1.0, 10.0))
+    got = {(r["fold"], r["site"]): r["y_pred"] for r in preds.collect()}
+    pdf = df.select("fold", F.col("site").alias("rid"), *feats, "y").toPandas()
+    names = list(feats)
+    for i, a in enumerate(feats):
+        for b in feats[i:]:
+            n = f"{a}*{b}" if a != b else f"{a}^2"
+            pdf[n] = pdf[a] * pdf[b]
+            names.append(n)
+    for f in sorted(pdf.fold.unique()):
+        sub = pdf[pdf.fold != f]
+        scores = []
+        for alpha in (1.0, 10.0):
+            mses = []
+            for j in sorted(sub.fold.unique()):
+                beta, b0 = _np_fit(sub, j, names, alpha)
+                te = sub[sub.fold == j]
+                mses.append((((te[names].to_numpy() @ beta + b0) - te.y) ** 2).mean())
+            scores.append(np.mean(mses))
+        alpha = (1.0, 10.0)[int(np.argmin(scores))]
+        beta, b0 = _np_fit(pdf, f, names, alpha)
+        te = pdf[pdf.fold == f]
+        for rid, v in zip(te.rid, te[names].to_numpy() @ beta + b0):
+            assert abs(got[(f, rid)] - max(v, 0.0)) < 1e-7
