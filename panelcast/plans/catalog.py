@@ -795,6 +795,23 @@ def q_ridge_nested_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     preds, details = ridge_nested_predictions(assigned, SPEC, split_type="year")
     return round_doubles(fold_metrics(preds, THRESHOLD, details))
 
+
+def q_group_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inner group k-fold (5 splits) of the training years inside every held-out
+    year: (outer_fold, group, inner_fold, rows)."""
+    from panelcast.operators.models import group_kfold_map
+    p = pairs(spark, sf_dir).select(F.col("target_year").cast("string").alias("g"))
+    counts = p.groupBy("g").agg(F.count(F.lit(1)).alias("n"))  # one row per group
+    groups = {r["g"]: r["n"] for r in counts.collect()}
+    rows = []
+    for f in sorted(groups):
+        others = counts.where(F.col("g") != f)
+        for g, j in group_kfold_map(others, "g", min(5, len(groups) - 1)).items():
+            rows.append((f, g, int(j)))
+    mp = spark.createDataFrame(rows, "outer_fold string, g string, inner_fold int")
+    return (counts.join(F.broadcast(mp), "g")  # (groups)^2 rows: metadata
+            .select("outer_fold", F.col("g").alias("group"), "inner_fold", F.col("n").alias("rows")))
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "site_day_mean": q_site_day_mean,
     "weekly_pairs": q_weekly_pairs,
@@ -828,6 +845,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "blocked_validation_summary": q_blocked_validation_summary,
     "knn_nested_year": q_knn_nested_year,
     "ridge_nested_year": q_ridge_nested_year,
+    "group_kfold": q_group_kfold,
 }
 
 ORACLE_SQL_RAW: dict[str, str] = {

@@ -82,3 +82,20 @@ def test_fold_summary_mean_and_sample_sd(spark):
     s = summarize_fold_metrics(df).first()
     assert s["folds"] == 2 and s["test_rows"] == 7 and s["mae_mean"] == 2.0
     assert abs(s["mae_sd"] - 2 ** 0.5) < 1e-12 and s["mae_mean_sd"] == "2.0000 +/- 1.4142"
+
+
+def test_group_kfold_whole_groups_and_balance(spark):
+    from conftest import SF001
+    from panelcast.plans.catalog import q_group_kfold
+    rows = q_group_kfold(spark, SF001).collect()
+    outer = {r["outer_fold"] for r in rows}
+    for f in outer:
+        sub = [r for r in rows if r["outer_fold"] == f]
+        assert f not in {r["group"] for r in sub}
+        assert len({r["group"] for r in sub}) == len(sub)  # each group in one inner fold
+        loads = {}
+        for r in sub:
+            loads[r["inner_fold"]] = loads.get(r["inner_fold"], 0) + r["rows"]
+        assert len(loads) == min(5, len(outer) - 1)
+        # greedy: no fold exceeds the lightest by more than the largest group
+        assert max(loads.values()) - min(loads.values()) <= max(r["rows"] for r in sub)
