@@ -89,8 +89,9 @@ def test_knn_exact_against_brute_force(spark):
     pdf = df.toPandas()
     mom = complement_moments(df, feats)
     sds = {(r["fold"], r["feature"]): r["sd"] for r in mom.collect()}
-    for p in (1, 2):
-        nn = knn_neighbours(df, feats, "y", ["rid"], mom, k_max=11, p=p).cache()
+    for p, cap in ((1, 200_000), (2, 200_000), (2, 40)):
+        # cap=40 forces salted (split) kernel tasks: results must not change
+        nn = knn_neighbours(df, feats, "y", ["rid"], mom, k_max=11, p=p, max_group_rows=cap).cache()
         for k, wts in ((3, "uniform"), (11, "distance")):
             got = {(r["fold"], r["rid"]): r["y_pred"] for r in knn_predict(nn, k, wts).collect()}
             want = _np_knn(pdf, feats, sds, k, p, wts)
