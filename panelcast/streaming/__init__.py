@@ -1,0 +1,6 @@
+"""Streaming.
+
+The workflow this package re-expresses reads its observation tables in
+batch only: it has no watermark, windowed stream aggregation or state, so
+nothing is built here.  Batch readers live in ``panelcast.sources``.
+"""
