@@ -37,19 +37,21 @@ UNITS = ("kg g mg lb lbs oz km m cm mm mi ft in l ml gal s sec secs seconds min
          "weeks months years dollars euros cents usd eur percent degrees mph kph watts volts bytes kb mb gb tb").split()
 # Marks put before a word of each type; they never occur in a text, which is cleaned of them first.
 NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
+POINT = "\x04"  # a point or comma inside a number, which does not end the word
 # Hashes of the placeholders.
 PLACEHOLDER = {NAME: 1, NUMBER: 2, UNIT: 3}
 
 
 def template_words(column: str) -> Column:
     """Lower-case words of a text, each name, number and unit with its mark before it."""
-    text = F.translate(text_or_empty(column), NAME + NUMBER + UNIT, "   ")
+    text = F.translate(text_or_empty(column), NAME + NUMBER + UNIT + POINT, "    ")
+    text = F.regexp_replace(text, r"[.,](?<=\p{Nd}.)(?=\p{Nd})", POINT)
     # a capitalised word inside a sentence
     named = F.regexp_replace(text, r"(\p{Lu}(?<=[\p{Ll}\p{Nd},;:)] .)\p{Ll}+)", f"{NAME}$1")
     counted = F.regexp_replace(
-        named, r"(\p{Nd}[\p{Nd}.,]*)(?: ?((?i:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r"))(?![\p{L}\p{N}]))?",
+        named, rf"(\p{{Nd}}[\p{{Nd}}{POINT}]*)(?: ?((?i:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r"))(?![\p{L}\p{N}]))?",
         f" {NUMBER}$1 {UNIT}$2 ")
-    words = F.split(F.lower(counted), rf"[^\p{{L}}\p{{N}}{NAME}{NUMBER}{UNIT}]+")
+    words = F.split(F.lower(counted), rf"[^\p{{L}}\p{{N}}{NAME}{NUMBER}{UNIT}{POINT}]+")
     return F.array_remove(F.array_remove(words, ""), UNIT)
 
 

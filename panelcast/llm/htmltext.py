@@ -147,7 +147,8 @@ def _densities(page: _Page) -> tuple[list[float], list[float]]:
             c, t, lc, lt = chars[k], max(tags[k], 1), max(link_chars[k], 1), max(link_tags[k], 1)
             # the base of the logarithm grows with links; a page without links would make it 1, so it is held above
             base = max(log(c / max(c - link_chars[k], 1) * link_chars[k] + share * c + e), 1.5)
-            density[k] = c / t * max(log(c * t / (lc * lt)), 0.0) / log(base)
+            # text without any link keeps some weight, however short it is
+            density[k] = c / t * max(log(c * t / (lc * lt)), 0.0 if link_chars[k] else 0.1) / log(base)
             if k:
                 total[page.parent[k]] += density[k]
     return density, total

@@ -137,14 +137,15 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "iban": F.filter("iban", lambda x: _mod97(x["v"])),
         "national": F.col("national"),
     }
-    scored = {}
-    for kind, spans in checked.items():
-        sure = PATTERN_SCORE[kind] + (CHECKSUM_SCORE if kind in ("card", "iban") else 0)
-        spans = F.transform(spans, lambda x, sure=sure: F.struct(
-            x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), x["near"].alias("near"),
-            (F.lit(sure) + F.when(x["near"], CONTEXT_SCORE).otherwise(0)).alias("score")))
-        scored[kind] = spans if kind in BASE_KINDS else F.filter(spans, lambda x: x["score"] >= MIN_SCORE)
-    return walked.select("__id", *[c.alias(k) for k, c in scored.items()])
+    return walked.select("__id", *[_scored(kind, spans).alias(kind) for kind, spans in checked.items()])
+
+
+def _scored(kind: str, spans: Column) -> Column:
+    sure = PATTERN_SCORE[kind] + (CHECKSUM_SCORE if kind in ("card", "iban") else 0)
+    scored = F.transform(spans, lambda x: F.struct(
+        x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), x["near"].alias("near"),
+        (F.lit(sure) + F.when(x["near"], CONTEXT_SCORE).otherwise(0)).alias("score")))
+    return scored if kind in BASE_KINDS else F.filter(scored, lambda x: x["score"] >= MIN_SCORE)
 
 
 def span_digest(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -1,0 +1,87 @@
+import random
+from collections import Counter
+from math import comb
+
+import pytest
+from pyspark.sql import functions as F
+
+from panelcast.llm import quality
+
+SPACES = " \t\n\v\f\r"
+
+
+def brute(text):
+    text = text or ""
+    ws, cur = [], ""
+    for c in text + " ":
+        if c in SPACES:
+            if cur:
+                ws.append(cur)
+            cur = ""
+        else:
+            cur += c
+    wins = [tuple(ws[k:k + 3]) for k in range(len(ws) - 2)]
+    counts = Counter(wins)
+    rep = {k + d for k, w in enumerate(wins) if counts[w] > 1 for d in range(3)}
+    lines, seen, dup = text.split("\n"), [], 0
+    for x in lines:
+        if any(c not in SPACES for c in x):
+            dup += x in seen
+            seen.append(x)
+    return (len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in text), dup, len(rep))
+
+
+def test_measures_match_brute_force(words):
+    rnd = random.Random(1)
+    texts = [None, "", " \n\t", "a b c a b c a b", "a a a a", "x\nx\n \n \nx", "é# è$\x0b<>|&", "a b a b", words(400, 3)]
+    texts += [" ".join(rnd.choice("abc") for _ in range(rnd.randint(1, 30))) for _ in range(50)]
+    for t in texts:
+        assert quality.measure(t)[:5] == brute(t)
+
+
+def test_binomial_tail_is_exact():
+    for n, k, p in ((10, 3, 0.2), (200, 4, 0.01), (50, 50, 0.5), (30, 0, 0.1)):
+        exact = sum(comb(n, j) * p ** j * (1 - p) ** (n - j) for j in range(k + 1))
+        assert quality.binomial_tail(k, n, p) == pytest.approx(exact, rel=1e-9)
+
+
+def test_cutoffs_stop_where_the_promise_ends():
+    grid = [3.0, 2.0, 1.0]
+    # none of 2000 lost at 3 and 2, 300 lost at 1: the last one is not valid
+    assert quality.choose_cutoff(grid, [0, 0, 300], 2000, [5, 9, 10], 10, 0.01, 0.001) == 2.0
+    assert quality.choose_cutoff(grid, [0, 0, 0], 100, [5, 9, 10], 10, 0.01, 0.001) is None  # too few labels
+    assert quality.choose_cutoff(grid, [0, 0, 0], 2000, [9, 9, 9], 10, 0.01, 0.001) == 3.0  # ties: most lenient
+    assert quality.choose_cutoff(grid, [0, 0, 0], 0, [9, 9, 9], 10, 0.01, 0.001) is None
+
+
+def corpus(spark, words, n=1500):
+    rows, labels = [], []
+    for i in range(n):
+        bad = i % 10 == 0
+        text = words(60, i)
+        if bad:
+            text = " ".join(w + "***" for w in text.split())
+        rows.append((i, text, "en", "s", len(text)))
+        labels.append((i, 0 if bad else 1, 0))
+    rows += [(9001, None, "en", "s", None), (9002, "", None, "s", 0), (9003, " ".join(w + "***" for w in words(60, 1).split()), "xx", "s", 1)]
+    labels += [(3, None, 0), (77777, 1, 0)]
+    return (spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4),
+            spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+
+
+def test_learnt_cutoffs_reject_bad_and_keep_good(spark, words):
+    docs, labels = corpus(spark, words)
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
+    assert ids == {i for i in range(1500) if i % 10} | {9003}  # no label in stratum xx: base rules only
+    m = quality.measured(docs)
+    cut = quality.learn_cutoffs(m.select("doc_id", "lang", "__m"), labels).collect()
+    assert {(r["__stratum"], r["__rule"]) for r in cut} == {("en", "symbols_per_word")}
+
+
+def test_empty_tables(spark, words):
+    docs, labels = corpus(spark, words, 50)
+    assert quality.keep_good(docs.limit(0), labels).count() == 0
+    kept = quality.keep_good(docs.withColumn("__n", F.lit(1)).withColumn("good", F.lit(2)), labels.limit(0))
+    assert kept.count() == 51 and "good" in kept.columns

@@ -1,0 +1,58 @@
+import random
+import re
+
+from panelcast.llm import secrets as s
+
+
+def texts(n=240, seed=7):
+    """Half the documents hold a key, half an address or a file name."""
+    rnd = random.Random(seed)
+    fill = ["the", "old", "server", "mail", "config", "report", "value"]
+    out = []
+    for i in range(n):
+        words = [rnd.choice(fill) for _ in range(30)]
+        key = "".join(rnd.choice("0123456789abcdef") for _ in range(40))
+        odd = f'token = "{key}"' if i % 2 else rnd.choice([f"x@mail{i}.example.com", f"lib/server/config{i}.report.txt", f"report-value-config-{i}"])
+        words.insert(rnd.randint(5, 25), odd)
+        out.append(" ".join(words))
+    return out
+
+
+def test_candidates_match_brute_force(make_docs):
+    cases = [None, "", "x" * 100, "é0123456789abcdefg é", 'k="0123456789abcdef=="', "a1" * 50_000, "abc0123456789abcdef, abc0123456789abcdef",
+             "\U0001f600 a1b2c3d4e5f6g7h8", *texts(20)]
+    got = sorted((r["__id"], r["__start"], r["__end"], r["__value"]) for r in s.candidates(make_docs(cases)).collect())
+    expected = sorted((i, *m.span(), m.group()) for i, t in enumerate(cases) for m in re.finditer(s.RUN, t or "")
+                      if re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group()))
+    assert got == expected
+
+
+def test_dictionary_share(make_docs):
+    docs = make_docs([f"mixedword{k}aaa99999 alpha Beta, (gamma)" for k in range(6)] + ["alpha1/beta2/zzzz3333"])
+    found = s.candidates(docs)
+    share = {r["__value"]: r["dictionary_share"] for r in s.dictionary_share(found, docs, "text").collect()}
+    assert share == {"alpha1/beta2/zzzz3333": 9 / 21}  # alpha and beta are words of six texts; zzzz is none
+
+
+def test_held_out_accuracy(spark, make_docs):
+    train, test = texts(240, 1), texts(120, 2)
+    docs = make_docs(train + test)
+    found = s.candidates(docs).collect()
+    label = {(r["__id"], r["__start"]): float(re.fullmatch("[0-9a-f]{40}", r["__value"]) is not None) for r in found}
+    given = [(i, k, y) for (i, k), y in label.items() if i < len(train)]
+    out = s.scan(docs, spark.createDataFrame(given, "id long, start int, label double")).collect()
+    held = [(r["is_secret"], bool(label[r["__id"], r["__start"]])) for r in out if r["__id"] >= len(train)]
+    assert len(held) > 100 and sum(a == b for a, b in held) / len(held) >= 0.95
+
+
+def test_rule_labels_and_result_for_equal_rows(make_docs):
+    rows = s.scan(make_docs(texts(200, 3) + [texts(2, 3)[1]] * 3)).collect()
+    secret = {r["__id"] for r in rows if r["is_secret"]}
+    assert {i for i in range(1, 200, 2)} | {200, 201, 202} <= secret and not secret & set(range(0, 200, 2))
+
+
+def test_nothing_to_learn(make_docs):
+    docs = make_docs([None, "", "plain words only"])
+    assert s.scan(docs).count() == 0 and s.scan(docs.limit(0)).count() == 0
+    only = s.scan(make_docs(["look at file0123456789abc.txt here"])).collect()
+    assert [(r["probability"], r["is_secret"]) for r in only] == [(0.0, False)]
