@@ -1,6 +1,7 @@
 """panelcast: forecasting datasets and blocked validation for entity/time panels on Spark.
 
-Every public function takes and returns a lazy ``pyspark.sql.DataFrame``.
+Functions take and return DataFrames.  Those whose intermediate tables are
+read several times write them to the checkpoint folder while they are called.
 Subpackages:
 
 * ``sources``   - table readers and report sinks
@@ -9,7 +10,6 @@ Subpackages:
   metrics, baselines, fold statistics, neighbours, models, explanations)
 * ``plans``     - end-to-end compositions (observed weekly validation,
   daily interpolated horizons) and the driver-table panel used in tests
-* ``streaming`` - incremental ingest of the observation table
 """
 
 from panelcast.session import get_session, checkpoint_dir

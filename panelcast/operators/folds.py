@@ -10,9 +10,11 @@ training data is ever built.
 
 from __future__ import annotations
 
+import heapq
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.operators.select import quote
@@ -30,7 +32,7 @@ def split_group_column(split_type: str) -> str:
     try:
         return SPLIT_GROUP[split_type]
     except KeyError:
-        raise ValueError("split_type must be 'year' or 'station_year'") from None
+        raise ValueError(f"unknown split type {split_type!r}; use one of {sorted(SPLIT_GROUP)}") from None
 
 
 def assign_blocked_folds(pairs: DataFrame, split_types=("year", "station_year")) -> DataFrame:
@@ -50,9 +52,44 @@ def blocked_fold_sizes(assigned: DataFrame) -> DataFrame:
     a sum over the per-fold table (one small row per fold), not a re-scan.
     """
     per = assigned.groupBy("split_type", "fold").agg(F.count(F.lit(1)).alias("test_rows"))
-    total = F.sum("test_rows").over(Window.partitionBy("split_type"))
-    return per.select("split_type", "fold", (total - F.col("test_rows")).alias("train_rows"),
-                      "test_rows")
+    total = per.groupBy("split_type").agg(F.sum("test_rows").alias("__rows"))  # one row per split type
+    return per.join(total, "split_type").select(
+        "split_type", "fold", (F.col("__rows") - F.col("test_rows")).alias("train_rows"), "test_rows")
+
+
+def greedy_group_folds(groups: list[tuple[str, int]], n_splits: int) -> dict[str, int]:
+    """Group -> inner fold: whole groups, largest first into the currently
+    lightest fold (ties: lower fold, then group name)."""
+    load = [(0, j) for j in range(n_splits)]
+    out = {}
+    for g, n in sorted(groups, key=lambda t: (-t[1], t[0])):
+        size, j = heapq.heappop(load)
+        out[g] = j
+        heapq.heappush(load, (size + n, j))
+    return out
+
+
+def nested_group_folds(assigned: DataFrame, inner_cv: int = 5) -> DataFrame:
+    """(split_type, outer, fold, inner): for each outer fold, the inner fold of every other group.
+
+    The result has groups x groups rows per split type by its nature; each
+    outer fold is worked out from the list of group sizes.
+    """
+    counts = assigned.groupBy("split_type", "fold").agg(F.count(F.lit(1)).alias("n"))
+    lists = counts.groupBy("split_type").agg(F.collect_list(F.struct("fold", "n")).alias("groups"))
+    rows = counts.select("split_type", F.col("fold").alias("outer")).join(lists, "split_type")
+
+    def run(frames):
+        for pdf in frames:
+            for split_type, outer, groups in zip(pdf["split_type"], pdf["outer"], pdf["groups"]):
+                others = [(g["fold"], int(g["n"])) for g in groups if g["fold"] != outer]
+                k = min(inner_cv, len(others))
+                if k < 2:
+                    raise ValueError("tuning needs at least two training groups in every outer fold")
+                found = greedy_group_folds(others, k)
+                yield pd.DataFrame({"split_type": split_type, "outer": outer, "fold": list(found), "inner": list(found.values())})
+
+    return rows.mapInPandas(run, "split_type string, outer string, fold string, inner int")
 
 
 def leave_one_out_mean(total_sum, total_n, fold_sum, fold_n):

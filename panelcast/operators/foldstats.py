@@ -2,90 +2,126 @@
 
 Training rows of fold ``f`` are "all rows but group f".  Additive statistics
 (count, sum, sum of squares) are obtained as total minus the fold's share;
-medians, which are not additive, use an exact order-statistic identity on
-global and within-fold ranks (see :func:`complement_median`).  Neither builds
-a per-fold copy of the training data.
+medians, which are not additive, come from bucket counts and an exact
+order-statistic identity inside the few buckets that matter (see
+:func:`complement_median`).  Neither builds a per-fold copy of the training
+data.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.operators.ranking import global_index
 from panelcast.operators.select import quote
+from panelcast.session import cut_lineage
 
 
-def long_values(assigned: DataFrame, features: list[str], id_cols: list[str]) -> DataFrame:
-    """(split_type, fold, *id_cols, feature, value) for every non-NULL value."""
+def long_values(assigned: DataFrame, features: list[str], id_cols: list[str],
+                keep_null: bool = False) -> DataFrame:
+    """(split_type, fold, *id_cols, feature, value) for every (non-NULL) value."""
     stacked = F.expr("stack({n}, {pairs}) as (feature, value)".format(
         n=len(features),
         pairs=", ".join(f"'{f}', CAST(`{f}` AS DOUBLE)" for f in features)))
     long = assigned.select("split_type", "fold", *[quote(c) for c in id_cols], stacked)
-    return long.where(F.col("value").isNotNull())
+    return long if keep_null else long.where(F.col("value").isNotNull())
+
+
+EPS = 2.220446049250313e-16
 
 
-def complement_moments(assigned: DataFrame, features: list[str]) -> DataFrame:
-    """(split_type, fold, feature, n, mean, sd_pop) of the rows *outside* each fold.
+def complement_moments(assigned: DataFrame, features: list[str],
+                       medians: DataFrame | None = None) -> DataFrame:
+    """(split_type, fold, feature, n, mean, sd) of the rows *outside* each fold.
 
-    ``sd_pop`` of zero is reported as 1.0 (the scaler divides by 1 then).
+    Sums are taken around the split-wide mean, so large offsets do not cancel.
+    Without ``medians`` NULLs are left out; with them (split_type, fold,
+    feature, median) a NULL counts as the fold's training median, as a scaler
+    behind an imputer sees it.  ``sd`` (population) of a constant column is 1.
     """
-    long = long_values(assigned, features, [])
-    per = long.groupBy("split_type", "fold", "feature").agg(
-        F.count("value").alias("n_f"), F.sum("value").alias("s_f"),
-        F.sum(F.col("value") * F.col("value")).alias("q_f"))
-    w = Window.partitionBy("split_type", "feature")
-    tot = per.select("*", F.sum("n_f").over(w).alias("n_all"), F.sum("s_f").over(w).alias("s_all"),
-                     F.sum("q_f").over(w).alias("q_all"))
-    n = F.col("n_all") - F.col("n_f")
-    mean = (F.col("s_all") - F.col("s_f")) / n
-    var = F.greatest((F.col("q_all") - F.col("q_f")) / n - mean * mean, F.lit(0.0))
-    sd = F.sqrt(var)
-    return tot.select("split_type", "fold", "feature", n.alias("n"),
-                      F.when(n > 0, mean).alias("mean"),
-                      F.when(n > 0, F.when(sd == 0, F.lit(1.0)).otherwise(sd)).alias("sd"))
+    long = long_values(assigned, features, [], keep_null=True)
+    keys = ["split_type", "feature"]
+    centre = long.groupBy(*keys).agg(F.avg("value").alias("c"))
+    d = F.col("value") - F.col("c")
+    per = long.join(centre, keys).groupBy("split_type", "fold", "feature", "c").agg(
+        F.count("value").alias("n_f"), F.sum(d).alias("s_f"), F.sum(d * d).alias("q_f"),
+        F.count_if(F.col("value").isNull()).alias("m_f"))
+    total = per.groupBy(*keys).agg(*[F.sum(f"{x}_f").alias(f"{x}_all") for x in "nsqm"])
+    left = per.join(total, keys)
+    rest = {x: F.coalesce(F.col(f"{x}_all"), F.lit(0)) - F.coalesce(F.col(f"{x}_f"), F.lit(0)) for x in "nsqm"}
+    n, s, q = rest["n"], rest["s"], rest["q"]
+    if medians is not None:
+        left = left.join(medians.select("split_type", "fold", "feature", "median"),
+                         ["split_type", "fold", "feature"], "left")
+        med = F.coalesce("median", F.lit(0.0)) - F.coalesce("c", F.lit(0.0))
+        n, s, q = n + rest["m"], s + rest["m"] * med, q + rest["m"] * med * med
+    shift = s / n
+    mean = F.coalesce("c", F.lit(0.0)) + shift
+    var = F.greatest(q / n - shift * shift, F.lit(0.0))
+    constant = var <= n * EPS * var + F.pow(n * mean * EPS, F.lit(2.0))
+    return left.select("split_type", "fold", "feature", n.alias("n"),
+                       F.when(n > 0, mean).alias("mean"),
+                       F.when(n > 0, F.when(constant, F.lit(1.0)).otherwise(F.sqrt(var))).alias("sd"))
+
+
+def bucket_count(rows: int, per_bucket: int = 200_000, least: int = 64, most: int = 4096) -> int:
+    """Rank buckets for a table of ``rows`` rows: tasks grow with the data."""
+    return max(least, min(most, -(-rows // per_bucket)))
+
+
+def bucket_ends(counts: DataFrame, by: list[str], n: str = "n") -> DataFrame:
+    """Adds ``__before`` (values in earlier buckets) and ``__size`` (all values) to (by, __b, n)."""
+    w = Window.partitionBy(*by).orderBy("__b")
+    return counts.withColumn("__before", F.sum(n).over(w) - F.col(n)) \
+        .withColumn("__size", F.sum(n).over(Window.partitionBy(*by)))
 
 
 def complement_median(assigned: DataFrame, features: list[str], id_cols: list[str]) -> DataFrame:
     """(split_type, fold, feature, median) of the values outside each fold; an
     all-missing training column gets 0.0.
 
-    Identity used: sort all values of a (split type, feature) by (value, id);
-    let ``g`` be a value's global position and ``j`` its position inside its
-    own fold, so ``d = g - j`` values of *other* folds precede it.  The k-th
-    smallest value outside fold f sits at global position ``k + m`` where
-    ``m = #{fold-f values with d <= k}``.  Two counts per fold and two
-    equi-joins on (split type, feature, position) finish the job.
+    Two steps.  Counts per value bucket, for all rows and for each fold, tell
+    in which bucket a fold's middle values lie and which rank r they have there
+    among the values of other folds.  Only those buckets are sorted: a value at
+    place g of its bucket and place j among its own fold's values there has
+    g - j values of other folds before it, so the wanted one stands at place
+    r + #{own values with g - j <= r}.
     """
+    by = ["split_type", "feature"]
     long = long_values(assigned, features, id_cols)
     long = long.withColumn("__h", F.xxhash64(*[quote(c) for c in id_cols]))
-    order = ["value", "__h", *id_cols]
-    long, bucket = with_value_buckets(long, ["split_type", "feature"])
-    g = global_index(long, order, bucket, out="__g", by=["split_type", "feature"])
-    ranked = global_index(g, order, bucket, out="__j", by=["split_type", "feature", "fold"])
-    ranked = ranked.withColumn("__d", F.col("__g") - F.col("__j"))
-    sizes = ranked.groupBy("split_type", "feature", "fold").agg(F.count(F.lit(1)).alias("n_f"))
-    sizes = sizes.withColumn("n_all", F.sum("n_f").over(Window.partitionBy("split_type", "feature")))
-    m = F.col("n_all") - F.col("n_f")
-    sizes = sizes.withColumn("k1", F.floor((m - 1) / 2)).withColumn("k2", F.floor(m / 2))
-    counts = ranked.join(sizes.select("split_type", "feature", "fold", "k1", "k2"),
-                         ["split_type", "feature", "fold"]).groupBy("split_type", "feature", "fold").agg(
-        F.count_if(F.col("__d") <= F.col("k1")).alias("m1"),
-        F.count_if(F.col("__d") <= F.col("k2")).alias("m2"))
-    targets = sizes.join(counts, ["split_type", "feature", "fold"], "left").select(
-        "split_type", "feature", "fold", (m > 0).alias("__any"),
-        (F.col("k1") + F.coalesce(F.col("m1"), F.lit(0))).alias("t1"),
-        (F.col("k2") + F.coalesce(F.col("m2"), F.lit(0))).alias("t2"))
-    at = ranked.select("split_type", "feature", F.col("__g").alias("__pos"), "value")
-    ranked = ranked.drop("__cuts")
-    v1 = at.withColumnRenamed("__pos", "t1").withColumnRenamed("value", "v1")
-    v2 = at.withColumnRenamed("__pos", "t2").withColumnRenamed("value", "v2")
-    res = (targets.join(v1, ["split_type", "feature", "t1"], "left")
-           .join(v2, ["split_type", "feature", "t2"], "left"))
-    med = F.when(F.col("__any"), (F.col("v1") + F.col("v2")) / 2).otherwise(F.lit(0.0))
-    return res.select("split_type", "fold", "feature", med.alias("median"))
+    buckets = bucket_count(assigned.count())
+    long, bucket = with_value_buckets(long, by, buckets=buckets)
+    rows = long.select(*by, "fold", "value", "__h", *[quote(c) for c in id_cols], bucket.alias("__b"))
+    per = cut_lineage(rows.groupBy(*by, "fold", "__b").agg(F.count(F.lit(1)).alias("n_f")))
+    total = per.groupBy(*by, "__b").agg(F.sum("n_f").alias("n_b"))
+    folds = assigned.select("split_type", "fold").distinct().select(
+        "*", F.explode(F.array(*[F.lit(f) for f in features])).alias("feature"))
+    # one row per fold and bucket: how many training values lie in it and before it
+    dense = folds.join(total, by).join(per, [*by, "fold", "__b"], "left") \
+        .withColumn("n", F.col("n_b") - F.coalesce("n_f", F.lit(0)))
+    ends = bucket_ends(dense, [*by, "fold"])
+    wanted = ends.where(F.col("n") > 0).select("*", F.explode(F.array(
+        F.floor((F.col("__size") - 1) / 2), F.floor(F.col("__size") / 2))).alias("k"))
+    targets = cut_lineage(wanted.where(
+        (F.col("k") >= F.col("__before")) & (F.col("k") < F.col("__before") + F.col("n")))
+        .select(*by, "fold", "__b", F.col("k").cast("long").alias("k"),
+                (F.col("k") - F.col("__before")).cast("long").alias("r")).distinct())
+    order = [F.col("value"), F.col("__h"), *[quote(c) for c in id_cols]]
+    near = rows.join(targets.select(*by, "__b").distinct(), [*by, "__b"], "left_semi")
+    placed = near.withColumn("g", F.row_number().over(Window.partitionBy(*by, "__b").orderBy(*order)) - 1) \
+        .withColumn("j", F.row_number().over(Window.partitionBy(*by, "__b", "fold").orderBy(*order)) - 1) \
+        .select(*by, "__b", "fold", "value", F.col("g").cast("long").alias("g"), "j")
+    placed = cut_lineage(placed)
+    own = placed.select(*by, "__b", "fold", (F.col("g") - F.col("j")).alias("d"))
+    at = targets.join(own, [*by, "__b", "fold"], "left").groupBy(*by, "fold", "__b", "k", "r").agg(
+        F.count_if(F.col("d") <= F.col("r")).alias("m"))
+    found = at.select(*by, "fold", "__b", "k", (F.col("r") + F.col("m")).alias("g")) \
+        .join(placed.select(*by, "__b", "g", "value"), [*by, "__b", "g"])
+    # one or two middle values per fold; with an odd count both ranks are the same one
+    middle = found.groupBy("split_type", "feature", "fold").agg(F.avg("value").alias("median"))
+    return folds.join(middle, ["split_type", "feature", "fold"], "left").select(
+        "split_type", "fold", "feature", F.coalesce("median", F.lit(0.0)).alias("median"))
 
 
 HASH_SPAN = 18446744073709551616.0  # 2**64
@@ -114,34 +150,12 @@ def with_value_buckets(long: DataFrame, by: list[str], value: str = "value", h:
     return out, (lo.cast("long") * F.lit(buckets) + r).cast("long")
 
 
-def apply_fold_stats(assigned: DataFrame, features: list[str], medians: DataFrame | None,
-                     moments: DataFrame | None) -> DataFrame:
-    """Impute (fold median) and/or standardise (fold mean and SD) the
-    feature columns of each test row with its own fold's training statistics."""
-    out = assigned
-    for stats, cols in ((medians, ["median"]), (moments, ["mean", "sd"])):
-        if stats is None:
-            continue
-        wide = stats.groupBy("split_type", "fold").pivot("feature", features).agg(
-            *[F.first(c).alias(c) for c in cols])
-        ren = {}
-        for f in features:
-            for c in cols:
-                src = f"{f}_{c}" if len(cols) > 1 else f
-                ren[src] = f"__{c}_{f}"
-        wide = reduce(lambda d, kv: d.withColumnRenamed(*kv), ren.items(), wide)
-        out = out.join(wide, ["split_type", "fold"], "left")
-    sel = []
-    for c in out.columns:
-        if c.startswith("__"):
-            continue
-        if c in features:
-            v = quote(c).cast("double")
-            if medians is not None:
-                v = F.coalesce(v, F.col(f"__median_{c}"))
-            if moments is not None:
-                v = (v - F.col(f"__mean_{c}")) / F.col(f"__sd_{c}")
-            sel.append(v.alias(c))
-        else:
-            sel.append(quote(c))
-    return out.select(*sel)
+def impute_with(assigned: DataFrame, features: list[str], medians: DataFrame) -> DataFrame:
+    """Each test row's NULL features replaced by its own fold's training median."""
+    wide = medians.groupBy("split_type", "fold").agg(
+        *[F.max(F.when(F.col("feature") == f, F.col("median"))).alias(f"__med_{i}") for i, f in enumerate(features)])
+    at = {f: i for i, f in enumerate(features)}
+    out = assigned.join(wide, ["split_type", "fold"], "left")
+    return out.select(*[
+        F.coalesce(quote(c).cast("double"), F.col(f"__med_{at[c]}"), F.lit(0.0)).alias(c) if c in at else quote(c)
+        for c in assigned.columns])

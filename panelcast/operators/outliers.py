@@ -3,19 +3,19 @@
 A value is an outlier when its score is strictly below the
 ``contamination`` percentile (linear interpolation between order
 statistics) of all scores of its column.  The percentile is exact and
-distributed: scores are ranked per column with bucketed global positions
-(no one-partition window, no per-group value buffer), and the two order
-statistics around ``q * (n - 1)`` are fetched by equi-join.
+distributed: bucket counts tell where the two order statistics around
+``q * (n - 1)`` lie, and only those buckets are sorted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.operators.foldstats import with_value_buckets
-from panelcast.operators.ranking import global_index
+from panelcast.operators.foldstats import bucket_count, bucket_ends, with_value_buckets
+from panelcast.operators.ranking import global_index, md5_bucket, md5_key
 from panelcast.operators.select import quote
+from panelcast.session import cut_lineage
 
 
 def unpivot_measures(df: DataFrame, columns: list[str], id_cols: list[str]) -> DataFrame:
@@ -32,19 +32,21 @@ def exact_percentile(long: DataFrame, by: list[str], value: str, q: float, id_co
     v = long.where(quote(value).isNotNull()).select(*by, *[quote(c) for c in id_cols],
                                                     quote(value).alias("value"))
     v = v.withColumn("__h", F.xxhash64(*[quote(c) for c in id_cols]))
-    v, bucket = with_value_buckets(v, by)
-    ranked = global_index(v, ["value", "__h", *id_cols], bucket, out="__pos", by=by,
-                          total_col="__n")
-    pos = F.lit(float(q)) * (F.col("__n") - 1)
-    sizes = ranked.select(*by, "__n").distinct().select(
-        *by, F.floor(pos).cast("long").alias("__lo"), F.ceil(pos).cast("long").alias("__hi"),
-        (pos - F.floor(pos)).alias("__frac"))
-    at = ranked.select(*by, "__pos", "value")
-    lo = at.withColumnRenamed("__pos", "__lo").withColumnRenamed("value", "__vlo")
-    hi = at.withColumnRenamed("__pos", "__hi").withColumnRenamed("value", "__vhi")
-    res = sizes.join(lo, [*by, "__lo"]).join(hi, [*by, "__hi"])
-    return res.select(*by, (F.col("__vlo") + (F.col("__vhi") - F.col("__vlo")) * F.col("__frac"))
-                      .alias(out))
+    v, bucket = with_value_buckets(v, by, buckets=bucket_count(long.count()))
+    rows = v.select(*by, "value", bucket.alias("__b"))
+    ends = cut_lineage(bucket_ends(rows.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("n")), by))
+    pos = F.lit(float(q)) * (F.col("__size") - 1)
+    # only the buckets that hold the two order statistics are sorted
+    wanted = ends.select(*by, "__b", "n", "__before", (pos - F.floor(pos)).alias("__frac"), F.explode(F.array(
+        F.floor(pos), F.ceil(pos))).alias("k")).where(
+        (F.col("k") >= F.col("__before")) & (F.col("k") < F.col("__before") + F.col("n"))).distinct()
+    targets = wanted.select(*by, "__b", "__frac", "k", (F.col("k") - F.col("__before")).alias("__r"))
+    w = Window.partitionBy(*by, "__b").orderBy("value")
+    placed = rows.join(targets.select(*by, "__b").distinct(), [*by, "__b"], "left_semi") \
+        .withColumn("__r", (F.row_number().over(w) - 1).cast("long"))
+    found = targets.join(placed, [*by, "__b", "__r"])
+    lo, hi = F.min("value"), F.max("value")
+    return found.groupBy(*by).agg((lo + (hi - lo) * F.max("__frac")).alias(out))
 
 
 def zscore_score(value: Column, mean: Column, sd: Column) -> Column:
@@ -60,30 +62,36 @@ def flag_outliers(df: DataFrame, columns: list[str], id_cols: list[str], *,
     isolation forest); by default the z-score twin is used.  The report has
     one row per column: original_non_nan, filtered_non_nan, outliers.
     """
-    long = unpivot_measures(df, columns, id_cols)
     if scores is None:
-        stats = long.groupBy("column").agg(F.avg("value").alias("__m"),
-                                           F.stddev_pop("value").alias("__s"))
-        # one row per column: bounded by the column list
-        scored = long.join(F.broadcast(stats), "column").withColumn(
-            "score", F.when(F.col("value").isNotNull(),
-                            zscore_score(F.col("value"), F.col("__m"), F.col("__s"))))
-        scored = scored.drop("__m", "__s")
+        stats = df.agg(*[f(quote(c).cast("double")).alias(f"{n}{i}") for i, c in enumerate(columns)
+                         for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()  # two numbers per column
+        def score(i: int) -> Column:
+            return zscore_score(quote(columns[i]).cast("double"), F.lit(stats[f"m{i}"]).cast("double"),
+                                F.lit(stats[f"s{i}"]).cast("double"))
+        scored = df
     else:
-        scored = long.join(scores, [*id_cols, "column"], "left")
-    thr = exact_percentile(scored, ["column"], "score", contamination, id_cols)
-    flagged = scored.join(F.broadcast(thr), "column", "left").withColumn(
-        "is_outlier", F.coalesce(F.col("score") < F.col("threshold"), F.lit(False)))
-    report = flagged.groupBy("column").agg(
-        F.count("value").alias("original_non_nan"),
-        F.count_if(F.col("value").isNotNull() & ~F.col("is_outlier")).alias("filtered_non_nan"),
-        F.count_if(F.col("is_outlier")).alias("outliers"),
-        F.first("threshold", ignorenulls=True).alias("threshold"))
-    kept = flagged.withColumn("value", F.when(~F.col("is_outlier"), F.col("value")))
-    wide = kept.groupBy(*[quote(c) for c in id_cols]).pivot("column", columns).agg(F.first("value"))
-    others = [c for c in df.columns if c not in columns]
-    filtered = df.select(*[quote(c) for c in others]).join(wide, id_cols)
-    return filtered.select(*[quote(c) for c in df.columns]), report
+        wide = scores.groupBy(*[quote(c) for c in id_cols]).agg(
+            *[F.max(F.when(F.col("column") == c, F.col("score"))).alias(f"__score_{i}") for i, c in enumerate(columns)])
+        scored = df.join(wide, id_cols, "left")
+        def score(i: int) -> Column:
+            return F.col(f"__score_{i}")
+    scored = cut_lineage(scored.select("*", *[score(i).alias(f"__sc_{i}") for i in range(len(columns))]))
+    long = scored.select(*[quote(c) for c in id_cols], F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"__sc_{i}").alias("score")) for i, c in enumerate(columns)])).alias("x")) \
+        .select(*[quote(c) for c in id_cols], "x.column", "x.score")
+    limit = {r["column"]: r["threshold"] for r in
+             exact_percentile(long, ["column"], "score", contamination, id_cols).collect()}  # one number per column
+    def out(i: int) -> Column:
+        return F.coalesce(F.col(f"__sc_{i}") < F.lit(limit.get(columns[i])).cast("double"), F.lit(False))
+    at = {c: i for i, c in enumerate(columns)}
+    filtered = scored.select(*[F.when(~out(at[c]), quote(c)).alias(c) if c in at else quote(c) for c in df.columns])
+    report = scored.agg(*[x.alias(f"{n}{i}") for i, c in enumerate(columns) for n, x in (
+        ("a", F.count(quote(c))), ("b", F.count_if(quote(c).isNotNull() & ~out(i))), ("o", F.count_if(out(i))))])
+    report = report.select(F.explode(F.array(*[F.struct(
+        F.lit(c).alias("column"), F.col(f"a{i}").alias("original_non_nan"), F.col(f"b{i}").alias("filtered_non_nan"),
+        F.col(f"o{i}").alias("outliers"), F.lit(limit.get(c)).cast("double").alias("threshold"))
+        for i, c in enumerate(columns)])).alias("x")).select("x.*")
+    return filtered, report
 
 
 # ------------------------------------------------------------ isolation forest
@@ -133,60 +141,63 @@ def _build_tree(values, max_depth: int, rng):
 def isolation_forest_scores(df: DataFrame, columns: list[str], id_cols: list[str], *,
                             n_trees: int = 100, max_samples: int = 256, seed: int = 42) -> DataFrame:
     """(id..., column, score) with score = -2**(-E[h(x)] / c(psi)) per column
-    (lower = more anomalous, like ``score_samples``).  One 1-D forest per column."""
+    (lower = more anomalous, like ``score_samples``).  One 1-D forest per column.
+
+    Each tree of a column draws psi = min(max_samples, n) seeded distinct
+    places in [0, n) and takes the values that stand there in hash order, so
+    every size of data is sampled in the same way.
+    """
     import math
 
     import numpy as np
     import pandas as pd
-    from pyspark.sql import Window as W
 
     long = unpivot_measures(df, columns, id_cols).where(F.col("value").isNotNull())
-    counts = {r["column"]: r["n"] for r in
-              long.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}  # per column
-    samples = []
-    for col, n in counts.items():
-        psi = min(max_samples, n)
-        part = long.where(F.col("column") == col)
-        if n >= n_trees * psi:
-            h = md5_key_expr(seed, F.lit(col), *id_cols)
-            ranked = global_index(part.withColumn("__h", h), ["__h", *id_cols],
-                                  F.conv(F.substring("__h", 1, 4), 16, 10).cast("int"), out="__pos")
-            picked = ranked.where(F.col("__pos") < n_trees * psi).select(
-                "column", (F.col("__pos") % n_trees).cast("int").alias("tree"), "value")
-        else:
-            t = part.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
-            h = md5_key_expr(seed, F.lit(col), F.col("tree"), *id_cols)
-            w = W.partitionBy("column", "tree").orderBy(h, *id_cols)  # < n_trees * psi rows
-            picked = t.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= psi).select(
-                "column", F.col("tree").cast("int").alias("tree"), "value")
-        samples.append(picked)
-    sample = samples[0]
-    for s in samples[1:]:
-        sample = sample.unionByName(s)
+    h = md5_key(seed, F.col("column"), *id_cols)
+    ranked = global_index(long.withColumn("__h", h), ["__h", *id_cols], md5_bucket("__h"), out="__pos",
+                          by=["column"], total_col="__n")
+    ranked = cut_lineage(ranked.select("column", "value", "__pos", "__n"))
+    counts = {r["column"]: r["n"] for r in ranked.groupBy("column").agg(F.max("__n").alias("n")).collect()}
+    spark = df.sparkSession
+    tasks = spark.createDataFrame([(c, t, n) for c, n in counts.items() for t in range(n_trees)],
+                                  "column string, tree int, n long")
+
+    def places(frames):
+        for pdf in frames:
+            for c, t, n in zip(pdf["column"], pdf["tree"], pdf["n"]):
+                psi = min(max_samples, n)
+                rng = np.random.default_rng(_tree_seed(seed, c, t))
+                got: dict[int, None] = {}  # distinct places in the order drawn, without a list of all n
+                while len(got) < psi:
+                    got |= dict.fromkeys(rng.integers(0, n, psi - len(got)).tolist())
+                yield pd.DataFrame({"column": c, "tree": t, "__pos": list(got)})
+
+    picked = tasks.mapInPandas(places, "column string, tree int, __pos long")  # columns x trees x psi rows
+    sample = ranked.join(picked, ["column", "__pos"]).select("column", "tree", "value")
     max_depth = int(math.ceil(math.log2(max(max_samples, 2))))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         col, tree = pdf["column"].iloc[0], int(pdf["tree"].iloc[0])
-        rng = np.random.default_rng(_tree_seed(seed, col, tree))
+        rng = np.random.default_rng([_tree_seed(seed, col, tree), 1])
         thr, lens = _build_tree(pdf["value"].to_numpy(float), max_depth, rng)
         return pd.DataFrame({"column": [col], "tree": [tree], "thr": [thr.tolist()],
                              "len": [lens.tolist()]})
 
+    # the forest: at most n_trees * psi thresholds per column (bounded model), fetched once
     trees = sample.groupBy("column", "tree").applyInPandas(
-        build, "column string, tree int, thr array<double>, len array<double>")
-    # the forest: at most n_trees * psi thresholds per column (bounded model)
+        build, "column string, tree int, thr array<double>, len array<double>").collect()
     forest = {}
-    for col in counts:
-        rows = trees.where(F.col("column") == col).collect()
+    for col, n in counts.items():
+        rows = sorted((r for r in trees if r["column"] == col), key=lambda r: r["tree"])
         allthr = np.unique(np.concatenate([np.asarray(r["thr"]) for r in rows]))
         reps = np.append(allthr, np.inf)
         total = np.zeros(len(reps))
         for r in rows:
             total += np.asarray(r["len"])[np.searchsorted(np.asarray(r["thr"]), reps, side="left")]
-        psi = min(max_samples, counts[col])
-        forest[col] = (allthr, total / len(rows), float(average_path_length([psi])[0]))
+        c = float(average_path_length([min(max_samples, n)])[0])
+        forest[col] = (allthr, total / len(rows), c if c > 0 else 1.0)
 
-    bc = df.sparkSession.sparkContext.broadcast(forest)
+    bc = spark.sparkContext.broadcast(forest)
     out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in long.schema.fields
                             if f.name != "value"] + ["score double"])
 
@@ -201,8 +212,3 @@ def isolation_forest_scores(df: DataFrame, columns: list[str], id_cols: list[str
             yield pdf.drop(columns=["value"]).assign(score=res)
 
     return long.mapInPandas(score, out_schema)
-
-
-def md5_key_expr(seed, *cols):
-    from panelcast.operators.ranking import md5_key
-    return md5_key(seed, *cols)

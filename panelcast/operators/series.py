@@ -55,9 +55,9 @@ def weekly_pairs(obs: DataFrame, *, site: str, time: str, target: str, features:
     (site, day) (see :func:`site_day_mean`).
     """
     if nominal_horizon_days < 1:
-        raise ValueError("nominal_horizon_days must be at least 1")
+        raise ValueError(f"nominal_horizon_days is {nominal_horizon_days}; give one day or more")
     if tolerance_days < 0 or tolerance_days >= nominal_horizon_days:
-        raise ValueError("tolerance_days must be between 0 and horizon_days - 1")
+        raise ValueError(f"tolerance_days is {tolerance_days}; give 0 or more, and less than the horizon")
     lo, hi = nominal_horizon_days - tolerance_days, nominal_horizon_days + tolerance_days
     target_out = target_out or f"{target}_target"
     w = Window.partitionBy(quote(site)).orderBy(quote(time))
@@ -162,7 +162,7 @@ def shifted_target(df: DataFrame, target: str, *, horizon_days: int = 7, date_co
     NULL).  With a site column, NULL-site rows never get a target.
     """
     if horizon_days < 1:
-        raise ValueError("horizon_days must be at least 1")
+        raise ValueError(f"horizon_days is {horizon_days}; give one day or more")
     out = out or f"{target}_next_{horizon_days}_days"
     w = _lead_window(date_col, site, order_by)
     res = df.withColumn(out, F.lead(quote(target), horizon_days).over(w))
@@ -178,7 +178,7 @@ def multi_horizon_targets(df: DataFrame, target: str, horizons: list[int], *, da
     long table ``(horizon_days, target)`` with the rows that have a target."""
     hs = sorted(set(int(h) for h in horizons))
     if not hs or hs[0] < 1:
-        raise ValueError("prediction horizons must be positive integers")
+        raise ValueError(f"horizons {list(horizons)} must all be whole days, one or more")
     w = _lead_window(date_col, site, order_by)
     wide = df.select("*", *[F.lead(quote(target), h).over(w).alias(f"__h{h}") for h in hs])
     if site:

@@ -582,12 +582,153 @@ FROM trv GROUP BY split_type, fold, feature"""
 
 # ------------------------------------------------------------------ models
 def q_linear_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fold-local OLS for every year and station-year fold (one Gram pass)."""
-    from panelcast.plans.weekly import fold_metrics, linear_predictions, model_details
-    assigned = _assigned_materialized(spark, sf_dir)
-    preds = linear_predictions(assigned, SPEC)
-    fm = fold_metrics(preds, THRESHOLD, model_details(preds, "linear"))
-    return round_doubles(fm)
+    """Fold-local OLS for every year and station-year fold, from one pass of moment matrices."""
+    from panelcast.plans.weekly import fold_metrics, linear_predictions
+    preds, details = linear_predictions(_assigned_materialized(spark, sf_dir), SPEC)
+    return round_doubles(fold_metrics(preds, THRESHOLD, details).drop("fit_seconds"))
+
+
+def _solve_sql(xs: list[str], y: str, keys: str, source: str) -> tuple[str, str]:
+    """(CTEs, prediction) of a least-squares fit with intercept by Gaussian elimination, one system per ``keys``.
+
+    ``source`` holds the training rows.  The CTE ``beta`` has columns b0, b1, ...
+    """
+    names = [*xs, y]
+    k = len(xs)
+    cov = ", ".join(f"covar_pop({names[i]}, {names[j]}) AS s_{i}_{j}" for i in range(k) for j in range(i, k + 1))
+    ctes = [f"e0 AS (SELECT {keys}, {cov}, {', '.join(f'avg({n}) AS m_{i}' for i, n in enumerate(names))} FROM {source} GROUP BY {keys})"]
+    means = ", ".join(f"m_{i}" for i in range(k + 1))
+    for step in range(k):
+        cells = [f"s_{i}_{j}" if i <= step else f"s_{i}_{j} - s_{step}_{i} / s_{step}_{step} * s_{step}_{j} AS s_{i}_{j}"
+                 for i in range(k) for j in range(i, k + 1)]
+        ctes.append(f"e{step + 1} AS (SELECT {keys}, {means}, {', '.join(cells)} FROM e{step})")
+    source = f"e{k}"
+    for i in reversed(range(k)):
+        later = "".join(f" - s_{i}_{j} * b{j + 1}" for j in range(i + 1, k))
+        ctes.append(f"r{i} AS (SELECT *, (s_{i}_{k}{later}) / s_{i}_{i} AS b{i + 1} FROM {source})")
+        source = f"r{i}"
+    b0 = f"m_{k}" + "".join(f" - b{i + 1} * m_{i}" for i in range(k))
+    ctes.append(f"beta AS (SELECT {keys}, {', '.join(f'b{i + 1}' for i in range(k))}, {b0} AS b0 FROM {source})")
+    return ",\n".join(ctes), "b0" + "".join(f" + b{i + 1} * {{t}}.{x}" for i, x in enumerate(xs))
+
+
+def _linear_sql() -> str:
+    # ``total`` is the sum of two other features: predictions do not change without it
+    ctes, pred = _solve_sql(["qty", "price", "part_a", "part_b"], "total_target", "split_type, fold", "lt")
+    return "WITH " + ASSIGNED_SQL.split(",\ntr AS")[0] + f""",
+lt AS (SELECT f.split_type, f.fold, a.* EXCLUDE (split_type, fold)
+       FROM folds f JOIN assigned a ON a.split_type = f.split_type AND a.fold <> f.fold),
+{ctes},
+lp AS (SELECT a.split_type, a.fold, a.nominal_horizon_days, a.total_target AS y_true,
+              greatest({pred.format(t="a")}, 0.0) AS y_pred
+       FROM assigned a JOIN beta USING (split_type, fold)),
+ls AS (SELECT split_type, count(*) AS n_all FROM assigned GROUP BY split_type)
+SELECT min(nominal_horizon_days) AS horizon_days, split_type, fold, 'linear' AS method, 'Linear Regression' AS model,
+       'none' AS baseline, min(n_all) - count(*) AS train_rows, {THRESHOLD} AS threshold,
+       '{{}}' AS best_params, CAST(NULL AS DOUBLE) AS best_inner_cv_rmse, CAST(0 AS INTEGER) AS inner_cv_splits,
+       {event_sql('y_true', 'y_pred')}
+FROM lp JOIN ls USING (split_type) GROUP BY split_type, fold"""
+
+
+# ------------------------------------------------------------ panel with gaps
+def _gap(column: str) -> F.Column:
+    """True for about one cell in 16, by a hash of the row's place and the column."""
+    return F.substring(F.md5(F.concat_ws(":", F.col("site").cast("string"), F.col("current_date").cast("string"), F.lit(column))), 1, 1) == "0"
+
+
+def pairs_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weekly pairs with missing feature cells."""
+    p = pairs(spark, sf_dir)
+    return p.select(*[F.when(~_gap(c), quote(c)).alias(c) if c in panel.FEATURES else quote(c) for c in p.columns])
+
+
+def _gap_sql(c: str) -> str:
+    return f"""CASE WHEN substr(md5(concat_ws(':', CAST(site AS VARCHAR), CAST("current_date" AS VARCHAR), '{c}')), 1, 1) <> '0' THEN {c} END AS {c}"""
+
+
+GAPS_SQL = PAIRS_SQL + f""",
+gp AS (SELECT * EXCLUDE ({", ".join(panel.FEATURES)}), {", ".join(_gap_sql(c) for c in panel.FEATURES)} FROM pairs)"""
+
+
+def q_knn_regress_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KNN (k=5, uniform, p=2) per held-out year on the panel with gaps, filled with each fold's training medians."""
+    from panelcast.operators.folds import assign_blocked_folds
+    from panelcast.plans.weekly import knn_blocked_predictions
+    from panelcast.session import cut_lineage
+    assigned = assign_blocked_folds(cut_lineage(pairs_with_gaps(spark, sf_dir)), ("year",))
+    preds, _ = knn_blocked_predictions(assigned, SPEC)
+    return round_doubles(preds.select("fold", "site", "current_date", "y_true", "y_pred"))
+
+
+def _knn_missing_sql(feats=tuple(panel.FEATURES), k: int = 5) -> str:
+    med = ", ".join(f"coalesce(median(x.{f}), 0) AS m_{f}" for f in feats)
+    sds = ", ".join(f"CASE WHEN stddev_pop(coalesce(x.{f}, m_{f})) = 0 THEN 1.0 ELSE stddev_pop(coalesce(x.{f}, m_{f})) END AS s_{f}" for f in feats)
+    dist = " + ".join(f"pow((coalesce(q.{f}, q.m_{f}) - coalesce(c.{f}, q.m_{f})) / q.s_{f}, 2)" for f in feats)
+    ms = ", ".join(f"m_{f}" for f in feats)
+    return "WITH " + GAPS_SQL + f""",
+yr AS (SELECT CAST(target_year AS VARCHAR) AS fold, * FROM gp),
+fy AS (SELECT DISTINCT fold FROM yr),
+md AS (SELECT f.fold, {med} FROM fy f JOIN yr x ON x.fold <> f.fold GROUP BY f.fold),
+mom AS (SELECT f.fold, {ms}, {sds} FROM md f JOIN yr x ON x.fold <> f.fold GROUP BY f.fold, {ms}),
+q AS (SELECT yr.*, mom.* EXCLUDE (fold) FROM yr JOIN mom USING (fold)),
+pr AS (SELECT q.fold, q.site, q."current_date", q.total_target AS y_true, c.total_target AS cy, {dist} AS d
+       FROM q JOIN yr c ON c.fold <> q.fold),
+top AS (SELECT fold, site, "current_date", min(y_true) AS y_true, min_by(cy, d, {k}) AS l
+        FROM pr GROUP BY fold, site, "current_date")
+SELECT fold, site, "current_date", round(y_true, 6) AS y_true, round(greatest(list_avg(l), 0.0), 6) AS y_pred FROM top"""
+
+
+def q_linear_blocked_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OLS predictions for every year and station-year fold on the panel with gaps (fold medians inside)."""
+    from panelcast.operators.folds import assign_blocked_folds
+    from panelcast.plans.weekly import linear_predictions
+    from panelcast.session import cut_lineage
+    preds, _ = linear_predictions(assign_blocked_folds(cut_lineage(pairs_with_gaps(spark, sf_dir))), SPEC)
+    return round_doubles(preds.select("split_type", "fold", "site", "current_date", "y_true", "y_pred"))
+
+
+def _linear_missing_sql() -> str:
+    ctes, pred = _solve_sql(panel.FEATURES, "total_target", "split_type, fold", "lt")
+    ms = ", ".join(f"coalesce(median(a.{f}), 0) AS m_{f}" for f in panel.FEATURES)
+    fill = ", ".join(f"coalesce({f}, m_{f}) AS {f}" for f in panel.FEATURES)
+    rest = ", ".join(panel.FEATURES)
+    return "WITH " + GAPS_SQL + f""",
+assigned AS (SELECT 'year' AS split_type, CAST(target_year AS VARCHAR) AS fold, * FROM gp
+             UNION ALL SELECT 'station_year', station_year, * FROM gp),
+folds AS (SELECT DISTINCT split_type, fold FROM assigned),
+tr AS (SELECT f.split_type, f.fold, a.* EXCLUDE (split_type, fold)
+       FROM folds f JOIN assigned a ON a.split_type = f.split_type AND a.fold <> f.fold),
+md AS (SELECT split_type, fold, {ms} FROM tr a GROUP BY split_type, fold),
+lt AS (SELECT split_type, fold, total_target, {fill} FROM tr JOIN md USING (split_type, fold)),
+{ctes},
+te AS (SELECT a.* EXCLUDE ({rest}), {fill} FROM assigned a JOIN md USING (split_type, fold))
+SELECT te.split_type, te.fold, site, "current_date", round(total_target, 6) AS y_true,
+       round(greatest({pred.format(t="te")}, 0.0), 6) AS y_pred
+FROM te JOIN beta USING (split_type, fold)"""
+
+
+def q_knn_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps of the panel filled from the five nearest rows."""
+    from panelcast.operators.impute import impute_knn
+    out = impute_knn(pairs_with_gaps(spark, sf_dir), panel.FEATURES, ["site", "current_date"])
+    return round_doubles(out.select("site", "current_date", *panel.FEATURES))
+
+
+def _impute_sql(feats=tuple(panel.FEATURES), k: int = 5) -> str:
+    square = " + ".join(f"coalesce((q.{f} - c.{f}) * (q.{f} - c.{f}), 0)" for f in feats)
+    common = " + ".join(f"CAST(q.{f} IS NOT NULL AND c.{f} IS NOT NULL AS INTEGER)" for f in feats)
+    top = ", ".join(f"list_avg(list_transform(min_by(struct_pack(v := c{i}), struct_pack(d := d, s := csite, t := cdate), {k}) "
+                    f"FILTER (WHERE q{i} IS NULL AND c{i} IS NOT NULL AND d IS NOT NULL), lambda x: x.v)) AS n_{f}" for i, f in enumerate(feats))
+    return "WITH " + GAPS_SQL + f""",
+qs AS (SELECT * FROM gp WHERE {" OR ".join(f"{f} IS NULL" for f in feats)}),
+pr AS (SELECT q.site, q."current_date", c.site AS csite, c."current_date" AS cdate,
+              {", ".join(f"q.{f} AS q{i}, c.{f} AS c{i}" for i, f in enumerate(feats))},
+              CASE WHEN {common} > 0 THEN sqrt(({square}) * {len(feats)} / ({common})) END AS d
+       FROM qs q CROSS JOIN gp c),
+nb AS (SELECT site, "current_date", {top} FROM pr GROUP BY site, "current_date"),
+av AS (SELECT {", ".join(f"avg({f}) AS a_{f}" for f in feats)} FROM gp)
+SELECT gp.site, gp."current_date", {", ".join(f"round(coalesce(gp.{f}, n_{f}, a_{f}), 6) AS {f}" for f in feats)}
+FROM gp LEFT JOIN nb ON nb.site = gp.site AND nb."current_date" = gp."current_date" CROSS JOIN av"""
 
 
 def q_knn_regress_year(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -709,19 +850,10 @@ def q_horizon_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_polynomial_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Degree-2 ridge (alpha = 1) on fold-standardised features, every fold."""
-    from panelcast.operators.linear import (fit_blocked_linear, polynomial_columns,
-                                            predict_blocked_linear)
-    from panelcast.plans.weekly import PAIR_METADATA, fold_metrics, model_details
-    assigned = _assigned_materialized(spark, sf_dir)
-    expanded, names = polynomial_columns(assigned, panel.FEATURES)
-    from panelcast.session import cut_lineage
-    coefs = cut_lineage(fit_blocked_linear(expanded, names, "total_target", alpha=1.0))
-    pred = predict_blocked_linear(expanded, coefs, names)
-    preds = pred.select("split_type", "fold", F.lit("polynomial").alias("method"),
-                        F.lit("Polynomial Regression").alias("model"), F.lit("none").alias("baseline"),
-                        "site", *PAIR_METADATA, F.col("total_target").alias("y_true"), "y_pred")
-    fm = fold_metrics(preds, THRESHOLD, model_details(coefs, "polynomial", '{"alpha": 1.0}'))
-    return round_doubles(fm)
+    from panelcast.plans.weekly import fold_metrics, linear_predictions
+    preds, details = linear_predictions(_assigned_materialized(spark, sf_dir), SPEC, alpha=1.0, degree=2,
+                                        method="polynomial", label="Polynomial Regression")
+    return round_doubles(fold_metrics(preds, THRESHOLD, details).drop("fit_seconds"))
 
 
 # ------------------------------------------------------------ explanations
@@ -768,10 +900,10 @@ def q_iforest_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_blocked_validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """KNN, linear and polynomial models plus both baselines, every fold of
+    """KNN, linear and polynomial models with fixed parameters and both baselines, every fold of
     both split types, summarised across folds."""
     from panelcast.plans.weekly import evaluate_blocked_validation
-    _, _, summary, _ = evaluate_blocked_validation(pairs(spark, sf_dir), SPEC, threshold=THRESHOLD)
+    _, _, summary, _ = evaluate_blocked_validation(pairs(spark, sf_dir), SPEC, threshold=THRESHOLD, tune=False)
     return round_doubles(summary)
 
 
@@ -783,34 +915,43 @@ def q_knn_nested_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelcast.session import cut_lineage
     assigned = assign_blocked_folds(cut_lineage(pairs(spark, sf_dir)), ("year",))
     preds, details = knn_nested_predictions(assigned, SPEC, split_type="year")
-    return round_doubles(fold_metrics(preds, THRESHOLD, details))
+    return round_doubles(fold_metrics(preds, THRESHOLD, details).drop("fit_seconds"))
 
 
-def q_ridge_nested_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_ridge_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Polynomial ridge, alpha in {1, 10} tuned by nested group k-fold CV per held-out year."""
     from panelcast.operators.folds import assign_blocked_folds
     from panelcast.plans.weekly import fold_metrics, ridge_nested_predictions
     from panelcast.session import cut_lineage
     assigned = assign_blocked_folds(cut_lineage(pairs(spark, sf_dir)), ("year",))
-    preds, details = ridge_nested_predictions(assigned, SPEC, split_type="year")
-    return round_doubles(fold_metrics(preds, THRESHOLD, details))
+    preds, details = ridge_nested_predictions(assigned, SPEC)
+    return round_doubles(fold_metrics(preds, THRESHOLD, details).drop("fit_seconds"))
 
 
 def q_group_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inner group k-fold (5 splits) of the training years inside every held-out
     year: (outer_fold, group, inner_fold, rows)."""
-    from panelcast.operators.models import group_kfold_map
-    p = pairs(spark, sf_dir).select(F.col("target_year").cast("string").alias("g"))
-    counts = p.groupBy("g").agg(F.count(F.lit(1)).alias("n"))  # one row per group
-    groups = {r["g"]: r["n"] for r in counts.collect()}
-    rows = []
-    for f in sorted(groups):
-        others = counts.where(F.col("g") != f)
-        for g, j in group_kfold_map(others, "g", min(5, len(groups) - 1)).items():
-            rows.append((f, g, int(j)))
-    mp = spark.createDataFrame(rows, "outer_fold string, g string, inner_fold int")
-    return (counts.join(F.broadcast(mp), "g")  # (groups)^2 rows: metadata
-            .select("outer_fold", F.col("g").alias("group"), "inner_fold", F.col("n").alias("rows")))
+    from panelcast.operators.folds import assign_blocked_folds, nested_group_folds
+    from panelcast.session import cut_lineage
+    assigned = assign_blocked_folds(cut_lineage(pairs(spark, sf_dir)), ("year",))
+    counts = assigned.groupBy("fold").agg(F.count(F.lit(1)).alias("rows"))
+    return nested_group_folds(assigned, 5).join(counts, "fold").select(
+        F.col("outer").alias("outer_fold"), F.col("fold").alias("group"), F.col("inner").alias("inner_fold"), "rows")
+
+
+SQL_GROUP_KFOLD = "WITH RECURSIVE " + PAIRS_SQL + """,
+cnt AS (SELECT CAST(target_year AS VARCHAR) AS g, count(*) AS n FROM pairs GROUP BY 1),
+o AS (SELECT a.g AS outer_fold, b.g AS g, b.n AS n, row_number() OVER (PARTITION BY a.g ORDER BY b.n DESC, b.g) AS i
+      FROM cnt a JOIN cnt b ON a.g <> b.g),
+r AS (
+  SELECT g AS outer_fold, CAST(0 AS BIGINT) AS i, [CAST(0 AS BIGINT), 0, 0, 0, 0] AS load, CAST(NULL AS VARCHAR) AS g,
+         CAST(NULL AS BIGINT) AS n, CAST(NULL AS INTEGER) AS j FROM cnt
+  UNION ALL
+  SELECT r.outer_fold, o.i, list_transform(r.load, lambda x, k: x + CASE WHEN k = list_position(r.load, list_min(r.load)) THEN o.n ELSE 0 END),
+         o.g, o.n, CAST(list_position(r.load, list_min(r.load)) - 1 AS INTEGER)
+  FROM r JOIN o ON o.outer_fold = r.outer_fold AND o.i = r.i + 1)
+SELECT outer_fold, g AS "group", j AS inner_fold, n AS "rows" FROM r WHERE g IS NOT NULL"""
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "site_day_mean": q_site_day_mean,
@@ -844,7 +985,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "iforest_outliers": q_iforest_outliers,
     "blocked_validation_summary": q_blocked_validation_summary,
     "knn_nested_year": q_knn_nested_year,
-    "ridge_nested_year": q_ridge_nested_year,
+    "ridge_nested_year": q_ridge_nested,
+    "linear_blocked_missing": q_linear_blocked_missing,
+    "knn_regress_missing": q_knn_regress_missing,
+    "knn_impute": q_knn_impute,
     "group_kfold": q_group_kfold,
 }
 
@@ -871,6 +1015,11 @@ ORACLE_SQL_RAW: dict[str, str] = {
     "fold_median_impute": SQL_FOLD_MEDIAN_IMPUTE,
     "knn_regress_year": _knn_sql(),
     "outlier_threshold": SQL_OUTLIER_THRESHOLD,
+    "linear_blocked": _linear_sql(),
+    "linear_blocked_missing": _linear_missing_sql(),
+    "knn_regress_missing": _knn_missing_sql(),
+    "knn_impute": _impute_sql(),
+    "group_kfold": SQL_GROUP_KFOLD,
 }
 
 ORACLE_SQL: dict[str, str] = {k: sql_quantise(v) for k, v in ORACLE_SQL_RAW.items()}

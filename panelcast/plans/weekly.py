@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import json
+import time
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.cleaning import clean_numeric_frame
+from panelcast.functions.labels import clip_nonnegative
 from panelcast.operators.baselines import baseline_predictions
-from panelcast.operators.folds import assign_blocked_folds, blocked_fold_sizes
-from panelcast.operators.metrics import event_metric_columns
+from panelcast.operators.folds import assign_blocked_folds, blocked_fold_sizes, nested_group_folds, split_group_column
+from panelcast.operators.foldstats import complement_median, complement_moments
+from panelcast.operators.knn import fold_score, knn_neighbours, knn_predict, mean_score, parameter_grid
+from panelcast.operators.linear import fit_blocked_linear, predict_blocked_linear, tune_blocked_ridge
+from panelcast.operators.metrics import event_metric_columns, summarize_fold_metrics, summarize_pooled_predictions
+from panelcast.operators.models import fit_blocked_spark_ml, make_model_spec
 from panelcast.operators.select import extract_features, quote
 from panelcast.operators.series import add_total, site_day_mean, weekly_pairs
 from panelcast.session import cut_lineage
-from panelcast.schema import (BASE_FEATURES, TOTAL_NAME, TOTAL_PARTS, TOXIN_FEATURES,
+from panelcast.schema import (BASE_FEATURES, KNN_PARAM_GRID, TOTAL_NAME, TOTAL_PARTS, TOXIN_FEATURES,
                               TOXIN_MODEL_FEATURES, FeatureSpec)
 
 PAIR_METADATA = ["current_date", "target_date", "target_year", "station_year",
@@ -77,14 +85,14 @@ def fold_metrics(predictions: DataFrame, threshold: float,
 
     One aggregation over the predictions; ``train_rows`` is the split's row
     count minus the fold's (each row is a test row exactly once per split
-    type and method), summed over the small per-fold table.
+    type and method), from sums over the per-fold table.
     """
     keys = ["split_type", "fold", "method", "model", "baseline"]
     met = predictions.groupBy(*keys).agg(
         F.min("nominal_horizon_days").alias("horizon_days"), F.count(F.lit(1)).alias("test_rows"),
         *event_metric_columns("y_true", "y_pred", threshold))
-    split_rows = F.sum("test_rows").over(Window.partitionBy("split_type", "method"))
-    out = met.withColumn("train_rows", split_rows - F.col("test_rows"))
+    split_rows = met.groupBy("split_type", "method").agg(F.sum("test_rows").alias("__rows"))
+    out = met.join(split_rows, ["split_type", "method"]).withColumn("train_rows", F.col("__rows") - F.col("test_rows"))
     if model_details is not None:
         out = out.join(model_details, ["split_type", "fold", "method"], "left")
     else:
@@ -109,7 +117,7 @@ def make_pairs(obs: DataFrame, spec: PanelSpec, nominal_horizon_days: int = 7,
 def require_rows(df: DataFrame) -> DataFrame:
     """Empty-result guard at an action boundary."""
     if df.isEmpty():
-        raise ValueError("No same-site consecutive observations matched the requested horizon window")
+        raise ValueError("no pairs: widen the tolerance or check the observation dates of each site")
     return df
 
 
@@ -117,293 +125,195 @@ def pair_columns(spec: PanelSpec) -> list:
     return [quote(c) for c in [*spec.features, spec.site, *PAIR_METADATA, spec.target_out]]
 
 
-def linear_predictions(assigned: DataFrame, spec: PanelSpec, *, medians: DataFrame | None = None,
-                       alpha: float = 0.0, method: str = "linear",
-                       label: str = "Linear Regression") -> DataFrame:
-    """Fold-local OLS (or ridge) predictions for every test row, clipped at 0."""
-    from panelcast.operators.linear import fit_blocked_linear, predict_blocked_linear
-    # one small row per fold, read by every test row: materialise once
-    coefs = cut_lineage(fit_blocked_linear(assigned, spec.features, spec.target_out, alpha=alpha,
-                                           medians=medians))
-    keep = [spec.site, *PAIR_METADATA]
-    pred = predict_blocked_linear(assigned, coefs, spec.features)
-    return pred.select("split_type", "fold", F.lit(method).alias("method"),
-                       F.lit(label).alias("model"), F.lit("none").alias("baseline"),
-                       *[quote(c) for c in keep],
+def pair_ids(spec: PanelSpec) -> list[str]:
+    return [spec.site, "current_date"]
+
+
+def gap_medians(assigned: DataFrame, features: list[str], id_cols: list[str]) -> DataFrame | None:
+    """Training medians of every fold, or None when no feature has a gap."""
+    gaps = assigned.agg(*[F.count_if(quote(f).isNull()).alias(f"g{i}") for i, f in enumerate(features)]).first()
+    return cut_lineage(complement_median(assigned, features, id_cols)) if any(gaps) else None
+
+
+def model_rows(pred: DataFrame, spec: PanelSpec, method: str, label: str) -> DataFrame:
+    """Predictions in the common layout."""
+    return pred.select("split_type", "fold", F.lit(method).alias("method"), F.lit(label).alias("model"),
+                       F.lit("none").alias("baseline"), *[quote(c) for c in [spec.site, *PAIR_METADATA]],
                        quote(spec.target_out).cast("double").alias("y_true"), "y_pred")
 
 
-def model_details(predictions: DataFrame, method: str, best_params: str = "{}",
-                  inner_cv_splits: int = 0, best_inner_cv_rmse: float | None = None,
-                  fit_seconds: float = 0.0) -> DataFrame:
-    """One row per (split type, fold) with the fit details of a model
-    (``predictions`` may be any table with those two columns, e.g. the
-    coefficient table)."""
-    return (predictions.select("split_type", "fold").distinct()
-            .select("split_type", "fold", F.lit(method).alias("method"),
-                    F.lit(best_params).alias("best_params"),
-                    F.lit(best_inner_cv_rmse).cast("double").alias("best_inner_cv_rmse"),
-                    F.lit(inner_cv_splits).cast("int").alias("inner_cv_splits"),
-                    F.lit(float(fit_seconds)).alias("fit_seconds")))
-
-
-def knn_blocked_predictions(assigned: DataFrame, spec: PanelSpec, *, k: int = 5,
-                            weights: str = "uniform", p: int = 2) -> DataFrame:
-    """Exact fold-local KNN predictions for every test row (clipped at 0)."""
-    from panelcast.functions.labels import clip_nonnegative
-    from panelcast.operators.foldstats import complement_moments
-    from panelcast.operators.knn import knn_neighbours, knn_predict
-    mom = complement_moments(assigned, spec.features)
-    ids = [spec.site, "current_date"]
-    nn = knn_neighbours(assigned, spec.features, spec.target_out, ids, mom, k_max=k, p=p)
+def linear_predictions(assigned: DataFrame, spec: PanelSpec, *, medians: DataFrame | None = None,
+                       alpha: float = 0.0, degree: int = 1, method: str = "linear",
+                       label: str = "Linear Regression") -> tuple[DataFrame, DataFrame]:
+    """Fold-local OLS (or ridge) predictions for every test row, clipped at 0, and the fit details."""
+    if medians is None:
+        medians = gap_medians(assigned, spec.features, pair_ids(spec))
+    # one small row per fold, read by every test row: written once
+    coefs = cut_lineage(fit_blocked_linear(assigned, spec.features, spec.target_out, alpha=alpha, medians=medians, degree=degree))
+    params = json.dumps({"alpha": alpha}) if alpha else "{}"
+    return (model_rows(predict_blocked_linear(assigned, coefs, spec.features, degree=degree), spec, method, label),
+            model_details(coefs, method, params, seconds="seconds"))
+
+
+def model_details(folds: DataFrame, method: str, best_params: str = "{}", inner_cv_splits: int = 0,
+                  seconds: str | float = 0.0) -> DataFrame:
+    """One row per (split type, fold) with the fit details of a model without
+    tuning; ``seconds`` names a column of ``folds`` or is a number."""
+    took = F.max(seconds) if isinstance(seconds, str) else F.lit(float(seconds))
+    return folds.groupBy("split_type", "fold").agg(took.alias("fit_seconds")).select(
+        "split_type", "fold", F.lit(method).alias("method"), F.lit(best_params).alias("best_params"),
+        F.lit(None).cast("double").alias("best_inner_cv_rmse"),
+        F.lit(inner_cv_splits).cast("int").alias("inner_cv_splits"), "fit_seconds")
+
+
+def knn_blocked_predictions(assigned: DataFrame, spec: PanelSpec, *, k: int = 5, weights: str = "uniform", p: int = 2,
+                            medians: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Exact fold-local KNN predictions for every test row (clipped at 0), and the fit details."""
+    if medians is None:
+        medians = gap_medians(assigned, spec.features, pair_ids(spec))
+    began = time.perf_counter()
+    mom = complement_moments(assigned, spec.features, medians)
+    ids = pair_ids(spec)
+    nn = knn_neighbours(assigned, spec.features, spec.target_out, ids, mom, k_max=k, p=p, medians=medians)
     pred = knn_predict(nn, k, weights).withColumn("y_pred", clip_nonnegative("y_pred"))
-    keep = [spec.site, *PAIR_METADATA]
-    rows = assigned.select("split_type", "fold", *[quote(c) for c in dict.fromkeys(keep)],
-                           quote(spec.target_out).cast("double").alias("y_true"))
-    return rows.join(pred.select("split_type", "fold", *[quote(c) for c in ids], "y_pred"),
-                     ["split_type", "fold", *ids]).select(
-        "split_type", "fold", F.lit("knn").alias("method"), F.lit("KNN").alias("model"),
-        F.lit("none").alias("baseline"), *[quote(c) for c in keep], "y_true", "y_pred")
-
-
-def evaluate_blocked_validation(pairs: DataFrame, spec: PanelSpec, *,
-                                split_types=("year", "station_year"),
-                                model_names=("knn", "linear", "polynomial"),
-                                threshold: float = 1.0, tune_knn: bool = False):
-    """Models + persistence + seasonal climatology for every blocked fold.
+    rows = assigned.join(pred.select("split_type", "fold", *[quote(c) for c in ids], "y_pred"), ["split_type", "fold", *ids])
+    # one search serves all folds: each gets its share of the time
+    folds = assigned.select("split_type", "fold").distinct()
+    share = (time.perf_counter() - began) / max(1, folds.count())
+    params = json.dumps({"n_neighbors": k, "p": p, "weights": weights}, sort_keys=True)
+    return model_rows(rows, spec, "knn", "KNN"), model_details(folds, "knn", params, seconds=share)
 
-    Returns (fold_metrics, predictions, summary, pooled).  Gram models and KNN
-    run all folds of all split types in one plan; tree models fit per outer
-    fold (``year`` split).  ``knn`` uses the default (k=5, uniform, p=2) and
-    ``polynomial`` alpha = 1 in this composition.
-    """
-    from functools import reduce
 
-    from panelcast.operators.linear import (fit_blocked_linear, polynomial_columns,
-                                            predict_blocked_linear)
-    from panelcast.operators.metrics import summarize_fold_metrics, summarize_pooled_predictions
-    from panelcast.operators.models import fit_blocked_spark_ml, make_model_spec
+def evaluate_blocked_validation(pairs: DataFrame, spec: PanelSpec, *, split_types=("year", "station_year"),
+                                model_names=("knn", "linear", "polynomial"), threshold: float = 1.0,
+                                tune: bool = True, inner_cv: int = 5):
+    """Models + persistence + seasonal climatology for every blocked fold.
 
+    Returns (fold_metrics, predictions, summary, pooled).  Gaps are filled with
+    each fold's training medians in every model.  With ``tune`` every model
+    that has a grid is tuned inside each outer fold by group k-fold, whatever
+    the number of folds; without, ``knn`` runs with k=5, uniform, p=2,
+    ``polynomial`` with alpha = 1 and trees with the last point of their grid.
+    """
     pairs = cut_lineage(pairs)
     assigned = assign_blocked_folds(pairs, split_types)
-    keep = [spec.site, *PAIR_METADATA]
+    medians = gap_medians(assigned, spec.features, pair_ids(spec))
     parts, details = [], []
     for name in dict.fromkeys(model_names):
         ms = make_model_spec(name)
         if name == "linear":
-            pr = linear_predictions(assigned, spec)
-            parts.append(pr)
-            details.append(model_details(pr, "linear"))
+            found = [linear_predictions(assigned, spec, medians=medians)]
+        elif name == "polynomial" and tune:
+            found = [ridge_nested_predictions(assigned, spec, medians=medians, inner_cv=inner_cv)]
         elif name == "polynomial":
-            ex, names = polynomial_columns(assigned, spec.features)
-            coefs = cut_lineage(fit_blocked_linear(ex, names, spec.target_out, alpha=1.0))
-            pr = predict_blocked_linear(ex, coefs, names).select(
-                "split_type", "fold", F.lit("polynomial").alias("method"),
-                F.lit(ms.label).alias("model"), F.lit("none").alias("baseline"),
-                *[quote(c) for c in keep], quote(spec.target_out).cast("double").alias("y_true"),
-                "y_pred")
-            parts.append(pr)
-            details.append(model_details(coefs, "polynomial", '{"alpha": 1.0}'))
+            found = [linear_predictions(assigned, spec, medians=medians, alpha=1.0, degree=2, method=name, label=ms.label)]
+        elif name == "knn" and tune:
+            found = [knn_nested_predictions(assigned, spec, split_type=st, medians=medians, inner_cv=inner_cv)
+                     for st in dict.fromkeys(split_types)]
         elif name == "knn":
-            nested = []
-            if tune_knn:
-                for st in split_types:
-                    n_folds = assigned.where(F.col("split_type") == st).select("fold").distinct().count()
-                    if n_folds <= MAX_NESTED_OUTER_FOLDS:
-                        nested.append(st)
-                        pr, det = knn_nested_predictions(assigned, spec, split_type=st)
-                        parts.append(pr)
-                        details.append(det)
-            if len(nested) < len(list(dict.fromkeys(split_types))):
-                rest = assigned.where(~F.col("split_type").isin(nested)) if nested else assigned
-                pr = knn_blocked_predictions(rest, spec)
-                parts.append(pr)
-                details.append(model_details(pr, "knn",
-                                             '{"n_neighbors": 5, "p": 2, "weights": "uniform"}'))
+            found = [knn_blocked_predictions(assigned, spec, medians=medians)]
         elif ms.kind == "spark_ml":
-            for st in split_types:
-                from panelcast.operators.folds import split_group_column
-                pr, det = fit_blocked_spark_ml(assigned, ms, spec.features, spec.target_out,
-                                               split_type=st, group_col=split_group_column(st))
-                parts.append(pr.select("split_type", "fold", F.lit(name).alias("method"),
-                                       F.lit(ms.label).alias("model"), F.lit("none").alias("baseline"),
-                                       *[quote(c) for c in keep],
-                                       quote(spec.target_out).cast("double").alias("y_true"), "y_pred"))
-                details.append(det)
+            found = []
+            for st in dict.fromkeys(split_types):
+                pr, det = fit_blocked_spark_ml(assigned, ms, spec.features, spec.target_out, split_type=st,
+                                               group_col=split_group_column(st), fold_medians=medians, tune=tune,
+                                               inner_cv=inner_cv)
+                found.append((model_rows(pr, spec, name, ms.label), det))
         else:
             raise ValueError(f"model {name!r} has no Spark-native estimator yet")
+        parts += [pr for pr, _ in found]
+        details += [det for _, det in found]
     base = baseline_predictions(assigned, current=spec.target, target=spec.target_out,
-                                site=spec.site, keep=keep)
-    model_preds = reduce(lambda a, b: a.unionByName(b), parts) if parts else None
-    det = reduce(lambda a, b: a.unionByName(b), details) if details else None
-    fm_models = fold_metrics(model_preds, threshold, det) if model_preds is not None else None
-    fm_base = fold_metrics(base, threshold)
-    fm = fm_base if fm_models is None else fm_models.unionByName(fm_base)
-    preds = base if model_preds is None else model_preds.unionByName(base)
+                                site=spec.site, keep=[spec.site, *PAIR_METADATA])
+    fm, preds = fold_metrics(base, threshold), base
+    if parts:
+        models = reduce(DataFrame.unionByName, parts)
+        fm = fold_metrics(models, threshold, reduce(DataFrame.unionByName, details)).unionByName(fm)
+        preds = models.unionByName(base)
     return fm, preds, summarize_fold_metrics(fm), summarize_pooled_predictions(preds, threshold)
 
 
-MAX_NESTED_OUTER_FOLDS = 50
+def _inner_table(part: DataFrame, inner: DataFrame, columns: list[str]) -> DataFrame:
+    """The inner validation problems as split types of their own: each row once for every outer fold it trains."""
+    return cut_lineage(part.join(inner.select("outer", "fold", "inner"), "fold").select(
+        F.col("outer").alias("split_type"), F.col("inner").cast("string").alias("fold"), *[quote(c) for c in dict.fromkeys(columns)]))
 
 
-def knn_nested_predictions(assigned: DataFrame, spec: PanelSpec, *, split_type: str = "year",
-                           inner_cv: int = 5, param_grid: dict | None = None,
-                           max_outer_folds: int = MAX_NESTED_OUTER_FOLDS):
+def knn_nested_predictions(assigned: DataFrame, spec: PanelSpec, *, split_type: str = "year", inner_cv: int = 5,
+                           param_grid: dict | None = None, medians: DataFrame | None = None):
     """KNN tuned inside every outer fold by group k-fold CV (nested), then
     used to predict the fold's test rows.  Returns (predictions, details).
 
-    Each training row is replicated once per outer fold it trains (the
-    inner problem of fold f is its own split key), so one exact neighbour
-    search per metric ``p`` scores every (outer fold, inner fold, grid
-    point).  The replication factor is the number of outer folds, hence the
-    ``max_outer_folds`` guard (fine for year splits; station-year splits with
-    thousands of folds should use fixed parameters).
+    Distances differ from one inner training set to the next, so each training
+    row takes part once per outer fold it trains (the inner problem of fold f
+    is a split type of its own); one exact neighbour search per metric ``p``
+    then scores every (outer fold, inner fold, grid point).
     """
-    import json
-
-    from panelcast.operators.foldstats import complement_moments
-    from panelcast.operators.knn import knn_neighbours, knn_predict
-    from panelcast.operators.models import group_kfold_map
-    from panelcast.plans.daily import _grid
-    from panelcast.schema import KNN_PARAM_GRID
-    from panelcast.functions.labels import clip_nonnegative
-
-    grid = _grid(param_grid or KNN_PARAM_GRID)
+    began = time.perf_counter()
+    grid = parameter_grid(param_grid or KNN_PARAM_GRID)
     k_max = max(g["n_neighbors"] for g in grid)
+    ids = pair_ids(spec)
     part = cut_lineage(assigned.where(F.col("split_type") == split_type))
-    counts = part.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))  # one row per group
-    groups = [r["fold"] for r in counts.collect()]
-    if len(groups) > max_outer_folds:
-        raise ValueError(f"nested KNN tuning replicates rows per outer fold; {len(groups)} folds "
-                         f"exceed max_outer_folds={max_outer_folds}")
-    spark = assigned.sparkSession
-    mapping, splits = [], {}
-    for f in groups:
-        others = counts.where(F.col("fold") != f)
-        k = min(inner_cv, len(groups) - 1)
-        if k < 2:
-            raise ValueError("At least two training groups are required for blocked tuning")
-        splits[f] = k
-        for g, j in group_kfold_map(others, "fold", k).items():
-            mapping.append((f, g, int(j)))
-    mp = spark.createDataFrame(mapping, "outer string, fold string, inner int")
-    ids = [spec.site, "current_date"]
-    cols = [quote(c) for c in dict.fromkeys([*ids, *spec.features, spec.target_out])]
-    # bounded: (outer folds)^2 rows
-    inner = cut_lineage(part.join(F.broadcast(mp), "fold").select(
-        F.col("outer").alias("split_type"), F.col("inner").cast("string").alias("fold"), *cols))
-    mom = complement_moments(inner, spec.features)
-    truth = inner.select("split_type", "fold", *[quote(c) for c in ids],
-                         quote(spec.target_out).cast("double").alias("__y"))
-    scored = []
-    for p in sorted({g["p"] for g in grid}):
-        nn = cut_lineage(knn_neighbours(inner, spec.features, spec.target_out, ids, mom,
-                                        k_max=k_max, p=p).join(truth, ["split_type", "fold", *ids]))
-        for cid, g in enumerate(grid):
-            if g["p"] == p:
-                pr = knn_predict(nn, g["n_neighbors"], g["weights"])
-                scored.append(pr.select("split_type", "fold", F.lit(cid).alias("candidate"),
-                                        ((F.col("y_pred") - F.col("__y")) ** 2).alias("__se")))
-    from functools import reduce
-    per_fold = reduce(lambda a, b: a.unionByName(b), scored).groupBy(
-        "split_type", "candidate", "fold").agg(F.avg("__se").alias("mse"))
-    mean = per_fold.groupBy("split_type", "candidate").agg(F.avg("mse").alias("mean_mse"))
-    wb = Window.partitionBy("split_type").orderBy("mean_mse", "candidate")
-    best = cut_lineage(mean.withColumn("__r", F.row_number().over(wb)).where("__r = 1")
-                       .select(F.col("split_type").alias("fold"), "candidate", "mean_mse"))
-    # outer predictions with every candidate, keep each fold's chosen one
-    outer_mom = complement_moments(part, spec.features)
-    preds = []
-    for p in sorted({g["p"] for g in grid}):
-        nn = cut_lineage(knn_neighbours(part, spec.features, spec.target_out, ids, outer_mom,
-                                        k_max=k_max, p=p))
-        for cid, g in enumerate(grid):
-            if g["p"] == p:
-                pr = knn_predict(nn, g["n_neighbors"], g["weights"])
-                preds.append(pr.select("split_type", "fold", *[quote(c) for c in ids],
-                                       F.lit(cid).alias("candidate"), "y_pred"))
-    chosen = reduce(lambda a, b: a.unionByName(b), preds).join(
-        best.select("fold", "candidate"), ["fold", "candidate"])
-    keep = [spec.site, *PAIR_METADATA]
-    rows = part.select("split_type", "fold", *[quote(c) for c in dict.fromkeys(keep)],
-                       quote(spec.target_out).cast("double").alias("y_true"))
-    out = rows.join(chosen.drop("candidate"), ["split_type", "fold", *ids]).select(
-        "split_type", "fold", F.lit("knn").alias("method"), F.lit("KNN").alias("model"),
-        F.lit("none").alias("baseline"), *[quote(c) for c in keep], "y_true",
-        clip_nonnegative("y_pred").alias("y_pred"))
-    cand = spark.createDataFrame(
-        [(i, json.dumps(g, sort_keys=True)) for i, g in enumerate(grid)],
-        "candidate int, best_params string")
-    details = best.join(F.broadcast(cand), "candidate").select(  # grid: 20 rows
-        F.lit(split_type).alias("split_type"), "fold", F.lit("knn").alias("method"),
-        "best_params", F.sqrt("mean_mse").alias("best_inner_cv_rmse"),
-        F.lit(0.0).alias("fit_seconds"))
-    # one row per outer fold (guarded above)
-    det_splits = spark.createDataFrame([(f, k) for f, k in splits.items()],
-                                       "fold string, __k int")
-    details = details.join(F.broadcast(det_splits), "fold").select(
-        "split_type", "fold", "method", "best_params", "best_inner_cv_rmse",
-        F.col("__k").alias("inner_cv_splits"), "fit_seconds")
+    inner_folds = cut_lineage(nested_group_folds(part, inner_cv))
+    inner = _inner_table(part, inner_folds, [*ids, *spec.features, spec.target_out])
+    own_medians = gap_medians(part, spec.features, ids) if medians is None else medians.where(F.col("split_type") == split_type)
+    inner_medians = gap_medians(inner, spec.features, ids)
+    truth = inner.select("split_type", "fold", *[quote(c) for c in ids], quote(spec.target_out).cast("double").alias("__y"))
+
+    def predictions(table: DataFrame, meds: DataFrame | None) -> DataFrame:
+        """(split_type, fold, ids, candidate, y_pred) for every grid point."""
+        mom = complement_moments(table, spec.features, meds)
+        out = []
+        for p in sorted({g["p"] for g in grid}):
+            nn = cut_lineage(knn_neighbours(table, spec.features, spec.target_out, ids, mom, k_max=k_max, p=p, medians=meds))
+            out += [knn_predict(nn, g["n_neighbors"], g["weights"], strict=False).withColumn("candidate", F.lit(c)).drop("nn")
+                    for c, g in enumerate(grid) if g["p"] == p]
+        return reduce(DataFrame.unionByName, out)
+
+    scored = predictions(inner, inner_medians).join(truth, ["split_type", "fold", *ids]) \
+        .withColumn("__se", (F.col("y_pred") - F.col("__y")) ** 2)
+    per_fold = scored.groupBy("split_type", "candidate", "fold").agg(fold_score().alias("mse"))
+    mean = per_fold.groupBy("split_type", "candidate").agg(mean_score("mse").alias("mean_mse"))
+    # ties: the first grid point
+    best = cut_lineage(mean.where(F.col("mean_mse").isNotNull()).groupBy(F.col("split_type").alias("fold")).agg(
+        F.min(F.struct("mean_mse", "candidate")).alias("b")).select("fold", "b.candidate", "b.mean_mse"))
+    chosen = predictions(part, own_medians).join(best.select("fold", "candidate"), ["fold", "candidate"]) \
+        .select("split_type", "fold", *[quote(c) for c in ids], clip_nonnegative("y_pred").alias("y_pred"))
+    out = model_rows(part.join(chosen, ["split_type", "fold", *ids]), spec, "knn", "KNN")
+    names = F.create_map(*[x for c, g in enumerate(grid) for x in (F.lit(c), F.lit(json.dumps(g, sort_keys=True)))])
+    splits = inner_folds.groupBy(F.col("outer").alias("fold")).agg((F.max("inner") + 1).cast("int").alias("inner_cv_splits"))
+    share = (time.perf_counter() - began) / max(1, best.count())
+    details = best.join(splits, "fold").select(
+        F.lit(split_type).alias("split_type"), "fold", F.lit("knn").alias("method"), names[F.col("candidate")].alias("best_params"),
+        F.sqrt("mean_mse").alias("best_inner_cv_rmse"), "inner_cv_splits", F.lit(share).alias("fit_seconds"))
     return out, details
 
 
-def ridge_nested_predictions(assigned: DataFrame, spec: PanelSpec, *, split_type: str = "year",
-                             alphas=(1.0, 10.0), inner_cv: int = 5,
-                             max_outer_folds: int = MAX_NESTED_OUTER_FOLDS):
+def ridge_nested_predictions(assigned: DataFrame, spec: PanelSpec, *, split_type: str | None = None,
+                             alphas=(1.0, 10.0), inner_cv: int = 5, medians: DataFrame | None = None):
     """Polynomial (degree 2) ridge with alpha tuned by nested group k-fold CV
-    inside every outer fold.  Inner problems are separate split keys of one
-    replicated table, so each alpha costs one Gram pass for all (outer, inner)
-    pairs.  Returns (predictions, details)."""
-    from functools import reduce
-
-    from panelcast.operators.linear import (fit_blocked_linear, polynomial_columns,
-                                            predict_blocked_linear)
-    from panelcast.operators.models import group_kfold_map
-
-    part = cut_lineage(assigned.where(F.col("split_type") == split_type))
-    counts = part.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))  # one row per group
-    groups = [r["fold"] for r in counts.collect()]
-    if len(groups) > max_outer_folds:
-        raise ValueError(f"nested tuning replicates rows per outer fold; {len(groups)} folds "
-                         f"exceed max_outer_folds={max_outer_folds}")
-    k = min(inner_cv, len(groups) - 1)
-    if k < 2:
-        raise ValueError("At least two training groups are required for blocked tuning")
-    mapping = [(f, g, int(j)) for f in groups
-               for g, j in group_kfold_map(counts.where(F.col("fold") != f), "fold", k).items()]
-    spark = assigned.sparkSession
-    mp = spark.createDataFrame(mapping, "outer string, fold string, inner int")  # (folds)^2 rows
-    ex_part, names = polynomial_columns(part, spec.features)
-    inner = cut_lineage(ex_part.join(F.broadcast(mp), "fold").withColumn("fold", F.col("inner").cast("string"))
-                        .withColumn("split_type", F.col("outer")).drop("outer", "inner"))
-    scores = []
-    for a in alphas:
-        co = cut_lineage(fit_blocked_linear(inner, names, spec.target_out, alpha=float(a)))
-        pr = predict_blocked_linear(inner, co, names, clip=False)
-        scores.append(pr.groupBy("split_type", "fold").agg(
-            F.avg((F.col("y_pred") - quote(spec.target_out)) ** 2).alias("mse"))
-            .withColumn("alpha", F.lit(float(a))))
-    mean = reduce(lambda x, y: x.unionByName(y), scores).groupBy("split_type", "alpha").agg(
-        F.avg("mse").alias("mean_mse"))
-    order = {float(a): i for i, a in enumerate(alphas)}
-    rank = F.create_map(*[x for a, i in order.items() for x in (F.lit(a), F.lit(i))])
-    wb = Window.partitionBy("split_type").orderBy("mean_mse", rank[F.col("alpha")])
-    best = cut_lineage(mean.withColumn("__r", F.row_number().over(wb)).where("__r = 1")
-                       .select(F.col("split_type").alias("fold"), "alpha", "mean_mse"))
-    preds = []
-    for a in alphas:
-        co = cut_lineage(fit_blocked_linear(ex_part, names, spec.target_out, alpha=float(a)))
-        preds.append(predict_blocked_linear(ex_part, co, names).withColumn("alpha", F.lit(float(a))))
-    keep = [spec.site, *PAIR_METADATA]
-    chosen = reduce(lambda x, y: x.unionByName(y), preds).join(best.select("fold", "alpha"),
-                                                              ["fold", "alpha"])
-    out = chosen.select("split_type", "fold", F.lit("polynomial").alias("method"),
-                        F.lit("Polynomial Regression").alias("model"), F.lit("none").alias("baseline"),
-                        *[quote(c) for c in keep],
-                        quote(spec.target_out).cast("double").alias("y_true"), "y_pred")
-    details = best.select(F.lit(split_type).alias("split_type"), "fold",
-                          F.lit("polynomial").alias("method"),
-                          F.to_json(F.struct(F.col("alpha"))).alias("best_params"),
-                          F.sqrt("mean_mse").alias("best_inner_cv_rmse"),
-                          F.lit(k).cast("int").alias("inner_cv_splits"), F.lit(0.0).alias("fit_seconds"))
-    return out, details
+    inside every outer fold, of one split type or of all.  Inner training and validation
+    matrices are sums of group matrices; rows are copied (once per outer fold)
+    only to take medians where features have gaps.  Returns (predictions, details)."""
+    ids = pair_ids(spec)
+    assigned = cut_lineage(assigned if split_type is None else assigned.where(F.col("split_type") == split_type))
+    inner = cut_lineage(nested_group_folds(assigned, inner_cv))
+    if medians is None:
+        medians = gap_medians(assigned, spec.features, ids)
+    inner_medians = None
+    if medians is not None:
+        keys = F.to_json(F.struct("split_type", "outer"))
+        copies = cut_lineage(assigned.join(inner, ["split_type", "fold"]).select(
+            keys.alias("split_type"), F.col("inner").cast("string").alias("fold"), *[quote(c) for c in dict.fromkeys([*ids, *spec.features])]))
+        named = F.from_json("split_type", "split_type string, outer string")
+        inner_medians = complement_median(copies, spec.features, ids).select(
+            named["split_type"].alias("split_type"), named["outer"].alias("outer"), F.col("fold").alias("inner"), "feature", "median")
+    coefs = cut_lineage(tune_blocked_ridge(
+        assigned, spec.features, spec.target_out, inner, alphas=[float(a) for a in alphas], degree=2,
+        medians=medians, inner_medians=inner_medians))
+    pred = predict_blocked_linear(assigned, coefs, spec.features, degree=2)
+    splits = inner.groupBy("split_type", F.col("outer").alias("fold")).agg((F.max("inner") + 1).cast("int").alias("inner_cv_splits"))
+    details = coefs.join(splits, ["split_type", "fold"]).select(
+        "split_type", "fold", F.lit("polynomial").alias("method"), F.to_json(F.struct("alpha")).alias("best_params"),
+        F.sqrt("mse").alias("best_inner_cv_rmse"), "inner_cv_splits", F.col("seconds").alias("fit_seconds"))
+    return model_rows(pred, spec, "polynomial", "Polynomial Regression"), details

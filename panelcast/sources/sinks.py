@@ -24,8 +24,11 @@ SUMMARY_DISPLAY = {
 
 
 def write_table(df: DataFrame, path: str, *, fmt: str = "csv", partition_by: list[str] | None = None,
-                mode: str = "overwrite") -> None:
-    """CSV (with header) or parquet; ``partition_by`` replaces per-horizon folders."""
+                order_by: list[str] | None = None, mode: str = "overwrite") -> None:
+    """CSV (with header) or parquet; ``partition_by`` replaces per-horizon folders;
+    ``order_by`` sorts the whole output (files in order, rows in order within them)."""
+    if order_by:
+        df = df.orderBy(*[F.col(f"`{c}`") for c in order_by])
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)

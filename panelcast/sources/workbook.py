@@ -118,16 +118,11 @@ def read_workbooks(spark: SparkSession, paths: str, sheet_name: str | None = Non
     if on_error == "raise":
         bad = errors.limit(1).collect()
         if bad:
-            raise ValueError(f"Cannot read {bad[0]['path']} as a valid .xlsx file ({bad[0]['error']}). "
-                             "Save it again as a standard Excel workbook.")
+            raise ValueError(f"{bad[0]['path']} is no readable .xlsx workbook ({bad[0]['error']}); "
+                             "export it anew from the spreadsheet program")
     good = cells.where(F.col("error").isNull())
     header = good.where(F.col("row") == 0).select("path", "sheet", "col", F.col("value").alias("name"))
-    # column names are metadata (one row per header cell)
-    names = {}
-    for r in header.collect():
-        names.setdefault(r["col"], r["name"])
-    body = good.where(F.col("row") > 0)
-    cols = sorted(names)
-    wide = body.groupBy("path", "sheet", "row").pivot("col", cols).agg(F.first("value"))
-    return wide.select("path", "sheet", "row",
-                       *[F.col(f"`{c}`").alias(str(names[c])) for c in cols])
+    # a column's name comes from its own file: workbooks may order their columns differently
+    body = good.where(F.col("row") > 0).join(header, ["path", "sheet", "col"])
+    names = [r["name"] for r in header.groupBy("name").agg(F.min("col").alias("col")).orderBy("col", "name").collect()]
+    return body.groupBy("path", "sheet", "row").pivot("name", names).agg(F.first("value"))

@@ -24,3 +24,34 @@ def test_isolation_forest_flags_planted_outliers(spark):
     assert 3 <= r["outliers"] <= 6  # about 0.5 % of 1003, strict "<" on the threshold
     dropped = {row["id"] for row in filtered.where("x IS NULL").collect()}
     assert {1000, 1001, 1002} <= dropped
+
+
+def test_forest_matches_numpy_forest_with_the_same_seeds(spark):
+    import hashlib
+
+    from panelcast.operators.outliers import _build_tree, _tree_seed, average_path_length
+    rng = np.random.default_rng(5)
+    for n in (40, 700):  # fewer and more values than a sample holds
+        vals = rng.normal(size=n)
+        df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(vals)], "id long, x double")
+        got = {r["id"]: r["score"] for r in isolation_forest_scores(df, ["x"], ["id"], n_trees=20, seed=9).collect()}
+        order = sorted(range(n), key=lambda i: (hashlib.md5(f"9:x:{i}".encode()).hexdigest(), i))
+        psi = min(256, n)
+        depth = np.zeros(n)
+        for t in range(20):
+            draw, places = np.random.default_rng(_tree_seed(9, "x", t)), {}
+            while len(places) < psi:
+                places |= dict.fromkeys(draw.integers(0, n, psi - len(places)).tolist())
+            thr, lens = _build_tree(vals[[order[p] for p in places]], 8, np.random.default_rng([_tree_seed(9, "x", t), 1]))
+            depth += lens[np.searchsorted(thr, vals, side="left")]
+        want = -np.power(2.0, -(depth / 20) / average_path_length([psi])[0])
+        assert max(abs(got[i] - want[i]) for i in range(n)) < 1e-12
+
+
+def test_columns_without_values_have_no_outliers(spark):
+    df = spark.createDataFrame([(i, None, float(i)) for i in range(30)], "id long, e double, x double")
+    scores = isolation_forest_scores(df, ["e", "x"], ["id"], n_trees=5)
+    filtered, report = flag_outliers(df, ["e", "x"], ["id"], scores=scores)
+    rows = {r["column"]: r for r in report.collect()}
+    assert (rows["e"]["original_non_nan"], rows["e"]["filtered_non_nan"], rows["e"]["outliers"]) == (0, 0, 0)
+    assert filtered.count() == 30

@@ -54,3 +54,16 @@ def test_damaged_workbook_names_the_path(spark):
         f.write(b"not a zip")
     with pytest.raises(ValueError, match="bad.xlsx"):
         read_workbooks(spark, d + "/*.xlsx")
+
+
+def test_columns_are_named_by_their_own_workbook(spark):
+    d = tempfile.mkdtemp(prefix="pc-xlsx-", dir="/tmp")
+    _write(os.path.join(d, "a.xlsx"))
+    turned = SHEET.replace('r="B1" t="s"><v>1</v>', 'r="B1" t="s"><v>2</v>').replace('r="C1" t="s"><v>2</v>', 'r="C1" t="s"><v>1</v>')
+    with zipfile.ZipFile(os.path.join(d, "a.xlsx")) as old, zipfile.ZipFile(os.path.join(d, "b.xlsx"), "w") as new:
+        for name in old.namelist():
+            new.writestr(name, turned if name.endswith("sheet1.xml") else old.read(name))
+    rows = read_workbooks(spark, d + "/*.xlsx", "2012-2022_surface").collect()
+    for r in rows:
+        assert (r["Site"] == "WE2") == r["path"].endswith("a.xlsx")
+    assert len(rows) == 4
