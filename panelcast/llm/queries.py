@@ -87,4 +87,79 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+def _rows_sql() -> str:
+    """Mixing: the same md5 draws, the distribution of each source as a recursive table."""
+    seed, piece, terms = mixing.SEED, mixing.PIECE_MEAN, mixing.TERMS
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, lang, text, coalesce(length(text), 0) AS n FROM documents),
+sz AS (SELECT source, sum(n) AS size FROM d GROUP BY source),
+tot AS (SELECT CAST(sum(size) AS DOUBLE) / sum(pow(CAST(size AS DOUBLE), 0.5)) AS f FROM sz),
+rt AS (SELECT source, CASE WHEN size = 0 THEN 1.0 ELSE pow(CAST(size AS DOUBLE), 0.5) * f / size END AS rate FROM sz, tot),
+pc AS (SELECT source, CAST(greatest(1, ceil(rate / {piece})) AS INTEGER) AS pieces, rate / greatest(1, ceil(rate / {piece})) AS mean FROM rt),
+c AS (SELECT source, pieces, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS c FROM pc
+      UNION ALL SELECT source, pieces, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM c WHERE k < {terms}),
+cdf AS (SELECT source, min(pieces) AS pieces, list(c ORDER BY k) AS cs FROM c GROUP BY source),
+u AS (SELECT d.*, cs, unnest(range(1, pieces + 1)) AS j FROM d JOIN cdf ON d.source IS NOT DISTINCT FROM cdf.source),
+n AS (SELECT doc_id, source, lang, text, CAST(sum(len(list_filter(cs, lambda x: x <
+             CAST(CAST('0x' || substr(md5(concat_ws(':', '{seed}', CAST(doc_id AS VARCHAR), CAST(j AS VARCHAR))), 1, 13) AS BIGINT) AS DOUBLE)
+             / 4503599627370496.0))) AS INTEGER) AS copies
+      FROM u GROUP BY doc_id, source, lang, text),
+x AS (SELECT doc_id, source, lang, text, CAST(unnest(range(1, copies + 1)) AS INTEGER) AS copy FROM n)
+SELECT doc_id, source, lang, text, copy,
+       md5(concat_ws(':', '{seed}', CAST(doc_id AS VARCHAR), CAST(copy AS VARCHAR), 'order')) AS shuffle_key
+FROM x"""
+
+
+def _lines_sql() -> str:
+    return r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+           FROM documents),
+s AS (SELECT doc_id, i, trim(line, E' \t\r') AS t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p
+      FROM l WHERE trim(line, E' \t\r') <> ''),
+w AS (SELECT doc_id, p, i AS i0, lead(i) OVER v AS i1, lead(i, 2) OVER v AS i2, t AS a, lead(t) OVER v AS b, lead(t, 2) OVER v AS c
+      FROM s WINDOW v AS (PARTITION BY doc_id ORDER BY p)),
+f AS (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, p) AS r FROM w WHERE i2 IS NOT NULL),
+cut AS (SELECT DISTINCT doc_id, unnest([i0, i1, i2]) AS i FROM f WHERE r > 1),
+n AS (SELECT doc_id, count(*) AS n_removed FROM cut GROUP BY doc_id),
+kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) AS text
+         FROM l LEFT JOIN cut ON cut.doc_id = l.doc_id AND cut.i = l.i WHERE cut.i IS NULL GROUP BY l.doc_id),
+m AS (SELECT doc_id, count(*) AS n_lines FROM s GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN n.n_removed IS NULL THEN d.text ELSE coalesce(kept.text, '') END AS text,
+       coalesce(m.n_lines, 0) AS n_lines, coalesce(n.n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+
+def _urls_sql() -> str:
+    """Every rule against every URL, without an index."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    base = [r for r in urlfilter.RULES if r.base]
+    hit = lambda r: f"regexp_matches(t, {quote(r.regex)})"
+    by_length = sorted(base, key=lambda r: -len(r.name))
+    pick = lambda value: "CASE " + " ".join(f"WHEN {hit(r)} THEN {quote(value(r))}" for r in by_length) + " END"
+    some = lambda action: " OR ".join(f"(t <> '' AND {hit(r)})" for r in urlfilter.RULES if not r.base and r.action == action)
+    part = lambda k: f"coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)(.*)$', {k}, 's'), '')"
+    rare = urlfilter.TOKEN
+    tokens = f"list_distinct(regexp_extract_all(lower(t), '{rare}'))"
+    # candidates: rules whose rarest token the URL holds
+    spread = ", ".join(f"({quote(r.name)}, {quote(t)})" for r in urlfilter.RULES for t in (r.tokens or ("",)))
+    return f"""
+WITH u AS (SELECT page_id, url, translate({part(1)}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  {part(2)} AS path, {part(3)} AS rest FROM pages),
+v AS (SELECT *, host || path || rest AS t FROM u),
+tk AS (SELECT DISTINCT url, unnest({tokens}) AS token FROM v WHERE host <> '' UNION SELECT DISTINCT url, '' FROM v WHERE host <> ''),
+rt(name, token) AS (VALUES {spread}),
+nt AS (SELECT token, count(*) AS n FROM tk WHERE token <> '' GROUP BY token),
+ix AS (SELECT rt.name, min_by(rt.token, struct_pack(n := coalesce(nt.n, 0), t := rt.token)) AS token FROM rt LEFT JOIN nt USING (token) GROUP BY rt.name),
+cn AS (SELECT tk.url, count(*) AS n FROM tk JOIN ix USING (token) GROUP BY tk.url)
+SELECT page_id, host, path, {pick(lambda r: r.name)} AS rule,
+       coalesce({pick(lambda r: r.action)}, CASE WHEN ({some('block')}) AND NOT ({some('allow')}) THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(cn.n, 0) AS n_candidates
+FROM v LEFT JOIN cn ON cn.url = v.url"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": _rows_sql(),
+    "op6_line_dedup": _lines_sql(),
+    "op7_url_filter": _urls_sql(),
+}
