@@ -1,0 +1,168 @@
+"""Fold-local imputation in every model, small folds, stable sums, KNN imputation."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from panelcast.operators.foldstats import complement_median, complement_moments
+from panelcast.operators.impute import impute_knn
+from panelcast.operators.knn import knn_neighbours, knn_predict
+from panelcast.operators.linear import fit_blocked_linear, monomials, predict_blocked_linear, tune_blocked_ridge
+from panelcast.operators.folds import nested_group_folds
+
+FEATS = ["a", "b", "c"]
+
+
+def table(spark, sizes=(25, 25, 25, 25), gaps=True, seed=7, offset=0.0):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for g, n in enumerate(sizes):
+        for i in range(n):
+            x = rng.normal(size=3) * [1.0, 10.0, 0.1] + offset
+            y = 1.5 + (x - offset) @ [2.0, -0.3, 5.0] + 0.3 * (x[0] - offset) ** 2 + rng.normal() * 0.1
+            xs = [None if gaps and rng.random() < 0.15 else float(v) for v in x]
+            rows.append(("year", str(g), f"r{g}_{i}", *xs, float(y)))
+    return spark.createDataFrame(rows, "split_type string, fold string, rid string, a double, b double, c double, y double")
+
+
+def filled(pdf, f):
+    tr = pdf[pdf.fold != f]
+    med = np.nan_to_num(np.nanmedian(tr[FEATS].to_numpy(float), axis=0))
+    fill = lambda x: np.where(np.isnan(x), med, x)
+    return tr, fill(tr[FEATS].to_numpy(float)), fill(pdf[pdf.fold == f][FEATS].to_numpy(float))
+
+
+def expand(x, degree):
+    return np.stack([np.prod(x[:, list(m)], axis=1) for m in monomials(3, degree)], axis=1)
+
+
+def ridge(x, y, alpha):
+    mu, sd = x.mean(0), x.std(0)
+    z = (x - mu) / sd
+    w = np.linalg.solve(z.T @ z + alpha * np.eye(x.shape[1]), z.T @ (y - y.mean())) / sd
+    return w, y.mean() - mu @ w
+
+
+@pytest.mark.parametrize(("degree", "alpha"), [(1, 0.0), (2, 1.0)])
+def test_models_fill_before_products_are_formed(spark, degree, alpha):
+    df = table(spark)
+    pdf = df.toPandas()
+    coefs = fit_blocked_linear(df, FEATS, "y", alpha=alpha, medians=complement_median(df, FEATS, ["rid"]), degree=degree)
+    got = {(r["fold"], r["rid"]): r["y_pred"] for r in predict_blocked_linear(df, coefs, FEATS, clip=False, degree=degree).collect()}
+    for f in "0123":
+        tr, xtr, xte = filled(pdf, f)
+        w, b0 = ridge(expand(xtr, degree), tr.y.to_numpy(), alpha)
+        for rid, v in zip(pdf[pdf.fold == f].rid, expand(xte, degree) @ w + b0):
+            assert abs(got[f, rid] - v) < 1e-8
+    with pytest.raises(ValueError):
+        fit_blocked_linear(df, FEATS, "y")
+
+
+def test_nested_ridge_with_gaps_matches_numpy(spark):
+    df = table(spark)
+    pdf = df.toPandas()
+    inner = nested_group_folds(df, 5)
+    copies = df.join(inner, ["split_type", "fold"]).select(F.col("outer").alias("split_type"), F.col("inner").cast("string").alias("fold"), "rid", *FEATS)
+    deep = complement_median(copies, FEATS, ["rid"]).select(
+        F.lit("year").alias("split_type"), F.col("split_type").alias("outer"), F.col("fold").alias("inner"), "feature", "median")
+    out = {r["fold"]: r for r in tune_blocked_ridge(df, FEATS, "y", inner, alphas=[0.1, 50.0], medians=complement_median(df, FEATS, ["rid"]),
+                                                    inner_medians=deep).collect()}
+    where = {(r["outer"], r["fold"]): r["inner"] for r in inner.collect()}
+    for f in "0123":
+        sub = pdf[pdf.fold != f].copy()
+        sub["fold"] = [str(where[f, g]) for g in sub.fold]
+        scores = []
+        for alpha in (0.1, 50.0):
+            errors = []
+            for j in sorted(sub.fold.unique()):
+                tr, xtr, xte = filled(sub, j)
+                w, b0 = ridge(expand(xtr, 2), tr.y.to_numpy(), alpha)
+                errors.append(((expand(xte, 2) @ w + b0 - sub[sub.fold == j].y) ** 2).mean())
+            scores.append(np.mean(errors))
+        assert out[f]["alpha"] == (0.1, 50.0)[int(np.argmin(scores))]
+        assert abs(out[f]["mse"] - min(scores)) < 1e-8 * max(1, min(scores))
+
+
+def brute_knn(pdf, f, k, p):
+    tr, xtr, xte = filled(pdf, f)
+    sd = xtr.std(0)
+    sd[sd == 0] = 1
+    diff = np.abs(xte[:, None, :] - xtr[None, :, :]) / sd
+    dist = diff.sum(-1) if p == 1 else np.sqrt((diff ** 2).sum(-1))
+    return {rid: tr.y.to_numpy()[np.argsort(d, kind="stable")[:k]].mean() for rid, d in zip(pdf[pdf.fold == f].rid, dist)}
+
+
+@pytest.mark.parametrize(("p", "cap", "all_pairs"), [(2, 200_000, 20_000), (1, 200_000, 0), (2, 15, 0)])
+def test_knn_with_gaps_and_small_folds(spark, monkeypatch, p, cap, all_pairs):
+    monkeypatch.setattr("panelcast.operators.knn.ALL_PAIRS_ROWS", all_pairs)  # 0: by the grid
+    df = table(spark, sizes=(40, 9, 6))
+    pdf = df.toPandas()
+    med = complement_median(df, FEATS, ["rid"])
+    nn = knn_neighbours(df, FEATS, "y", ["rid"], complement_moments(df, FEATS, med), k_max=16, p=p, medians=med, max_group_rows=cap).cache()
+    # fold 0 trains on 15 rows only: no row is lost, and a k that fits is right
+    assert nn.count() == 55 and {r["n"] for r in nn.where("fold = '0'").select(F.size("nn").alias("n")).collect()} == {15}
+    got = {(r["fold"], r["rid"]): r["y_pred"] for r in knn_predict(nn, 3).collect()}
+    for f in "012":
+        for rid, v in brute_knn(pdf, f, 3, p).items():
+            assert abs(got[f, rid] - v) < 1e-9
+    assert knn_predict(nn, 16, strict=False).where("y_pred IS NULL").count() == 40
+    with pytest.raises(Exception, match="exceeds the number of training rows"):
+        knn_predict(nn, 16).select(F.sum("y_pred")).collect()
+
+
+def test_coefficients_do_not_depend_on_partitions(spark):
+    df = table(spark, gaps=False).withColumn("s", F.col("a") + F.col("b"))  # exactly collinear
+    feats = ["s", *FEATS]
+    seen = []
+    for n in (1, 3, 8, 13):
+        rows = sorted(fit_blocked_linear(df.repartition(n), feats, "y").collect(), key=lambda r: r["fold"])
+        seen.append([[r[f"b_{k}"] for k in range(4)] for r in rows])
+    assert np.ptp(np.array(seen), axis=0).max() < 1e-9
+
+
+def test_moments_do_not_cancel(spark):
+    df = table(spark, gaps=False, offset=1e8)
+    pdf = df.toPandas()
+    for r in complement_moments(df, FEATS).collect():
+        x = pdf[pdf.fold != r["fold"]][r["feature"]].to_numpy()
+        assert abs(r["sd"] / x.std() - 1) < 1e-6 and abs(r["mean"] - x.mean()) < 1e-6
+    flat = df.withColumn("a", F.lit(0.1))
+    assert {r["sd"] for r in complement_moments(flat, ["a"]).collect()} == {1.0}
+
+
+def test_median_of_a_column_without_values_is_zero(spark):
+    df = table(spark).withColumn("a", F.when(F.col("fold") == "0", F.col("a")))
+    got = {r["fold"]: r["median"] for r in complement_median(df, ["a"], ["rid"]).collect()}
+    assert got["0"] == 0.0 and set(got) == set("0123")
+
+
+def brute_impute(x, k):
+    n, d = x.shape
+    out = x.copy()
+    for i in range(n):
+        for c in np.flatnonzero(np.isnan(x[i])):
+            found = []
+            for j in np.flatnonzero(~np.isnan(x[:, c])):
+                both = ~np.isnan(x[i]) & ~np.isnan(x[j])
+                if both.any():
+                    found.append((np.sqrt(((x[i] - x[j])[both] ** 2).sum() * d / both.sum()), j))
+            found.sort()
+            if found:
+                out[i, c] = np.mean([x[j, c] for _, j in found[:k]])
+            elif (~np.isnan(x[:, c])).any():
+                out[i, c] = np.nanmean(x[:, c])
+    return out
+
+
+@pytest.mark.parametrize("blocks", [(5_000, 100_000), (7, 20)])
+def test_knn_imputation_matches_brute_force(spark, blocks):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(80, 4)), 1)  # ties on purpose
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[5] = np.nan  # nothing known: column means
+    df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)],
+                               "id int, a double, b double, c double, e double").withColumn("z", F.lit(None).cast("double"))
+    out = impute_knn(df, ["a", "b", "c", "e"], ["id"], query_block=blocks[0], donor_block=blocks[1]).toPandas().sort_values("id")
+    assert np.allclose(out[["a", "b", "c", "e"]].to_numpy(float), brute_impute(x, 5), atol=1e-12)
+    assert impute_knn(df.select("id", "z"), ["z"], ["id"]).where("z IS NOT NULL").count() == 0
+    assert impute_knn(df.where("id < 0"), ["a"], ["id"]).count() == 0
