@@ -30,11 +30,13 @@ def components(edges: DataFrame) -> DataFrame:
     while (now := _state(here)) != before:
         before = now
         both = here.union(here.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # written first, so that the join stands alone in its stage and a hub's partition can be split
+        least = cut_lineage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")) \
             .where(F.col("a") != F.col("b")).distinct()
         # every large-star edge leads from a node to a smaller one
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = cut_lineage(large)
+        lowest = cut_lineage(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(
             lowest.select("a", F.col("m").alias("b")))
         here = cut_lineage(small.where(F.col("a") != F.col("b")).distinct())

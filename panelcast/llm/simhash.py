@@ -193,9 +193,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     place = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__key").alias("key"))
     nodes = cut_lineage(rows.groupBy("__fp").agg(F.min(place).alias("__place")))
     found = components(links(nodes.select("__fp"), radius, block))
-    rooted = nodes.join(found, nodes["__fp"] == found["node"], "left") \
-        .select("__fp", "__place", F.coalesce("root", "__fp").alias("__root"))
-    firsts = rooted.groupBy("__root").agg(F.min("__place").alias("__first"))
+    rooted = cut_lineage(nodes.join(found, nodes["__fp"] == found["node"], "left")
+                         .select("__fp", "__place", F.coalesce("root", "__fp").alias("__root")))
+    # written before the join, whose partitions can then be split where one component is large
+    firsts = cut_lineage(rooted.groupBy("__root").agg(F.min("__place").alias("__first")))
     named = rooted.select("__fp", "__root").join(firsts, "__root").select(F.col("__fp").alias("__node"), "__first")
     return rows.join(named, F.col("__fp") == F.col("__node")).select(
         "__id", "__key", "__fp", F.col("__first")["id"].alias("__component"), "__first")
