@@ -834,10 +834,10 @@ def _daily_long(spark: SparkSession, sf_dir: str, horizons) -> DataFrame:
 
 
 def q_knn_grid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cv_results of the 20-point KNN grid (5-fold CV, 7-day horizon)."""
+    """cv_results of the 20-point KNN grid (5-fold CV, 7-day horizon), test scores."""
     from panelcast.plans.daily import knn_grid_search
     cv_results, _, _, _ = knn_grid_search(_daily_long(spark, sf_dir, [7]), panel.FEATURES, "y",
-                                          ["site", "Date"], seed=SEED)
+                                          ["site", "Date"], seed=SEED, train_scores=False)
     return round_doubles(cv_results.withColumnRenamed("split_type", "horizon_days"))
 
 
