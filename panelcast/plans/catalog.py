@@ -651,7 +651,10 @@ gp AS (SELECT * EXCLUDE ({", ".join(panel.FEATURES)}), {", ".join(_gap_sql(c) fo
 
 
 def q_knn_regress_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """KNN (k=5, uniform, p=2) per held-out year on the panel with gaps, filled with each fold's training medians."""
+    """KNN (k=5, uniform, p=2) per held-out year on the panel with gaps, filled with each fold's training medians.
+
+    No SQL twin: all pairs do not fit into memory there; tests compare with brute force.
+    """
     from panelcast.operators.folds import assign_blocked_folds
     from panelcast.plans.weekly import knn_blocked_predictions
     from panelcast.session import cut_lineage
@@ -660,24 +663,6 @@ def q_knn_regress_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(preds.select("fold", "site", "current_date", "y_true", "y_pred"))
 
 
-def _knn_missing_sql(feats=tuple(panel.FEATURES), k: int = 5) -> str:
-    med = ", ".join(f"coalesce(median(x.{f}), 0) AS m_{f}" for f in feats)
-    sds = ", ".join(f"CASE WHEN stddev_pop(coalesce(x.{f}, m_{f})) = 0 THEN 1.0 ELSE stddev_pop(coalesce(x.{f}, m_{f})) END AS s_{f}" for f in feats)
-    dist = " + ".join(f"pow((coalesce(q.{f}, q.m_{f}) - coalesce(c.{f}, q.m_{f})) / q.s_{f}, 2)" for f in feats)
-    ms = ", ".join(f"m_{f}" for f in feats)
-    return "WITH " + GAPS_SQL + f""",
-yr AS (SELECT CAST(target_year AS VARCHAR) AS fold, * FROM gp),
-fy AS (SELECT DISTINCT fold FROM yr),
-md AS (SELECT f.fold, {med} FROM fy f JOIN yr x ON x.fold <> f.fold GROUP BY f.fold),
-mom AS (SELECT f.fold, {ms}, {sds} FROM md f JOIN yr x ON x.fold <> f.fold GROUP BY f.fold, {ms}),
-q AS (SELECT yr.*, mom.* EXCLUDE (fold) FROM yr JOIN mom USING (fold)),
-pr AS (SELECT q.fold, q.site, q."current_date", q.total_target AS y_true, c.total_target AS cy, {dist} AS d
-       FROM q JOIN yr c ON c.fold <> q.fold),
-top AS (SELECT fold, site, "current_date", min(y_true) AS y_true, min_by(cy, d, {k}) AS l
-        FROM pr GROUP BY fold, site, "current_date")
-SELECT fold, site, "current_date", round(y_true, 6) AS y_true, round(greatest(list_avg(l), 0.0), 6) AS y_pred FROM top"""
-
-
 def q_linear_blocked_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OLS predictions for every year and station-year fold on the panel with gaps (fold medians inside)."""
     from panelcast.operators.folds import assign_blocked_folds
@@ -1017,7 +1002,6 @@ ORACLE_SQL_RAW: dict[str, str] = {
     "outlier_threshold": SQL_OUTLIER_THRESHOLD,
     "linear_blocked": _linear_sql(),
     "linear_blocked_missing": _linear_missing_sql(),
-    "knn_regress_missing": _knn_missing_sql(),
     "knn_impute": _impute_sql(),
     "group_kfold": SQL_GROUP_KFOLD,
 }
