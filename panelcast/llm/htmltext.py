@@ -4,7 +4,9 @@ Every node of the page gets a link-adjusted number of characters per tag; a
 node's density sum adds those of its children.  The node with the largest sum
 is the core of the article; the least density on the path from the body to it
 is the threshold.  Every node that reaches the threshold contributes the
-subtree with the largest sum inside it.  Elements that are never article text
+subtree with the largest sum inside it.  A core that is a paragraph or part of
+one stands for the article or block around it, whose short headings would miss
+the threshold on their own.  Elements that are never article text
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
 comments of readers) are left out by tag and class before densities are taken.
 
@@ -154,6 +156,18 @@ def _densities(page: _Page) -> tuple[list[float], list[float]]:
     return density, total
 
 
+def _around(page: _Page, core: int) -> int:
+    """The article that holds the core, or else the nearest block around it that is no paragraph, below the body."""
+    block, k = core, core
+    while k > 0 and page.tag[k] not in ("body", "html"):
+        if page.tag[k] in ("article", "main"):
+            return k
+        if page.tag[block] not in BLOCK or page.tag[block] == "p":
+            block = k
+        k = page.parent[k]
+    return block
+
+
 def main_text(html: str | None) -> str:
     page = _Page()
     page.feed(html or "")
@@ -178,6 +192,7 @@ def main_text(html: str | None) -> str:
     for k in alive:
         if density[k] >= least and density[k] > 0:
             taken[best[k]] = True
+    taken[_around(page, core)] = True
     for k in range(1, n):
         taken[k] = taken[k] or taken[page.parent[k]]
     blocks: list[str] = []

@@ -37,6 +37,12 @@ def test_blocks_references_and_white_space():
     assert h.main_text(html).split("\n") == ["A & B © é <x>", "one two three four five", "open bold", LONG.strip(), "x y z", "c1", "c2"]
 
 
+def test_short_heading_beside_a_dense_paragraph_stays():
+    for tag in ("article", "div"):
+        html = page(f"<{tag}><h1>Hi</h1><p><b>{LONG}<br><p>{LONG}</p><h2>End</h2></{tag}>" + NAV)
+        assert h.main_text(html).split("\n") == ["Hi", LONG.strip(), LONG.strip(), "End"]
+
+
 @pytest.mark.parametrize(("html", "text"), [
     (None, ""), ("", ""), ("<p>", ""), ("   ", ""), ("plain  text", "plain text"), ("<!-- only -->", ""),
     ("<p>one<p>two", "one\ntwo"), ("<script>x</script>", ""), ("</div></p>x", "x"), ("<nav><a href=x>menu</a></nav>", ""),
