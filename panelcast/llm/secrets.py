@@ -25,7 +25,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import small_side, text_or_empty
+from panelcast.llm.common import BROADCAST_ROWS, text_or_empty
 from panelcast.session import cut_lineage
 
 RUN = r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{16,}={0,2}"
@@ -72,11 +72,15 @@ def dictionary_share(found: DataFrame, docs: DataFrame, text_col: str) -> DataFr
     runs = found.select("__value").distinct().select(
         "__value", F.explode(F.regexp_extract_all(F.lower("__value"), F.lit("[a-z]{3,}"), F.lit(0))).alias("__run"))
     runs = cut_lineage(runs)
-    wanted = small_side(runs.select(F.col("__run").alias("__word")).distinct())
+    wanted = cut_lineage(runs.select(F.col("__run").alias("__word")).distinct())
     words = docs.select(F.explode(F.split(F.lower(text_or_empty(text_col)), r"[\x20\x09-\x0D]+")).alias("__raw")) \
         .select(F.btrim("__raw", F.lit(".,;:!?\"'()")).alias("__word"))
-    known = words.join(wanted, "__word").groupBy("__word").agg(F.count(F.lit(1)).alias("__n")) \
-        .where(F.col("__n") >= MIN_WORD_COUNT).select("__word")
+    counted = lambda w: w.groupBy("__word").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= MIN_WORD_COUNT)
+    # the same counts either way; a list too long to broadcast meets words that are counted already, not every occurrence
+    if wanted.count() <= BROADCAST_ROWS:
+        known = counted(words.join(F.broadcast(wanted), "__word", "left_semi"))
+    else:
+        known = counted(words).join(wanted, "__word", "left_semi")
     covered = runs.join(known, runs["__run"] == known["__word"])
     return covered.groupBy("__value").agg(F.sum(F.char_length("__run")).alias("__letters")).select(
         "__value", (F.col("__letters") / F.char_length("__value")).alias("dictionary_share"))

@@ -34,6 +34,14 @@ def test_dictionary_share(make_docs):
     assert share == {"alpha1/beta2/zzzz3333": 9 / 21}  # alpha and beta are words of six texts; zzzz is none
 
 
+def test_dictionary_too_long_to_broadcast(make_docs, monkeypatch):
+    docs = make_docs(texts(60))
+    found = s.candidates(docs)
+    wide = sorted(map(tuple, s.dictionary_share(found, docs, "text").collect()))
+    monkeypatch.setattr(s, "BROADCAST_ROWS", 0)
+    assert wide and sorted(map(tuple, s.dictionary_share(found, docs, "text").collect())) == wide
+
+
 def test_held_out_accuracy(spark, make_docs):
     train, test = texts(240, 1), texts(120, 2)
     docs = make_docs(train + test)
