@@ -630,6 +630,63 @@ SELECT min(nominal_horizon_days) AS horizon_days, split_type, fold, 'linear' AS
 FROM lp JOIN ls USING (split_type) GROUP BY split_type, fold"""
 
 
+# ---------------------------------------------- raw sheet to weekly dataset
+SHEET_SPEC = PanelSpec(site="Site", time="Time", target="total", features=list(panel.FEATURES))
+
+
+def raw_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` as a sheet of text readings with detection limits, missing cells and missing dates."""
+    def shown(c: str) -> F.Column:
+        return F.concat(F.lit(" "), F.col(c).cast("string"))
+
+    return panel.read_table(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_linenumber") != 6, F.date_format("l_shipdate", "yyyy-MM-dd")).alias("Sample Date (UTC)"),
+        F.col("l_suppkey").alias("Site code"),
+        shown("l_quantity").alias("Qty ordered (units)"),
+        F.when(F.col("l_linenumber") == 5, "nd").otherwise(shown("l_extendedprice")).alias("Extended price. USD"),
+        F.when(F.col("l_discount") < 0.02, "<0.02").otherwise(shown("l_discount")).alias("Disc + rebate"),
+        F.when(F.col("l_tax") < 0.01, "bdl").otherwise(shown("l_tax")).alias("Tax rate %"))
+
+
+def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelcast.plans.weekly import prepare_observed
+    from panelcast.schema import FeatureSpec
+    specs = [FeatureSpec("qty", "Qty"), FeatureSpec("price", "price"), FeatureSpec("part_a", "Disc"), FeatureSpec("part_b", "Tax rate")]
+    return prepare_observed(raw_sheet(spark, sf_dir), specs, total_parts=("part_a", "part_b"), total_name="total")
+
+
+def q_observed_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw sheet to one cleaned row per site and day."""
+    return round_doubles(observed(spark, sf_dir))
+
+
+def q_weekly_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw sheet to weekly pairs, in one plan."""
+    return round_doubles(make_pairs(observed(spark, sf_dir), SHEET_SPEC))
+
+
+SHEET_SQL = """
+obs AS (
+  SELECT site, time, qty, price, part_a, part_b, part_a + part_b AS total
+  FROM (SELECT l_suppkey AS site, CAST(l_shipdate AS DATE) AS time, avg(l_quantity) AS qty,
+               avg(CASE WHEN l_linenumber <> 5 THEN l_extendedprice END) AS price,
+               avg(CASE WHEN l_discount < 0.02 THEN 0.02 / 2 ELSE l_discount END) AS part_a,
+               avg(CASE WHEN l_tax >= 0.01 THEN l_tax END) AS part_b
+        FROM lineitem WHERE l_linenumber <> 6 GROUP BY l_suppkey, CAST(l_shipdate AS DATE))
+)"""
+
+SQL_OBSERVED_DATASET = "WITH " + SHEET_SQL + """
+SELECT site AS "Site", time AS "Time", round(qty, 6) AS qty, round(price, 6) AS price, round(part_a, 6) AS part_a,
+       round(part_b, 6) AS part_b, round(total, 6) AS total
+FROM obs"""
+
+SQL_WEEKLY_DATASET = "WITH " + PAIRS_SQL.replace(OBS_SQL, SHEET_SQL) + """
+SELECT site AS "Site", "current_date", target_date, target_year, station_year, nominal_horizon_days, actual_horizon_days,
+       round(qty, 6) AS qty, round(price, 6) AS price, round(part_a, 6) AS part_a, round(part_b, 6) AS part_b,
+       round(total, 6) AS total, round(total_target, 6) AS total_target
+FROM pairs"""
+
+
 # ------------------------------------------------------------ panel with gaps
 def _gap(column: str) -> F.Column:
     """True for about one cell in 16, by a hash of the row's place and the column."""
@@ -971,6 +1028,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "blocked_validation_summary": q_blocked_validation_summary,
     "knn_nested_year": q_knn_nested_year,
     "ridge_nested_year": q_ridge_nested,
+    "observed_dataset": q_observed_dataset,
+    "weekly_dataset": q_weekly_dataset,
     "linear_blocked_missing": q_linear_blocked_missing,
     "knn_regress_missing": q_knn_regress_missing,
     "knn_impute": q_knn_impute,
@@ -1000,6 +1059,8 @@ ORACLE_SQL_RAW: dict[str, str] = {
     "fold_median_impute": SQL_FOLD_MEDIAN_IMPUTE,
     "knn_regress_year": _knn_sql(),
     "outlier_threshold": SQL_OUTLIER_THRESHOLD,
+    "observed_dataset": SQL_OBSERVED_DATASET,
+    "weekly_dataset": SQL_WEEKLY_DATASET,
     "linear_blocked": _linear_sql(),
     "linear_blocked_missing": _linear_missing_sql(),
     "knn_impute": _impute_sql(),
