@@ -2,18 +2,25 @@
 
 Each rule rejects a document whose measure exceeds a cutoff.  Cutoffs are
 chosen per stratum from labelled documents (a holdout: neither measures nor
-candidate cutoffs are fitted to them).  A cutoff is valid when an exact
-binomial test rejects "more than ``alpha`` of the good documents are lost":
-the chance of so few false rejections at that rate is at most ``delta``
-divided by the number of (stratum, rule) pairs.  Within a pair the candidates
-are tried from the most lenient on and the first failure ends the search
-(fixed-sequence testing), so all chosen cutoffs hold together with confidence
-``1 - delta``.  Among the valid ones the cutoff with the largest difference
-between lost bad and lost good documents wins, ties going to the most lenient.
+candidate cutoffs are fitted to them).  All rules go together along one path of
+joint cutoffs, from lenient to strict.  A joint cutoff is valid when an exact
+binomial test rejects "more than ``alpha`` of the good documents are lost": the
+chance of so few false rejections at that rate is at most ``delta`` divided by
+the number of strata.  The steps are tried in order and the first failure ends
+the search (fixed-sequence testing), so all chosen cutoffs hold together with
+confidence ``1 - delta``.  Among the valid steps the one with the largest
+difference between lost bad and lost good documents wins, ties going to the
+most lenient.
+
+The path is fixed before any good document is looked at: a rule is in it up to
+the most lenient cutoff that loses all bad labelled documents it can lose, and
+a rule that loses none is left out.  So no rule that is not needed can end the
+path; the test counts good documents only, and they are independent of the bad.
 
 Results for odd input:
 * null and empty texts have no words and fail the base rules;
-* a stratum without enough labels has no valid cutoff and only base rules;
+* a stratum without enough labels (with 4 strata, 108 good ones that pass the
+  base rules) has no valid cutoff and only base rules;
 * NULL in the stratum column is a stratum of its own;
 * labels with NULL quality are left out; of several labels of one document
   each counts; labels of unknown documents do not count;
@@ -24,7 +31,6 @@ Results for odd input:
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from math import lgamma, log
 
 import numpy as np
@@ -104,7 +110,7 @@ def binomial_tail(k: int, n: int, p: float) -> float:
 
 def choose_cutoff(grid: list[float], lost_good: list[int], good: int, lost_bad: list[int], bad: int,
                   alpha: float, level: float) -> float | None:
-    """The best valid cutoff of one (stratum, rule), or None."""
+    """The best valid entry of ``grid``, which goes from lenient to strict, or None."""
     best, gain = None, 0.0
     for cutoff, fg, fb in zip(grid, lost_good, lost_bad, strict=True):
         if not good or binomial_tail(fg, good, alpha) > level:
@@ -115,6 +121,27 @@ def choose_cutoff(grid: list[float], lost_good: list[int], good: int, lost_bad:
     return best
 
 
+def joint_cutoffs(counts: pd.DataFrame, alpha: float, level: float) -> dict[str, float]:
+    """Cutoffs of the rules of one stratum.
+
+    ``counts``: __good, one column per rule with the first place in its grid that
+    a document exceeds (the grid's length: none), __n documents.
+    """
+    is_good, n = (counts["__good"] == 1).to_numpy(), counts["__n"].to_numpy()
+    last, step = {}, np.full(len(counts), max(map(len, GRIDS.values())))
+    for name, grid in GRIDS.items():
+        first = counts[name].to_numpy()
+        lost = first[~is_good & (first < len(grid))]
+        if len(lost):
+            last[name] = int(lost.max())
+            # the first step of the path that loses the document
+            step = np.where(first <= last[name], np.minimum(step, first), step)
+    path = list(range(max(last.values(), default=-1) + 1))
+    best = choose_cutoff(path, [int(n[is_good & (step <= k)].sum()) for k in path], int(n[is_good].sum()),
+                         [int(n[~is_good & (step <= k)].sum()) for k in path], int(n[~is_good].sum()), alpha, level)
+    return {} if best is None else {name: GRIDS[name][min(best, k)] for name, k in last.items()}
+
+
 def learn_cutoffs(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum_col: str = "lang",
                   label_id: str = "doc_id", label_col: str = "quality", alpha: float = ALPHA,
                   delta: float = DELTA) -> DataFrame:
@@ -122,31 +149,23 @@ def learn_cutoffs(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id"
 
     Documents that the base rules reject are lost already and take no part.
     """
+    # cutoffs fall along a grid: the first one exceeded has as many before it as are not exceeded
     slim = measured.where(~base_failed(F.col("__m"))).select(
         F.col(id_col).alias("__id"), F.col(stratum_col).cast("string").alias("__stratum"),
-        *[v.alias(f"__{n}") for n, v in rule_values(F.col("__m")).items()])
+        *[sum((F.when(v > c, 0).otherwise(1) for c in GRIDS[n]), F.lit(0)).alias(n) for n, v in rule_values(F.col("__m")).items()])
     given = labels.select(F.col(label_id).alias("__label_id"), F.col(label_col).cast("int").alias("__good")) \
         .where(F.col("__good").isNotNull())
     held = slim.join(given, F.col("__id") == F.col("__label_id"))
-    # how many good and bad documents exceed each candidate: sums, so each task sends one row per stratum
-    sums = [F.sum(F.when((F.col("__good") == g) & (F.col(f"__{name}") > c), 1).otherwise(0)).alias(f"{name}_{g}_{k}")
-            for name, grid in GRIDS.items() for k, c in enumerate(grid) for g in (0, 1)]
-    counts = cut_lineage(held.groupBy("__stratum").agg(
-        F.sum(F.when(F.col("__good") == 1, 1).otherwise(0)).alias("good"),
-        F.sum(F.when(F.col("__good") == 1, 0).otherwise(1)).alias("bad"), *sums))
-    level = delta / max(1, counts.count() * len(GRIDS))
-    each = alpha / len(GRIDS)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = [(row["__stratum"], name, choose_cutoff(
-                grid, [row[f"{name}_1_{k}"] for k in range(len(grid))], row["good"],
-                [row[f"{name}_0_{k}"] for k in range(len(grid))], row["bad"], each, level))
-                for _, row in frame.iterrows() for name, grid in GRIDS.items()]
-            found = pd.DataFrame(out, columns=["__stratum", "__rule", "__cutoff"])
-            yield found[found["__cutoff"].notna()]
-
-    return counts.mapInPandas(run, "__stratum string, __rule string, __cutoff double")
+    # a stratum has a bounded number of rows here (grid places of five rules), however many labels there are
+    counts = cut_lineage(held.groupBy("__stratum", (F.col("__good") == 1).cast("int").alias("__good"), *GRIDS)
+                         .agg(F.count(F.lit(1)).alias("__n")))
+    level = delta / max(1, counts.select("__stratum").distinct().count())
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        found = [(frame["__stratum"].iloc[0], name, cutoff) for name, cutoff in joint_cutoffs(frame, alpha, level).items()]
+        return pd.DataFrame(found, columns=["__stratum", "__rule", "__cutoff"])
+
+    return counts.groupBy("__stratum").applyInPandas(run, "__stratum string, __rule string, __cutoff double")
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum_col: str = "lang") -> DataFrame:

@@ -85,3 +85,37 @@ def test_empty_tables(spark, words):
     assert quality.keep_good(docs.limit(0), labels).count() == 0
     kept = quality.keep_good(docs.withColumn("__n", F.lit(1)).withColumn("good", F.lit(2)), labels.limit(0))
     assert kept.count() == 51 and "good" in kept.columns
+
+
+def test_strata_with_few_labels_learn_all_rules_together(spark, words):
+    rows, labels = [], []
+    for lang, base in (("en", 0), ("fr", 1000), ("de", 2000), (None, 3000)):
+        for i in range(base, base + 230):
+            text = words(60, i)
+            if i % 10 == 0:
+                text = " ".join(w + "***" for w in text.split())
+            if i % 10 == 1:
+                text = text.upper()
+            rows.append((i, text, lang, "s", len(text)))
+            labels.append((i, int(i % 10 > 1), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in quality.keep_good(docs, labels).select("doc_id").collect()}
+    assert kept == {r[0] for r in rows if r[0] % 10 > 1}  # 184 good ones in each stratum
+    few = {r["doc_id"] for r in quality.keep_good(docs, labels.where("doc_id % 1000 < 100")).select("doc_id").collect()}
+    assert few == {r[0] for r in rows}  # 80 cannot keep the promise
+
+
+def test_joint_cutoffs_end_where_all_rules_together_lose_too_much():
+    rules = list(quality.GRIDS)
+    never = {r: len(quality.GRIDS[r]) for r in rules}
+
+    def frame(rows):
+        return quality.pd.DataFrame([{"__good": g, "__n": n, **never, **first} for g, n, first in rows])
+
+    both = [(0, 5, {"caps_share": 2}), (0, 5, {"symbols_per_word": 4}), (1, 960, {})]
+    out = quality.joint_cutoffs(frame([*both, (1, 20, {"caps_share": 2, "symbols_per_word": 4}), (1, 20, {"long_words": 0})]), 0.04, 0.0125)
+    assert out == {"caps_share": 0.8, "symbols_per_word": 1.0}  # good ones that only an unneeded rule loses do not count
+    # 20 of 1000 lost by either rule are allowed alone, 40 by both together are not
+    out = quality.joint_cutoffs(frame([*both, (1, 20, {"caps_share": 2}), (1, 20, {"symbols_per_word": 4})]), 0.04, 0.0125)
+    assert out == {"caps_share": 0.8, "symbols_per_word": 2.0}
