@@ -8,7 +8,14 @@ subtree with the largest sum inside it.  A core that is a paragraph or part of
 one stands for the article or block around it, whose short headings would miss
 the threshold on their own.  Elements that are never article text
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-comments of readers) are left out by tag and class before densities are taken.
+comments of readers) are left out by tag and name before densities are taken.
+A class, id or role counts when its first or last word is one of boilerplate
+(``cookie-notice``, ``site-footer``), unless it speaks of the absence or presence
+of a part (``no-sidebar``, ``has-comments``).  ``article`` and ``main`` are never
+left out by name, and another element not if it holds more than half of the
+page's text outside links and no article or main with text stands beside it;
+the densities decide there.  Comments of readers stay out as long as other text
+is left.
 
 Spark spreads the pages; a page is parsed by the standard library's parser
 into flat lists, without recursion, in time linear in its length.
@@ -45,19 +52,37 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 P_BOUNDS = {"td", "th", "table", "button", "object", "caption"}
 NEVER = set("head script style noscript template nav footer aside button select textarea input label iframe object svg canvas "
             "dialog menu audio video".split())
-# Parts of class and id names of boilerplate.
+# Words of class and id names of boilerplate.
 SIDE = set("ad ads advert advertisement sponsor sponsored promo banner cookie cookies consent gdpr notice popup modal overlay "
            "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus respond replies share "
            "sharing social related recommended newsletter subscribe signup login search toolbar widget pagination pager skip".split())
+COMMENTS = set("comment comments disqus respond replies".split())
+# Words of names that speak of a part elsewhere.
+ABOUT = set("no not non without hide has have with".split())
+# An article inside one of these is no part of it: they were left open.
+LEFT_OPEN = set("nav header footer ul li a div form".split())
 WORD = re.compile(r"[a-z]+")
 
 
+def _side_words(attrs: list) -> set[str]:
+    """The words of boilerplate that name an element."""
+    found = set()
+    for key, value in attrs:
+        if key in ("class", "id", "role"):
+            for name in (value or "").lower().split():
+                words = WORD.findall(name)
+                if words and not ABOUT.intersection(words):
+                    found.update(SIDE.intersection((words[0], words[-1])))
+    return found
+
+
 class _Page(HTMLParser):
     """Flat lists of the page's nodes, in page order; index 0 is the root."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.out, self.linked = ["#root"], [-1], [False], [False]
+        self.never, self.side = [False], [set()]  # left out by tag; words of boilerplate in its names
         self.text: list[tuple[int, str]] = []  # (node, text); a block's edges carry None
         self.open = [0]
         self.count = Counter(["#root"])
@@ -80,21 +105,51 @@ class _Page(HTMLParser):
         if self.tag[node] in BLOCK:
             self.text.append((node, None))
 
-    def _left_out(self, tag: str, attrs: list) -> bool:
-        named = set()
-        for key, value in attrs:
-            if key in ("class", "id", "role"):
-                named.update(WORD.findall((value or "").lower()))
-        inside = self.out[self.open[-1]]
-        if named & SIDE and tag not in ("body", "html"):
-            return True
-        if tag in ("article", "main"):
-            # an article is no part of a menu that was left open
-            return inside and any(self.tag[k] not in ("nav", "header", "footer", "ul", "li", "a", "div", "form") for k in self.open
-                                  if self.out[k])
-        if tag == "header" and not (self.count["article"] or self.count["main"]):
-            return True
-        return inside or tag in NEVER
+    def _leave_out(self, by_name: list[bool]) -> None:
+        """Sets ``out``, given the nodes that their names leave out."""
+        n = len(self.tag)
+        held = [False] * n  # inside a left out element that was not merely left open
+        self.out = [False] * n
+        for k in range(1, n):
+            up = self.parent[k]
+            inside = self.out[up]
+            if self.tag[k] in ("article", "main"):
+                # an article is no part of a menu that was left open
+                self.out[k] = inside and held[up]
+            else:
+                self.out[k] = inside or by_name[k] or self.never[k]
+            held[k] = held[up] or (self.out[k] and self.tag[k] not in LEFT_OPEN)
+
+    def finish(self) -> None:
+        """Closes what is open and decides which nodes are left out."""
+        while len(self.open) > 1:
+            self._pop()
+        n = len(self.tag)
+        named = [bool(w) for w in self.side]
+        if not any(named):
+            self._leave_out(named)
+            return
+        self._leave_out([False] * n)
+        size = [0] * n  # characters outside links
+        for node, data in self.text:
+            if data and not self.out[node] and not self.linked[node]:
+                size[node] += sum(map(len, data.split()))
+        for k in range(n - 1, 0, -1):
+            size[self.parent[k]] += size[k]
+        # articles with text: in the subtree of a node, above it, and on the page; those inside named elements apart
+        below, above, under = [0] * n, [0] * n, [False] * n
+        for k in range(1, n):
+            up = self.parent[k]
+            under[k] = under[up] or named[k]
+            own = self.tag[k] in ("article", "main") and size[k] > 0 and not self.out[k] and not under[k]
+            below[k] = int(own)
+            above[k] = above[up] + own
+        for k in range(n - 1, 0, -1):
+            below[self.parent[k]] += below[k]
+        for k in range(1, n):
+            if named[k] and 2 * size[k] > size[0] and below[0] == below[k] + above[self.parent[k]]:
+                named[k] = bool(COMMENTS & self.side[k]) and size[k] < size[0]
+        self._leave_out(named)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ENDS_P:
@@ -106,7 +161,8 @@ class _Page(HTMLParser):
         elif tag == "br":
             self.text.append((self.open[-1], " "))
         node = len(self.tag)
-        self.out.append(self._left_out(tag, attrs))
+        self.never.append(tag in NEVER or (tag == "header" and not (self.count["article"] or self.count["main"])))
+        self.side.append(set() if tag in ("body", "html", "article", "main") else _side_words(attrs))
         self.tag.append(tag)
         self.parent.append(self.open[-1])
         self.linked.append(tag == "a" or self.linked[self.open[-1]])
@@ -172,8 +228,7 @@ def main_text(html: str | None) -> str:
     page = _Page()
     page.feed(html or "")
     page.close()
-    while len(page.open) > 1:
-        page._pop()
+    page.finish()
     density, total = _densities(page)
     n = len(page.tag)
     alive = [k for k in range(n) if not page.out[k]]

@@ -66,3 +66,24 @@ def test_pages_table(spark):
     out = sorted(map(tuple, h.extract(pages).collect()), key=str)
     assert out == sorted([(1, "u", EXPECTED, len(EXPECTED))] * 2 + [(2, None, "", 0), (None, "v", "", 0)], key=str)
     assert h.extract(pages.limit(0)).count() == 0
+
+
+BODY = ARTICLE.removeprefix("<article>").removesuffix("</article>")
+SIDEBAR = f'<div class="{{}}"><p>{LONG}</p></div>'
+
+
+@pytest.mark.parametrize("html", [
+    page(NAV + f'<main class="content no-sidebar">{BODY}</main>'),
+    page(NAV + f'<main class="content no-sidebar">{ARTICLE}</main>'),
+    page(NAV + f'<article class="post has-comments">{BODY}</article>'),
+    page(NAV + f'<article id="cookie-recipes">{BODY}</article>'),
+    page(NAV + f'<div class="entry with-sidebar">{BODY}</div>'),
+    page(NAV + f'<section id="search-results">{BODY}</section>'),
+    page(NAV + f'<section id="search-results">{ARTICLE}</section>'),
+    page(f'<div class="layout left-sidebar">{ARTICLE}' + SIDEBAR.format("sidebar") + "</div>"),
+    *[page(ARTICLE + SIDEBAR.format(name)) for name in ("site-footer", "sidebar-left", "post-comments", "related posts", "ad_300")],
+    page(ARTICLE + '<div class="comments"><p>' + LONG * 30 + "</p></div>"),
+    page(f"<div>{BODY}</div>" + '<div class="comments"><p>' + LONG * 30 + "</p></div>"),
+])
+def test_names_of_containers(html):
+    assert h.main_text(html) == EXPECTED
