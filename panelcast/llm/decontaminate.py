@@ -10,6 +10,13 @@ consistent alignments cover at least 0.8 of its windows, so that a question
 asked again with other names and numbers is found, and a text that merely has
 the same shape is not.
 
+A name is a capitalised word inside a sentence, and the same word at the start
+of a sentence or line of the same text.  Windows are taken in up to three
+forms, and an item's window may be met in any of them: names inside sentences
+alone as placeholders; names at starts as well; all names as the lower-case
+words they are, so that a copy in capitals, lower case or title case is found.
+A name that stands at starts only is a plain word.
+
 Results for odd input:
 * null and empty texts, and texts and items of fewer than five words, have no
   windows and never match;
@@ -38,23 +45,40 @@ UNITS = ("kg g mg lb lbs oz km m cm mm mi ft in l ml gal s sec secs seconds min
 # Marks put before a word of each type; they never occur in a text, which is cleaned of them first.
 NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
 POINT = "\x04"  # a point or comma inside a number, which does not end the word
+START = "\x05"  # a name of the text at the start of a sentence or line
 # Hashes of the placeholders.
 PLACEHOLDER = {NAME: 1, NUMBER: 2, UNIT: 3}
 
 
-def template_words(column: str) -> Column:
-    """Lower-case words of a text, each name, number and unit with its mark before it."""
-    text = F.translate(text_or_empty(column), NAME + NUMBER + UNIT + POINT, "    ")
+def marked_words(column: str) -> Column:
+    """Lower-case words of a text, each name, number, unit and capitalised word elsewhere with its mark before it."""
+    text = F.translate(text_or_empty(column), NAME + NUMBER + UNIT + POINT + START, "     ")
     text = F.regexp_replace(text, r"[.,](?<=\p{Nd}.)(?=\p{Nd})", POINT)
     # a capitalised word inside a sentence
     named = F.regexp_replace(text, r"(\p{Lu}(?<=[\p{Ll}\p{Nd},;:)] .)\p{Ll}+)", f"{NAME}$1")
+    # capitalised words elsewhere, which are names if they are names inside a sentence
+    started = F.regexp_replace(named, rf"(?<![\p{{L}}\p{{N}}{NAME}])(\p{{Lu}}\p{{Ll}}+)", f"{START}$1")
     counted = F.regexp_replace(
-        named, rf"(\p{{Nd}}[\p{{Nd}}{POINT}]*)(?: ?((?i:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r"))(?![\p{L}\p{N}]))?",
+        started, rf"(\p{{Nd}}[\p{{Nd}}{POINT}]*)(?: ?{NAME}?((?i:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r"))(?![\p{L}\p{N}]))?",
         f" {NUMBER}$1 {UNIT}$2 ")
-    words = F.split(F.lower(counted), rf"[^\p{{L}}\p{{N}}{NAME}{NUMBER}{UNIT}{POINT}]+")
+    words = F.split(F.lower(counted), rf"[^\p{{L}}\p{{N}}{NAME}{NUMBER}{UNIT}{POINT}{START}]+")
     return F.array_remove(F.array_remove(words, ""), UNIT)
 
 
+def known_starts(words: Column) -> Column:
+    """``words`` with the mark START left only before words that are names inside a sentence of the text."""
+    names = F.filter(words, lambda w: F.startswith(w, F.lit(NAME)))
+    starts = F.array_intersect(F.transform(names, lambda w: F.concat(F.lit(START), F.substring(w, 2, 1 << 30))), words)
+    # the list is an element of an array of one, so that it is built once and not for every word
+    return F.transform(F.array(starts), lambda known: F.transform(
+        words, lambda w: F.when(F.array_contains(known, w), w).otherwise(F.ltrim(w, F.lit(START)))))[0]
+
+
+def template_words(column: str) -> Column:
+    """Lower-case words of a text, each name, number and unit with its mark before it; START before a name at a start."""
+    return known_starts(marked_words(column))
+
+
 def _hash_template(word: Column) -> Column:
     kind = F.substring(word, 1, 1)
     out = F.xxhash64(word)
@@ -63,13 +87,28 @@ def _hash_template(word: Column) -> Column:
     return out
 
 
+def _form(words: Column, change) -> Column:
+    changed = F.transform(words, change)
+    return F.struct(F.transform(changed, _hash_template).alias("t"), F.transform(changed, lambda w: F.xxhash64(w)).alias("v"))
+
+
 def template_windows(df: DataFrame, ids: list[str], text_col: str, width: int = WINDOW) -> DataFrame:
-    """One row per window: ids, __at, __hash, the template hashes __t and value hashes __v of its words."""
-    words = df.select(*ids, template_words(text_col).alias("__words"))
-    hashed = words.select(
-        *ids, F.transform("__words", _hash_template).alias("__ts"),
-        F.transform("__words", lambda w: F.xxhash64(w)).alias("__vs"))
-    starts = F.when(F.size("__ts") >= width, F.sequence(F.lit(0), F.size("__ts") - width))
+    """One row per window and form in which it differs: ids, __at, __hash, the template hashes __t and value hashes __v of its words."""
+    raw = df.select(*ids, marked_words(text_col).alias("__raw"))
+    words = raw.select(*ids, known_starts(F.col("__raw")).alias("__words"))
+    kinds = words.withColumn("__kinds", F.transform("__words", lambda w: F.substring(w, 1, 1)))
+    w, has = F.col("__words"), lambda mark: F.array_contains("__kinds", F.lit(mark))
+    # each form with the kind of word that a window must hold to differ from the forms before it
+    forms = F.array(
+        F.struct(F.lit("").alias("m"), _form(w, lambda x: F.ltrim(x, F.lit(START))).alias("f")),
+        F.when(has(START), F.struct(F.lit(START).alias("m"), _form(w, lambda x: F.translate(x, START, NAME)).alias("f"))),
+        F.when(has(NAME), F.struct(F.lit(NAME).alias("m"), _form(w, lambda x: F.ltrim(x, F.lit(START + NAME))).alias("f"))))
+    # no filter before explode, which would build the words again
+    hashed = kinds.select(*ids, "__kinds", F.explode(forms).alias("__form")).select(
+        *ids, "__kinds", F.col("__form.m").alias("__mark"), F.col("__form.f.t").alias("__ts"), F.col("__form.f.v").alias("__vs"))
+    every = F.when(F.size("__ts") >= width, F.sequence(F.lit(0), F.size("__ts") - width))
+    starts = F.when(F.col("__mark") == "", every).otherwise(F.filter(
+        every, lambda at: reduce(lambda a, b: a | b, [F.col("__kinds")[at + k] == F.col("__mark") for k in range(width)])))
     at = hashed.select(*ids, "__ts", "__vs", F.explode(starts).alias("__at"))
     ts = [F.col("__ts")[F.col("__at") + k] for k in range(width)]
     vs = [F.col("__vs")[F.col("__at") + k] for k in range(width)]

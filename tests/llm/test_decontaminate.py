@@ -73,3 +73,28 @@ def test_drop_keeps_rows_and_columns(spark, make_docs):
     assert sorted([(r["doc_id"], r["text"]) for r in kept.collect()], key=str) == [(2, None), (None, "clean text of five words")]
     assert d.drop_contaminated(docs, items(spark).limit(0)).count() == 5
     assert d.drop_contaminated(docs.limit(0), items(spark)).count() == 0
+
+
+TOM = "Tom has 3 apples. Tom buys 5 more apples. How many apples does Tom have now?"
+
+
+def test_names_at_sentence_starts(spark, make_docs):
+    df = spark.createDataFrame([(1, TOM)], "item_id long, text string")
+    anna = TOM.replace("Tom", "Anna").replace("3", "4").replace("5", "7")
+    mixed = anna.replace("Anna buys", "Greta buys")  # one name of the item meets two
+    texts = [f"Old text here.\n{anna} And more.", mixed, TOM, f"How we met in The Hague. {anna} The end, How nice.", TOM.replace("Tom", "Has")]
+    out = {r["__id"]: (r["__changed"], r["__matched"], r["__windows"]) for r in d.contained_items(make_docs(texts), df).collect()}
+    assert out[0] == (True, 12, 12) and out[2] == (False, 12, 12)
+    assert 1 not in out and 3 in out and 4 in out
+
+
+def test_case_changes_lose_no_verbatim_copy(spark, make_docs, words):
+    filler = words(40, 2)
+    cases = [ITEM.upper(), ITEM.lower(), ITEM.title(), f"{filler} {ITEM.upper()} {filler}", ITEM.swapcase()]
+    out = d.contained_items(make_docs(cases), items(spark)).collect()
+    assert {(r["__id"], r["__item"]) for r in out} == {(k, i) for k in range(len(cases)) for i in (1, 4)}
+    assert all(r["__matched"] == r["__windows"] for r in out)
+    # items in capitals meet documents in mixed case as well
+    loud = spark.createDataFrame([(1, ITEM.upper()), (2, TOM.title())], "item_id long, text string")
+    assert {(r["__id"], r["__item"]) for r in d.contained_items(make_docs([ITEM, TOM, ITEM.title(), TOM.upper()]), loud).collect()} == {
+        (0, 1), (1, 2), (2, 1), (3, 2)}
