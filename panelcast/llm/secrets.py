@@ -37,6 +37,10 @@ BEFORE, AFTER = 40, 20  # code points of context kept on either side
 KEY_WORDS = "token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer"
 FEATURES = ["length", "classes", "digit_share", "upper_share", "distinct_share", "hex", "dictionary_share",
             "slashes", "dots", "file_end", "key_word", "assigned", "quoted", "at_sign"]
+# How a value is announced: rule_labels takes its secrets by this, so a forest on its labels must not see it.
+ANNOUNCED = ["key_word", "assigned", "quoted"]
+# A value that starts like a path, or holds a slash and a point.
+PATH = r"^(?:\.{0,2}/.*/|\.{1,2}/)|/.*\.|\..*/"
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,11 +118,12 @@ def rule_labels(rows: DataFrame) -> DataFrame:
 
     1: a value of 20 or more characters, assigned to a name that announces a
     secret.  0: part of an address, a path or file name, or made of words.
-    NULL: neither is sure; such rows train nothing and are left to the forest.
+    NULL: neither is sure, also a value that nothing announces; such rows train
+    nothing and are left to the forest.
     """
     secret = (F.col("key_word") == 1) & (F.col("assigned") == 1) & (F.col("length") >= 20)
     harmless = (F.col("at_sign") == 1) | (F.col("file_end") == 1) | (F.col("dictionary_share") >= 0.5) \
-        | ((F.col("key_word") == 0) & (F.col("assigned") == 0))
+        | F.col("__value").rlike(PATH)
     return rows.withColumn("label", F.when(secret, 1.0).when(harmless, 0.0))
 
 
@@ -133,9 +138,11 @@ def training_sample(rows: DataFrame, limit: int = MAX_TRAINING) -> DataFrame:
 def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every candidate with FEATURES, ``probability`` and ``is_secret``.
 
-    ``findings`` (id, start, label) are labelled candidates; without them ``rule_labels`` stands in.
+    ``findings`` (id, start, label) are labelled candidates; without them ``rule_labels`` stands in, and
+    the forest judges by what a value is, not by how it is announced (ANNOUNCED).
     """
     rows = described(cut_lineage(candidates(docs, id_col, text_col)), docs, text_col)
+    features = FEATURES if findings is not None else [f for f in FEATURES if f not in ANNOUNCED]
     if findings is None:
         rows = rule_labels(rows)
     else:
@@ -147,7 +154,7 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_
     if len(seen) < 2:
         scored = rows.withColumn("probability", F.lit(seen[0] if seen else 0.0))
     else:
-        assembler = VectorAssembler(inputCols=FEATURES, outputCol="__features")
+        assembler = VectorAssembler(inputCols=features, outputCol="__features")
         forest = RandomForestClassifier(
             featuresCol="__features", labelCol="label", probabilityCol="__p", rawPredictionCol="__r", predictionCol="__y",
             numTrees=TREES, maxDepth=DEPTH, seed=SEED)

@@ -64,3 +64,12 @@ def test_nothing_to_learn(make_docs):
     assert s.scan(docs).count() == 0 and s.scan(docs.limit(0)).count() == 0
     only = s.scan(make_docs(["look at file0123456789abc.txt here"])).collect()
     assert [(r["probability"], r["is_secret"]) for r in only] == [(0.0, False)]
+
+
+def test_bare_keys_are_found(make_docs):
+    rnd = random.Random(9)
+    keys = ["".join(rnd.choice("0123456789abcdef") for _ in range(40)) for _ in range(6)]
+    docs = make_docs(texts(200, 3) + [f"the old server said {k} in the report" for k in keys])
+    rows = {r["__id"]: r for r in s.scan(docs).collect()}
+    assert all(rows[200 + i]["label"] is None and rows[200 + i]["is_secret"] for i in range(6))
+    assert not any(rows[i]["is_secret"] for i in range(0, 200, 2))
