@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import decontaminate, htmltext, linededup, mixing, pii, quality, secrets, simhash, tokencount, urlfilter
+from panelcast.llm import conversation, decontaminate, htmltext, linededup, mixing, pii, quality, secrets, simhash, tokencount, urlfilter
 from panelcast.llm.common import read_table
 from panelcast.session import cut_lineage
 
@@ -74,6 +74,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(read_table(spark, sf_dir, "documents")).drop("seg_chars", "seg_tokens")
 
 
+def op11_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    rows = conversation.damaged(read_table(spark, sf_dir, "conversations"))
+    return conversation.repair(rows).withColumnRenamed("__conv", "conv_id")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_pii": op2_pii,
@@ -85,6 +91,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_html_text": op9_html_text,
     "op10_token_counts": op10_token_counts,
+    "op11_conversation": op11_conversation,
 }
 
 
