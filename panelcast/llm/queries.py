@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import conversation, decontaminate, htmltext, linededup, mixing, pii, quality, secrets, simhash, tokencount, urlfilter
+from panelcast.llm import conversation, decontaminate, htmltext, linededup, mixing, pii, quality, secrets, simhash, tokencount, urlfilter, warc
 from panelcast.llm.common import read_table
-from panelcast.session import cut_lineage
+from panelcast.session import checkpoint_dir, cut_lineage
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +82,14 @@ def op11_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.repair(rows).withColumnRenamed("__conv", "conv_id")
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written into WARC archives, normalised record by record, and read back by the index."""
+    pages = read_table(spark, sf_dir, "pages")
+    archives = warc.archive_pages(pages, f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}")
+    found = warc.read_archives(archives, pages.schema["page_id"].dataType.simpleString(), with_payload=False)
+    return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_pii": op2_pii,
@@ -92,6 +102,7 @@ QUERIES = {
     "op9_html_text": op9_html_text,
     "op10_token_counts": op10_token_counts,
     "op11_conversation": op11_conversation,
+    "op12_warc": op12_warc,
 }
 
 
@@ -165,8 +176,22 @@ SELECT page_id, host, path, {pick(lambda r: r.name)} AS rule,
 FROM v LEFT JOIN cn ON cn.url = v.url"""
 
 
+def _warc_sql() -> str:
+    """Base 32 from the hexadecimal SHA-1: ten digits are eight letters."""
+    return """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS x FROM pages),
+d AS (SELECT page_id, n, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+             1 + CAST((CAST('0x' || substr(x, 1 + 10 * (i // 8), 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31 AS INTEGER), 1)), '') AS digest FROM p),
+r AS (SELECT *, row_number() OVER v AS k, first_value(page_id) OVER v AS first FROM d
+      WINDOW v AS (PARTITION BY digest, n ORDER BY page_id NULLS LAST))
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN k > 1 THEN first END AS refers_to
+FROM r"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": _rows_sql(),
     "op6_line_dedup": _lines_sql(),
     "op7_url_filter": _urls_sql(),
+    "op12_warc": _warc_sql(),
 }

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import sys
 import zlib
 from functools import lru_cache
 from itertools import product
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from panelcast.llm import conversation as c
 from panelcast.llm import queries as q
 
+sys.setrecursionlimit(20_000)
 ROWS = "conv_id long, turn long, role string, text string"
 GAP = " \t\n\x0b\x0c\r"
 
@@ -133,7 +135,7 @@ def test_one_conversation_over_many_partitions(spark):
     try:
         rnd = random.Random(5)
         hot = [(7, t, rnd.choice(["user", "assistant", "assistant", "system"]), rnd.choice([f"line {t}.", f"line {t}", "same."]))
-               for t in range(900)]
+               for t in range(250)]
         check(spark, hot + messy(rnd, range(100, 120), 6), 4)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
