@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import conversation, decontaminate, htmltext, linededup, mixing, pii, quality, secrets, simhash, tokencount, urlfilter, warc
+from panelcast.llm import conversation, decontaminate, htmltext, linededup, mixing, pii, quality, secrets, simhash, tokenalign, tokencount, urlfilter, warc
 from panelcast.llm.common import read_table
 from panelcast.session import checkpoint_dir, cut_lineage
 
+TOKENIZERS = "/opt/tokenizers"  # where the queries find the public vocabularies
+
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents mixed by source (target share: square root of a source's text), replicated and shuffled."""
@@ -90,6 +92,13 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two public tokenizers aligned in every whole text, with corpus-wide counts of the linked ids."""
+    docs = read_table(spark, sf_dir, "documents")
+    return tokenalign.alignment(docs, f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model") \
+        .withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_pii": op2_pii,
@@ -103,6 +112,7 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
     "op11_conversation": op11_conversation,
     "op12_warc": op12_warc,
+    "op13_token_align": op13_token_align,
 }
 
 
