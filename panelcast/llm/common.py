@@ -26,6 +26,14 @@ def text_key(column: str) -> Column:
     return F.xxhash64(F.col(column))
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, lengthened until no column of the frames is called so (names differ by more than case)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Write ``df`` once, count it, and mark it for broadcast only up to ``limit`` rows."""
     df = cut_lineage(df)

@@ -14,7 +14,9 @@ Results for odd input:
 * rows with the same id and the same text are one document: none of them is a
   later occurrence of the other;
 * rows without id come last among equal windows;
-* further columns, whatever their names, pass through unchanged.
+* very long texts are taken whole; an empty table stays empty;
+* further columns pass through unchanged, whatever their names; only columns that
+  are called ``__n_lines`` or ``__n_removed`` give way to the two that are added.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import text_key
+from panelcast.llm.common import fresh, text_key
 
 WINDOW = 3
 
@@ -68,19 +70,23 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Slim window rows meet by hash; a text moves only once, for the join with its covered positions.
     """
-    cuts = covered_lines(docs, id_col, text_col, width)
-    joined = docs.withColumn("__key", text_key(text_col)).join(
-        cuts, F.col(id_col).eqNullSafe(F.col("__cut_id")) & (F.col("__key") == F.col("__cut_key")), "left")
-    split = joined.withColumn("__lines", F.split(F.col(text_col), "\n", -1))
-    solid = split.withColumn("__solid", F.filter(
-        F.transform("__lines", lambda x, i: F.when(_trimmed(x) != "", i)), lambda i: i.isNotNull()))
+    key, cut, lines, solid, kept = (fresh(n, docs) for n in ("__key", "__cut", "__lines", "__solid", "__kept"))
+    cut_id, cut_key = fresh("__cut_id", docs), fresh("__cut_key", docs)
+    cuts = covered_lines(docs, id_col, text_col, width) \
+        .withColumnsRenamed({"__cut_id": cut_id, "__cut_key": cut_key, "__cut": cut})
+    joined = docs.withColumn(key, text_key(text_col)).join(
+        cuts, F.col(id_col).eqNullSafe(F.col(cut_id)) & (F.col(key) == F.col(cut_key)), "left")
+    split = joined.withColumn(lines, F.split(F.col(text_col), "\n", -1))
+    ready = split.withColumn(solid, F.filter(
+        F.transform(lines, lambda x, i: F.when(_trimmed(x) != "", i)), lambda i: i.isNotNull()))
     # covered indices count non-blank lines; what is not covered keeps its order
-    kept = F.array_except(
-        F.sequence(F.lit(0), F.size("__lines") - 1), F.transform("__cut", lambda k: F.col("__solid")[k]))
-    ready = solid.withColumn("__kept", F.when(F.col("__cut").isNotNull(), kept))
-    cleaned = F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(
-        F.array_join(F.transform("__kept", lambda i: F.col("__lines")[i]), "\n"))
+    rest = F.array_except(
+        F.sequence(F.lit(0), F.size(lines) - 1), F.transform(cut, lambda k: F.col(solid)[k]))
+    ready = ready.withColumn(kept, F.when(F.col(cut).isNotNull(), rest))
+    cleaned = F.when(F.col(cut).isNull(), F.col(text_col)).otherwise(
+        F.array_join(F.transform(kept, lambda i: F.col(lines)[i]), "\n"))
+    counts = {"__n_lines": F.coalesce(F.size(solid), F.lit(0)),
+              "__n_removed": F.when(F.col(cut).isNull(), 0).otherwise(F.size(cut))}
     return ready.select(
-        *[F.col(f"`{c}`") if c != text_col else cleaned.alias(text_col) for c in docs.columns],
-        F.coalesce(F.size("__solid"), F.lit(0)).cast("long").alias("__n_lines"),
-        F.when(F.col("__cut").isNull(), 0).otherwise(F.size("__cut")).cast("long").alias("__n_removed"))
+        *[F.col(f"`{c}`") if c != text_col else cleaned.alias(text_col) for c in docs.columns if c not in counts],
+        *[n.cast("long").alias(c) for c, n in counts.items()])

@@ -12,8 +12,11 @@ Results for odd input:
 * size is in code points; a group whose texts are all empty has no defined
   rate and gets 1;
 * rows with equal ids draw equal counts, so repeated rows stay repeated;
-  a NULL id draws like the string ``null``;
-* an empty table gives an empty table.
+  rows without id draw by their text;
+* texts of any length are measured and moved whole;
+* an empty table gives an empty table;
+* further columns pass through, whatever their names; only columns that are
+  called ``__copy`` or ``__order`` give way to the two that are added.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import small_side, text_or_empty
+from panelcast.llm.common import fresh, small_side, text_or_empty
 
 SEED = 20
 # A Poisson variable with a larger mean is drawn as a sum of pieces of at most this mean (exact, and exp() stays in range).
@@ -73,15 +76,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_c
         weights: DataFrame | None = None, temperature: float = 0.5, epochs: float = 1.0,
         seed: int = SEED) -> DataFrame:
     """``docs`` replicated to the target mix and shuffled; adds ``__copy`` (1, 2, ...) and ``__order``."""
-    rates = small_side(target_rates(docs, group_col, text_col, weights, temperature, epochs))
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    joined = docs.join(rates, F.col(group_col).cast("string").eqNullSafe(F.col("__group")))
-    draws = F.transform(F.sequence(F.lit(1), F.col("__pieces")),
+    rate, n = fresh("__rate", docs), fresh("__n", docs)
+    rates = small_side(target_rates(docs, group_col, text_col, weights, temperature, epochs)
+                       .select(F.struct("__group", "__pieces", "__cdf").alias(rate)))
+    # rows without id are told apart by their text
+    ident = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.md5(text_or_empty(text_col))))
+    joined = docs.drop("__copy", "__order").join(rates, F.col(group_col).cast("string").eqNullSafe(F.col(f"{rate}.__group")))
+    draws = F.transform(F.sequence(F.lit(1), F.col(f"{rate}.__pieces")),
                         lambda j: uniform(F.lit(str(seed)), ident, j.cast("string")))
     # the inverse: how many steps of the distribution lie below the uniform number
     copies = F.aggregate(
-        draws, F.lit(0), lambda n, u: n + F.size(F.filter("__cdf", lambda c: c < u)))
-    counted = joined.withColumn("__n", copies).drop("__group", "__size", "__rate", "__pieces", "__cdf")
-    spread = counted.withColumn("__copy", F.explode(F.when(F.col("__n") > 0, F.sequence(F.lit(1), F.col("__n"))))).drop("__n")
+        draws, F.lit(0), lambda k, u: k + F.size(F.filter(f"{rate}.__cdf", lambda c: c < u)))
+    counted = joined.withColumn(n, copies).drop(rate)
+    spread = counted.withColumn("__copy", F.explode(F.when(F.col(n) > 0, F.sequence(F.lit(1), F.col(n))))).drop(n)
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), ident, F.col("__copy").cast("string"), F.lit("order")))
     return spread.withColumn("__order", order).repartition("__order").sortWithinPartitions("__order")

@@ -21,7 +21,9 @@ Results for odd input: null and blank texts have fingerprint 0, linked like
 any other; texts shorter than a shingle have one shingle, the whole sequence;
 repeated shingles count each time; a bit that is set in exactly half the
 values is 0; rows with equal ids are separate rows of the result; a component
-without any id has a NULL component id; only the named columns are read.
+without any id has a NULL component id; very long texts are hashed whole, in
+chunks; an empty table gives an empty result; only the named columns are read,
+and ``keep_first`` returns all others unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import text_key
+from panelcast.llm.common import fresh, text_key
 from panelcast.llm.components import components
 from panelcast.session import cut_lineage
 
@@ -205,9 +207,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE,
                radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id."""
+    key, keep_id, keep_key = (fresh(n, docs) for n in ("__key", "__keep_id", "__keep_key"))
     chosen = near_duplicates(docs, id_col, text_col, width, radius).select(
-        F.col("__first")["id"].alias("__keep_id"), F.col("__first")["key"].alias("__keep_key")).distinct()
-    keyed = docs.withColumn("__key", text_key(text_col))
-    kept = keyed.join(chosen, keyed[id_col].eqNullSafe(chosen["__keep_id"]) & (keyed["__key"] == chosen["__keep_key"]), "left_semi")
+        F.col("__first")["id"].alias(keep_id), F.col("__first")["key"].alias(keep_key)).distinct()
+    keyed = docs.withColumn(key, text_key(text_col))
+    kept = keyed.join(chosen, keyed[id_col].eqNullSafe(chosen[keep_id]) & (keyed[key] == chosen[keep_key]), "left_semi")
     # rows that repeat id and text are copies of each other
-    return kept.dropDuplicates([id_col, "__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.dropDuplicates([id_col, key]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -70,3 +70,13 @@ def test_extra_columns_pass_through(spark):
     df = spark.createDataFrame([(0, "a\nb\nc", 7, "k"), (1, "a\nb\nc\nd", 8, None)], "doc_id long, text string, count long, `first` string")
     rows = {r["doc_id"]: r.asDict() for r in dedup_lines(df).collect()}
     assert rows[1]["text"] == "d" and rows[1]["count"] == 8 and rows[0]["first"] == "k"
+
+
+def test_clashing_columns_pass_through(spark, make_docs):
+    body = "one line\ntwo line\nthree line"
+    names = ["__key", "__cut", "__lines", "__solid", "__kept", "__cut_id", "__cut_key", "__n_lines"]
+    docs = make_docs([body, body, None]).selectExpr("*", *[f"{k} AS {n}" for k, n in enumerate(names)])
+    out = {r["doc_id"]: r.asDict() for r in dedup_lines(docs).collect()}
+    assert [out[k]["text"] for k in range(3)] == [body, "", None]
+    assert all(out[k][n] == i for k in range(3) for i, n in enumerate(names[:-1]))
+    assert (out[1]["__n_lines"], out[1]["__n_removed"]) == (3, 3)

@@ -80,3 +80,14 @@ def test_odd_input(spark):
     same = Counter(r["doc_id"] for r in mixing.mix(docs).where("doc_id = 3").collect())
     assert same.get(3, 0) % 2 == 0  # equal ids draw equal counts
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_rows_without_id_and_clashing_columns(spark, make_docs):
+    names = ["__n", "__rate", "__group", "__cdf", "__copy", "__order"]
+    docs = make_docs([(None, f"text number {k}") for k in range(400)]).selectExpr("*", *[f"'{n}' AS {n}" for n in names])
+    out = m.mix(docs).collect()
+    counts = {}
+    for r in out:
+        counts[r["text"]] = counts.get(r["text"], 0) + 1
+        assert [r[n] for n in names[:4]] == names[:4] and isinstance(r["__copy"], int)
+    assert len(set(counts.values())) > 1 and len({r["__order"] for r in out}) == len(out)

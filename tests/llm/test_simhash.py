@@ -117,3 +117,14 @@ def test_documents_end_to_end(make_docs, words):
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(expected.values()))
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_clashing_columns_pass_through(spark, make_docs, words):
+    text = words(60, 1)
+    names = ["__key", "__keep_id", "__keep_key", "__fp", "__id"]
+    docs = make_docs([text, text, words(60, 2), None]).selectExpr("*", *[f"{k} AS {n}" for k, n in enumerate(names)])
+    kept = s.keep_first(docs)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert sorted(r["doc_id"] for r in rows) == [0, 2, 3]
+    assert all([r[n] for n in names] == list(range(len(names))) for r in rows)
