@@ -3,7 +3,7 @@ recomputed after an executor loss reproduces the same rows)."""
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from testdata_paths import SF001
 from panelcast.operators.folds import assign_blocked_folds
 from panelcast.operators.foldstats import complement_median
 from panelcast.operators.ranking import kfold_assign

@@ -145,7 +145,7 @@ def test_null_site_kept_by_interpolation_gone_after_target(spark):
 
 
 def test_panel_interpolated_rows_equal_day_span(spark):
-    from conftest import SF001
+    from testdata_paths import SF001
     from panelcast.plans import catalog, panel
     d = catalog.daily(spark, SF001)
     obs = panel.observations(spark, SF001)

@@ -85,7 +85,7 @@ def test_fold_summary_mean_and_sample_sd(spark):
 
 
 def test_group_kfold_whole_groups_and_balance(spark):
-    from conftest import SF001
+    from testdata_paths import SF001
     from panelcast.plans.catalog import q_group_kfold
     rows = q_group_kfold(spark, SF001).collect()
     outer = {r["outer_fold"] for r in rows}
