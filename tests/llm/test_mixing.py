@@ -85,7 +85,7 @@ def test_odd_input(spark):
 def test_rows_without_id_and_clashing_columns(spark, make_docs):
     names = ["__n", "__rate", "__group", "__cdf", "__copy", "__order"]
     docs = make_docs([(None, f"text number {k}") for k in range(400)]).selectExpr("*", *[f"'{n}' AS {n}" for n in names])
-    out = m.mix(docs).collect()
+    out = mixing.mix(docs).collect()
     counts = {}
     for r in out:
         counts[r["text"]] = counts.get(r["text"], 0) + 1
