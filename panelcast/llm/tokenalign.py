@@ -51,10 +51,10 @@ from panelcast.session import checkpoint_dir
 
 MEMO = 300_000  # windows kept per task; beyond, the memory begins anew
 MEMO_IDS = 64  # longer windows seldom come again and are aligned each time
-TOGETHER = 200_000  # characters tokenised in one call
+TOGETHER = 400_000  # characters tokenised and aligned in one call
 SPACE = "▁"  # B's sign for a space (fixed value)
 
-Window = tuple[str, int, tuple[tuple[int, int], ...]]  # groups as text, their number, links
+Window = tuple[str, int, tuple[int, ...]]  # groups as text, their number, links as pair codes
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -73,6 +73,8 @@ class Sides:
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_file)
         self.a_bytes, self.b_bytes = a_tokens(a_file), b_tokens(self.b)
         self.a_size, self.b_size = (np.array([len(x) for x in t]) for t in (self.a_bytes, self.b_bytes))
+        self.a_len, self.b_len = self.a_size.tolist(), self.b_size.tolist()
+        self.names = [str(i) for i in range(max(len(self.a_len), len(self.b_len)))]
         self.a_space, self.b_space = (np.array([x[:1] == b" " for x in t]) for t in (self.a_bytes, self.b_bytes))
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
@@ -112,36 +114,53 @@ def possible_pairs(a: list[bytes], b: list[bytes]) -> int:
     return suffixes(a, Counter(b)) + suffixes(b, Counter(a))
 
 
-def align(a: tuple[int, ...], b: tuple[int, ...], a_size: np.ndarray, b_size: np.ndarray) -> Window:
+def align(a: tuple[int, ...], b: tuple[int, ...], s: Sides) -> Window:
     """Groups and links of one window, by walking both end lists."""
+    if len(a) == 1 or len(b) == 1:
+        return ",".join([s.names[i] for i in a]) + "|" + ",".join([s.names[i] for i in b]), 1, (pair_code(a[-1], b[-1]),)
     groups, links = [], []
     i = j = i0 = j0 = at_a = at_b = 0
     while i < len(a) or j < len(b):
         if at_a <= at_b:
-            at_a += int(a_size[a[i]])
+            at_a += s.a_len[a[i]]
             i += 1
         else:
-            at_b += int(b_size[b[j]])
+            at_b += s.b_len[b[j]]
             j += 1
         if at_a == at_b:
-            groups.append(",".join(map(str, a[i0:i])) + "|" + ",".join(map(str, b[j0:j])))
-            links.append((a[i - 1], b[j - 1]))
+            groups.append(",".join([s.names[x] for x in a[i0:i]]) + "|" + ",".join([s.names[x] for x in b[j0:j]]))
+            links.append(pair_code(a[i - 1], b[j - 1]))
             i0, j0 = i, j
     return ";".join(groups), len(groups), tuple(links)
 
 
-def windows(a: np.ndarray, b: np.ndarray, s: Sides) -> Iterator[tuple[tuple[int, ...], tuple[int, ...]]]:
-    """Cut two id lists of the same bytes at the anchors."""
+def pair_code(a: int, b: int) -> int:
+    return a << 32 | b
+
+
+def cuts(a: np.ndarray, b: np.ndarray, s: Sides) -> tuple[np.ndarray, np.ndarray]:
+    """First tokens of the windows on both sides, for two id lists of the same bytes that begin with a space."""
     a_start, b_start = (np.cumsum(size) - size for size in (s.a_size[a], s.b_size[b]))
     ia, ib = np.flatnonzero(s.a_space[a]), np.flatnonzero(s.b_space[b])
     _, ka, kb = np.intersect1d(a_start[ia], b_start[ib], assume_unique=True, return_indices=True)
-    cut_a, cut_b = ia[ka].tolist(), ib[kb].tolist()
-    if not cut_a or cut_a[0]:
-        cut_a.insert(0, 0)
-        cut_b.insert(0, 0)
-    a, b = tuple(a.tolist()), tuple(b.tolist())
-    for i, j, k, m in zip(cut_a, [*cut_a[1:], len(a)], cut_b, [*cut_b[1:], len(b)], strict=True):
-        yield a[i:j], b[k:m]
+    return ia[ka], ib[kb]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A hash of 64-bit numbers (the finaliser of SplitMix64; its constants are fixed values)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprints(a: np.ndarray, cut_a: np.ndarray, b: np.ndarray, cut_b: np.ndarray, salt: int) -> np.ndarray:
+    """64 bits of every window's two id tuples."""
+    out = np.zeros(len(cut_a), dtype=np.uint64)
+    for side, (ids, cut) in enumerate(((a, cut_a), (b, cut_b))):
+        place = np.arange(len(ids)) - np.repeat(cut, np.diff(np.append(cut, len(ids))))
+        key = ids.astype(np.uint64) << np.uint64(32) | place.astype(np.uint64) << np.uint64(1) | np.uint64(side)
+        out += np.add.reduceat(_mixed(key + np.uint64(salt)), cut)
+    return out
 
 
 class Aligner:
@@ -153,23 +172,47 @@ class Aligner:
 
     def window(self, w: tuple[tuple[int, ...], tuple[int, ...]]) -> Window:
         if (found := self.memo.get(w)) is None:
-            found = align(*w, self.s.a_size, self.s.b_size)
+            found = align(*w, self.s)
             if len(w[0]) + len(w[1]) <= MEMO_IDS:
                 if len(self.memo) >= MEMO:
                     self.memo.clear()
                 self.memo[w] = found
         return found
 
-    def document(self, a: list[int], b: list[int]) -> tuple[list[str], int, Counter]:
-        """(groups as text per window, number of groups, links)."""
-        cut = list(windows(np.array(a), np.array(b), self.s))
-        known, n, links = {}, 0, Counter()
-        for w, times in Counter(cut).items():
-            known[w], k, pairs = self.window(w)
-            n += k * times
-            for p in pairs:
-                links[p] += times
-        return [known[w] for w in cut], n, links
+    def documents(self, a: list[list[int]], b: list[list[int]]) -> list[tuple[str, int, np.ndarray]]:
+        """(groups, their number, links as pair codes) of documents whose tokens on both sides join to the same bytes.
+
+        The documents stand behind each other as one text; each begins with a space, so with an anchor.
+        """
+        if not a:
+            return []
+        ids_a, ids_b = (np.concatenate([np.asarray(x, dtype=np.int64) for x in side]) for side in (a, b))
+        cut_a, cut_b = cuts(ids_a, ids_b, self.s)
+        mark = fingerprints(ids_a, cut_a, ids_b, cut_b, 1)
+        _, first, which = np.unique(mark, return_index=True, return_inverse=True)
+        check = fingerprints(ids_a, cut_a, ids_b, cut_b, 2)
+        if (check[first[which]] != check).any():  # two windows share 64 bits: every window stands for itself
+            first = which = np.arange(len(mark))
+        end_a, end_b = np.append(cut_a[1:], len(ids_a)), np.append(cut_b[1:], len(ids_b))
+        list_a, list_b = ids_a.tolist(), ids_b.tolist()
+        found = [self.window((tuple(list_a[i:j]), tuple(list_b[k:m])))
+                 for i, j, k, m in zip(*(x[first].tolist() for x in (cut_a, end_a, cut_b, end_b)), strict=True)]
+        texts = [f[0] for f in found]
+        sizes = np.array([f[1] for f in found])
+        codes = np.array([c for f in found for c in f[2]], dtype=np.int64)
+        starts = np.cumsum(sizes) - sizes
+        # links of all windows in order
+        each = sizes[which]
+        at = np.cumsum(each) - each
+        links = codes[np.repeat(starts[which] - at, each) + np.arange(int(each.sum()))]
+        doc_ends = np.searchsorted(cut_a, np.cumsum([len(x) for x in a]))
+        out, w0 = [], 0
+        order = which.tolist()
+        for w1 in doc_ends.tolist():
+            l0, l1 = int(at[w0]), int(at[w1 - 1] + each[w1 - 1])
+            out.append((";".join([texts[w] for w in order[w0:w1]]), l1 - l0, links[l0:l1]))
+            w0 = w1
+        return out
 
 
 def _pieces(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -186,46 +229,47 @@ def _pieces(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text",
             with_tokens: bool = False) -> DataFrame:
-    """(id, n_a, n_b, n_groups, n_links, groups_sha256, pair_a, pair_b, times) of every document, the last three being
-    its distinct links; with ``groups``, the alignment itself, where ``with_tokens``.  The files are read by the driver."""
+    """(id, n_a, n_b, n_groups, n_links, groups_sha256, pair, times) of every document, the last two being its distinct
+    links (id of A in the upper 32 bits) and their numbers; with ``groups``, the alignment itself, where ``with_tokens``.  The files are read by the driver."""
     files = [docs.sparkSession.sparkContext.broadcast(Path(p).read_bytes()) for p in (a_path, b_path)]
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
-    def one(aligner: Aligner, text: str, a: list[int], b: list[int]) -> tuple:
-        if not text or not aligner.s.whole(text, a, b):
-            return 0, 0, 0, 0, "", [], [], [], ""
-        groups, n, links = aligner.document(a, b)
-        joined = ";".join(groups)
-        pairs = list(links)
-        return (len(a), len(b), n, links.total(), hashlib.sha256(joined.encode()).hexdigest(),
-                [p[0] for p in pairs], [p[1] for p in pairs], list(links.values()), joined)
+    def rows(aligner: Aligner, ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
+        a, b = aligner.s.encode(texts)
+        whole = [k for k, t in enumerate(texts) if t and aligner.s.whole(t, a[k], b[k])]
+        done = dict(zip(whole, aligner.documents([a[k] for k in whole], [b[k] for k in whole]), strict=True))
+        none = ("", 0, np.zeros(0, np.int64))
+        found = [done.get(k, none) for k in range(len(texts))]
+        pairs = [np.unique(links, return_counts=True) for _, _, links in found]
+        ends = pa.array(np.cumsum([0, *[len(p) for p, _ in pairs]]), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x) if x else [], pa.int64())) for x in zip(*pairs, strict=True)]
+        size = lambda side: pa.array([len(side[k]) if k in done else 0 for k in range(len(texts))], pa.int64())
+        columns = [ids, size(a), size(b), *[pa.array([n for _, n, _ in found], pa.int64())] * 2,
+                   pa.array([hashlib.sha256(g.encode()).hexdigest() if k in done else "" for k, (g, _, _) in enumerate(found)], pa.string()), *lists]
+        if with_tokens:
+            columns.append(pa.array([g for g, _, _ in found], pa.string()))
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        s = sides(files[0].value, files[1].value)
-        aligner = Aligner(s)
+        aligner = Aligner(sides(files[0].value, files[1].value))
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             for start, end in _pieces(texts):
-                rows = [one(aligner, t, x, y) for t, x, y in zip(texts[start:end], *s.encode(texts[start:end]), strict=True)]
-                cols = list(zip(*rows, strict=True))[:8 + with_tokens]
-                yield pa.record_batch([b.column(0).slice(start, end - start),
-                                       *[pa.array(c, t) for c, t in zip(cols, kinds, strict=False)]], names)
+                yield rows(aligner, b.column(0).slice(start, end - start), texts[start:end])
 
-    names = ["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pair_a", "pair_b", "times", *["groups"] * with_tokens]
-    kinds = [pa.int64()] * 4 + [pa.string()] + [pa.list_(pa.int32())] * 3 + [pa.string()]
+    names = ["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pair", "times", *["groups"] * with_tokens]
     return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, n_a long, n_b long, n_groups long, n_links long, "
-                           "groups_sha256 string, pair_a array<int>, pair_b array<int>, times array<int>"
-                           + ", groups string" * with_tokens)
+                           "groups_sha256 string, pair array<bigint>, times array<bigint>" + ", groups string" * with_tokens)
 
 
 def pair_counts(documents: DataFrame) -> DataFrame:
-    """(pair_a, pair_b, count, best): links per id pair over all documents, and whether its id of B has no higher one."""
-    each = documents.select(F.explode(F.arrays_zip("pair_a", "pair_b", "times")).alias("p")).select("p.*")
-    counts = each.groupBy("pair_a", "pair_b").agg(F.sum("times").alias("count"))
-    highest = counts.groupBy(F.col("pair_b").alias("b")).agg(F.max("count").alias("highest"))
-    return counts.join(highest, counts["pair_b"] == highest["b"]).select(
-        "pair_a", "pair_b", "count", (F.col("count") == F.col("highest")).alias("best"))
+    """(pair, count, best): links per id pair over all documents, and whether its id of B has no higher one."""
+    each = documents.select(F.inline(F.arrays_zip("pair", "times")))
+    counts = each.groupBy("pair").agg(F.sum("times").alias("count"))
+    to = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))
+    highest = counts.groupBy(to.alias("b")).agg(F.max("count").alias("highest"))
+    return counts.join(highest, to == highest["b"]).select("pair", "count", (F.col("count") == F.col("highest")).alias("best"))
 
 
 def alignment(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,8 +280,7 @@ def alignment(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
     documents = spark.read.parquet(path)
     # bounded by the two vocabularies, whatever the corpus: see possible_pairs
     counts = F.broadcast(pair_counts(documents))
-    met = documents.select("row", F.explode(F.arrays_zip("pair_a", "pair_b", "times")).alias("p")).select("row", "p.*") \
-        .join(counts, ["pair_a", "pair_b"])
+    met = documents.select("row", F.inline(F.arrays_zip("pair", "times"))).join(counts, "pair")
     sums = met.groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"),
                                   F.sum(F.col("times") * F.col("count")).alias("count_sum"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
