@@ -38,6 +38,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -54,7 +55,9 @@ MEMO_IDS = 64  # longer windows seldom come again and are aligned each time
 TOGETHER = 400_000  # characters tokenised and aligned in one call
 SPACE = "▁"  # B's sign for a space (fixed value)
 
-Window = tuple[str, int, tuple[int, ...]]  # groups as text, their number, links as pair codes
+COMMA, BAR, SEMICOLON, LINE = range(4)  # what stands before a token's id
+
+Window = tuple[str, int, list[int]]  # groups as text, their number, links as pair codes
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -73,8 +76,7 @@ class Sides:
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_file)
         self.a_bytes, self.b_bytes = a_tokens(a_file), b_tokens(self.b)
         self.a_size, self.b_size = (np.array([len(x) for x in t]) for t in (self.a_bytes, self.b_bytes))
-        self.a_len, self.b_len = self.a_size.tolist(), self.b_size.tolist()
-        self.names = [str(i) for i in range(max(len(self.a_len), len(self.b_len)))]
+        self.signed = [f"{sign}{i}" for i in range(max(len(self.a_bytes), len(self.b_bytes))) for sign in (",", "|", ";", "\n")]
         self.a_space, self.b_space = (np.array([x[:1] == b" " for x in t]) for t in (self.a_bytes, self.b_bytes))
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
@@ -114,27 +116,28 @@ def possible_pairs(a: list[bytes], b: list[bytes]) -> int:
     return suffixes(a, Counter(b)) + suffixes(b, Counter(a))
 
 
-def align(a: tuple[int, ...], b: tuple[int, ...], s: Sides) -> Window:
-    """Groups and links of one window, by walking both end lists."""
-    if len(a) == 1 or len(b) == 1:
-        return ",".join([s.names[i] for i in a]) + "|" + ",".join([s.names[i] for i in b]), 1, (pair_code(a[-1], b[-1]),)
-    groups, links = [], []
-    i = j = i0 = j0 = at_a = at_b = 0
-    while i < len(a) or j < len(b):
-        if at_a <= at_b:
-            at_a += s.a_len[a[i]]
-            i += 1
-        else:
-            at_b += s.b_len[b[j]]
-            j += 1
-        if at_a == at_b:
-            groups.append(",".join([s.names[x] for x in a[i0:i]]) + "|" + ",".join([s.names[x] for x in b[j0:j]]))
-            links.append(pair_code(a[i - 1], b[j - 1]))
-            i0, j0 = i, j
-    return ";".join(groups), len(groups), tuple(links)
-
-
-def pair_code(a: int, b: int) -> int:
+def align(a: np.ndarray, len_a: np.ndarray, b: np.ndarray, len_b: np.ndarray, s: Sides) -> list[Window]:
+    """Groups and links of windows of so many ids.  They stand behind each other as one text, whose common ends close the groups."""
+    if not len(len_a):
+        return []
+    last_a, last_b = np.cumsum(len_a), np.cumsum(len_b)
+    _, ka, kb = np.intersect1d(np.cumsum(s.a_size[a]), np.cumsum(s.b_size[b]), assume_unique=True, return_indices=True)
+    new_a, new_b = np.append(0, ka[:-1] + 1), np.append(0, kb[:-1] + 1)  # first token of every group
+    # a group's text: its tokens of A, then those of B; every token behind its sign
+    codes = np.zeros(len(a) + len(b), dtype=np.int64)
+    ga, gb = np.repeat(np.arange(len(ka)), ka - new_a + 1), np.repeat(np.arange(len(kb)), kb - new_b + 1)
+    place_a, place_b = np.arange(len(a)) + new_b[ga], np.arange(len(b)) + ka[gb] + 1
+    codes[place_a], codes[place_b] = a, b
+    signs = np.full(len(codes), COMMA)
+    signs[place_a[new_a]], signs[place_b[new_b]] = SEMICOLON, BAR
+    signs[np.append(0, (last_a + last_b)[:-1])] = LINE  # the first token of a window
+    texts = "".join([s.signed[k] for k in (codes * 4 + signs).tolist()]).split("\n")[1:]
+    links = pair_code(a[ka], b[kb]).tolist()
+    ends = np.searchsorted(ka, last_a).tolist()
+    return [(text, g1 - g0, links[g0:g1]) for text, g0, g1 in zip(texts, [0, *ends], ends, strict=False)]
+
+
+def pair_code(a, b):
     return a << 32 | b
 
 
@@ -170,13 +173,23 @@ class Aligner:
         self.s = s
         self.memo: dict[tuple, Window] = {}
 
-    def window(self, w: tuple[tuple[int, ...], tuple[int, ...]]) -> Window:
-        if (found := self.memo.get(w)) is None:
-            found = align(*w, self.s)
-            if len(w[0]) + len(w[1]) <= MEMO_IDS:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[w] = found
+    def windows(self, a: np.ndarray, cut_a: np.ndarray, end_a: np.ndarray, b: np.ndarray, cut_b: np.ndarray, end_b: np.ndarray) -> list[Window]:
+        """The windows between the given places, from the memory or aligned together."""
+        # the two id tuples, packed as bytes
+        packed_a, packed_b = a.astype(np.int32).tobytes(), b.astype(np.int32).tobytes()
+        keys = [(packed_a[i:j], packed_b[k:m]) for i, j, k, m in zip(*((x * 4).tolist() for x in (cut_a, end_a, cut_b, end_b)), strict=True)]
+        found = list(map(self.memo.get, keys))
+        missing = np.array([k for k, f in enumerate(found) if f is None], dtype=np.int64)
+        if len(self.memo) + len(missing) > MEMO:
+            self.memo.clear()
+        sides = []
+        for ids, cut, end in ((a, cut_a[missing], end_a[missing]), (b, cut_b[missing], end_b[missing])):
+            size = end - cut
+            sides += [ids[np.repeat(cut - np.cumsum(size) + size, size) + np.arange(int(size.sum()))], size]
+        for k, window in zip(missing.tolist(), align(*sides, self.s), strict=True):
+            found[k] = window
+            if len(keys[k][0]) + len(keys[k][1]) <= 4 * MEMO_IDS:
+                self.memo[keys[k]] = window
         return found
 
     def documents(self, a: list[list[int]], b: list[list[int]]) -> list[tuple[str, int, np.ndarray]]:
@@ -194,12 +207,10 @@ class Aligner:
         if (check[first[which]] != check).any():  # two windows share 64 bits: every window stands for itself
             first = which = np.arange(len(mark))
         end_a, end_b = np.append(cut_a[1:], len(ids_a)), np.append(cut_b[1:], len(ids_b))
-        list_a, list_b = ids_a.tolist(), ids_b.tolist()
-        found = [self.window((tuple(list_a[i:j]), tuple(list_b[k:m])))
-                 for i, j, k, m in zip(*(x[first].tolist() for x in (cut_a, end_a, cut_b, end_b)), strict=True)]
+        found = self.windows(ids_a, cut_a[first], end_a[first], ids_b, cut_b[first], end_b[first])
         texts = [f[0] for f in found]
         sizes = np.array([f[1] for f in found])
-        codes = np.array([c for f in found for c in f[2]], dtype=np.int64)
+        codes = np.fromiter(chain.from_iterable([f[2] for f in found]), dtype=np.int64)
         starts = np.cumsum(sizes) - sizes
         # links of all windows in order
         each = sizes[which]

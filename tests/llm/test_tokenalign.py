@@ -3,6 +3,7 @@ import random
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 from panelcast.llm import queries as q
@@ -75,8 +76,8 @@ def test_windows_align_like_the_whole(both):
         text = messy(rnd, rnd.randint(1, 30))
         (a,), (b,) = both.encode([text])
         ((groups, n, links),) = t.Aligner(both).documents([a], [b])
-        whole = t.align(tuple(a), tuple(b), both)
-        assert (groups, n, tuple(links)) == whole
+        (whole,) = t.align(np.array(a), np.array([len(a)]), np.array(b), np.array([len(b)]), both)
+        assert (groups, n, links.tolist()) == whole
 
 
 def test_windows_with_equal_fingerprints_stay_apart(both, monkeypatch):
