@@ -15,7 +15,8 @@ from panelcast.functions.labels import clip_nonnegative
 from panelcast.operators.baselines import baseline_predictions
 from panelcast.operators.folds import assign_blocked_folds, blocked_fold_sizes, nested_group_folds, split_group_column
 from panelcast.operators.foldstats import complement_median, complement_moments
-from panelcast.operators.knn import fold_score, knn_neighbours, knn_predict, mean_score, parameter_grid
+from panelcast.operators.knn import fold_score, knn_neighbours, knn_predict, knn_rows, parameter_grid
+from panelcast.operators.knn_tuning import nested_scores
 from panelcast.operators.linear import fit_blocked_linear, predict_blocked_linear, tune_blocked_ridge
 from panelcast.operators.metrics import event_metric_columns, summarize_fold_metrics, summarize_pooled_predictions
 from panelcast.operators.models import fit_blocked_spark_ml, make_model_spec
@@ -244,51 +245,79 @@ def knn_nested_predictions(assigned: DataFrame, spec: PanelSpec, *, split_type:
     """KNN tuned inside every outer fold by group k-fold CV (nested), then
     used to predict the fold's test rows.  Returns (predictions, details).
 
-    Distances differ from one inner training set to the next, so each training
-    row takes part once per outer fold it trains (the inner problem of fold f
-    is a split type of its own); one exact neighbour search per metric ``p``
-    then scores every (outer fold, inner fold, grid point).
+    Complete features: one neighbour search per metric answers every inner
+    problem of every outer fold from lists that know each neighbour's group
+    (``knn_tuning.nested_scores``); no row is copied.  With gaps the medians
+    differ from one inner training set to the next, and each training row takes
+    part once per outer fold it trains.
     """
     began = time.perf_counter()
     grid = parameter_grid(param_grid or KNN_PARAM_GRID)
-    k_max = max(g["n_neighbors"] for g in grid)
     ids = pair_ids(spec)
     part = cut_lineage(assigned.where(F.col("split_type") == split_type))
-    inner_folds = cut_lineage(nested_group_folds(part, inner_cv))
-    inner = _inner_table(part, inner_folds, [*ids, *spec.features, spec.target_out])
     own_medians = gap_medians(part, spec.features, ids) if medians is None else medians.where(F.col("split_type") == split_type)
-    inner_medians = gap_medians(inner, spec.features, ids)
-    truth = inner.select("split_type", "fold", *[quote(c) for c in ids], quote(spec.target_out).cast("double").alias("__y"))
-
-    def predictions(table: DataFrame, meds: DataFrame | None) -> DataFrame:
-        """(split_type, fold, ids, candidate, y_pred) for every grid point."""
-        mom = complement_moments(table, spec.features, meds)
-        out = []
-        for p in sorted({g["p"] for g in grid}):
-            nn = cut_lineage(knn_neighbours(table, spec.features, spec.target_out, ids, mom, k_max=k_max, p=p, medians=meds))
-            out += [knn_predict(nn, g["n_neighbors"], g["weights"], strict=False).withColumn("candidate", F.lit(c)).drop("nn")
-                    for c, g in enumerate(grid) if g["p"] == p]
-        return reduce(DataFrame.unionByName, out)
-
-    scored = predictions(inner, inner_medians).join(truth, ["split_type", "fold", *ids]) \
-        .withColumn("__se", (F.col("y_pred") - F.col("__y")) ** 2)
-    per_fold = scored.groupBy("split_type", "candidate", "fold").agg(fold_score().alias("mse"))
-    mean = per_fold.groupBy("split_type", "candidate").agg(mean_score("mse").alias("mean_mse"))
+    if own_medians is None:
+        rows = knn_rows(part, spec.features, spec.target_out, ids, False)
+        scores = nested_scores(rows, len(spec.features), grid, inner_cv)
+    else:
+        scores = _copied_scores(part, spec, grid, inner_cv)
+    # a grid point that does not fit one inner fold has no score there
+    mean = scores.groupBy("fold", "candidate").agg(
+        F.when(F.count("mse") == F.max("splits"), F.avg("mse")).alias("mean_mse"), F.max("splits").alias("splits"))
     # ties: the first grid point
-    best = cut_lineage(mean.where(F.col("mean_mse").isNotNull()).groupBy(F.col("split_type").alias("fold")).agg(
-        F.min(F.struct("mean_mse", "candidate")).alias("b")).select("fold", "b.candidate", "b.mean_mse"))
-    chosen = predictions(part, own_medians).join(best.select("fold", "candidate"), ["fold", "candidate"]) \
+    best = cut_lineage(mean.where(F.col("mean_mse").isNotNull()).groupBy("fold").agg(
+        F.min(F.struct("mean_mse", "candidate")).alias("b"), F.max("splits").cast("int").alias("inner_cv_splits"))
+        .select("fold", "b.candidate", "b.mean_mse", "inner_cv_splits"))
+    chosen = _best_predictions(part, spec, grid, best, own_medians) \
         .select("split_type", "fold", *[quote(c) for c in ids], clip_nonnegative("y_pred").alias("y_pred"))
     out = model_rows(part.join(chosen, ["split_type", "fold", *ids]), spec, "knn", "KNN")
     names = F.create_map(*[x for c, g in enumerate(grid) for x in (F.lit(c), F.lit(json.dumps(g, sort_keys=True)))])
-    splits = inner_folds.groupBy(F.col("outer").alias("fold")).agg((F.max("inner") + 1).cast("int").alias("inner_cv_splits"))
     share = (time.perf_counter() - began) / max(1, best.count())
-    details = best.join(splits, "fold").select(
+    details = best.select(
         F.lit(split_type).alias("split_type"), "fold", F.lit("knn").alias("method"), names[F.col("candidate")].alias("best_params"),
         F.sqrt("mean_mse").alias("best_inner_cv_rmse"), "inner_cv_splits", F.lit(share).alias("fit_seconds"))
     return out, details
 
 
+def _best_predictions(part: DataFrame, spec: PanelSpec, grid: list[dict], best: DataFrame, medians: DataFrame | None) -> DataFrame:
+    """(split_type, fold, ids, y_pred): every fold's test rows by its own grid point; one search per metric for the folds that use it."""
+    ids = pair_ids(spec)
+    moments = complement_moments(part, spec.features, medians)
+    out = []
+    for p in sorted({g["p"] for g in grid}):
+        mine = {c: g for c, g in enumerate(grid) if g["p"] == p}
+        used = {r["candidate"] for r in best.select("candidate").distinct().collect()} & set(mine)  # grid points
+        if not used:
+            continue
+        nn = knn_neighbours(part, spec.features, spec.target_out, ids, moments, p=p, medians=medians,
+                            query_folds=best.where(F.col("candidate").isin(sorted(used))), k_max=max(mine[c]["n_neighbors"] for c in used))
+        nn = cut_lineage(nn.join(best.select("fold", "candidate"), "fold"))
+        out += [knn_predict(nn.where(F.col("candidate") == c), mine[c]["n_neighbors"], mine[c]["weights"]).drop("nn", "candidate") for c in sorted(used)]
+    return reduce(DataFrame.unionByName, out)
+
+
+def _copied_scores(part: DataFrame, spec: PanelSpec, grid: list[dict], inner_cv: int) -> DataFrame:
+    """(fold, inner, candidate, mse, splits) where features have gaps: the inner problem of fold f is a split type of its own."""
+    ids = pair_ids(spec)
+    inner_folds = cut_lineage(nested_group_folds(part, inner_cv))
+    inner = _inner_table(part, inner_folds, [*ids, *spec.features, spec.target_out])
+    medians = gap_medians(inner, spec.features, ids)
+    moments = complement_moments(inner, spec.features, medians)
+    names = ["split_type", "fold", *ids]
+    truth = inner.select(*[quote(c) for c in names], quote(spec.target_out).cast("double").alias("__y"))
+    k_max = max(g["n_neighbors"] for g in grid)
+    out = []
+    for p in sorted({g["p"] for g in grid}):
+        nn = knn_neighbours(inner, spec.features, spec.target_out, ids, moments, k_max=k_max, p=p, medians=medians)
+        nn = cut_lineage(nn.join(truth, names))
+        out += [knn_predict(nn, g["n_neighbors"], g["weights"], strict=False).withColumn("candidate", F.lit(c)).drop("nn")
+                for c, g in enumerate(grid) if g["p"] == p]
+    scored = reduce(DataFrame.unionByName, out).withColumn("__se", (F.col("y_pred") - F.col("__y")) ** 2)
+    splits = inner_folds.groupBy("outer").agg((F.max("inner") + 1).alias("splits"))
+    return scored.groupBy(F.col("split_type").alias("outer"), "candidate", F.col("fold").alias("inner")).agg(fold_score().alias("mse")) \
+        .join(splits, "outer").select(F.col("outer").alias("fold"), "inner", "candidate", "mse", "splits")
+
+
 def ridge_nested_predictions(assigned: DataFrame, spec: PanelSpec, *, split_type: str | None = None,
                              alphas=(1.0, 10.0), inner_cv: int = 5, medians: DataFrame | None = None):
     """Polynomial (degree 2) ridge with alpha tuned by nested group k-fold CV

@@ -148,7 +148,7 @@ def _comp_sds(pdf, feats):
 def test_nested_knn_tuning_matches_numpy(spark):
     import datetime as dt
 
-    from panelcast.plans.daily import _grid
+    from panelcast.operators.knn import parameter_grid
     from panelcast.plans.weekly import PanelSpec, knn_nested_predictions
     feats = ["a", "b", "c"]
     df = _fixture(spark)
@@ -162,7 +162,7 @@ def test_nested_knn_tuning_matches_numpy(spark):
     preds, details = knn_nested_predictions(df, spec, split_type="year", inner_cv=5, param_grid=grid)
     got = {(r["fold"], r["site"]): r["y_pred"] for r in preds.collect()}
     pdf = df.select("fold", F.col("site").alias("rid"), *feats, "y").toPandas()
-    cands = _grid(grid)
+    cands = parameter_grid(grid)
     for f in sorted(pdf.fold.unique()):
         sub = pdf[pdf.fold != f].copy()
         scores = []
