@@ -10,20 +10,27 @@ the threshold on their own.  Elements that are never article text
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
 comments of readers) are left out by tag and name before densities are taken.
 A class, id or role counts when its first or last word is one of boilerplate
-(``cookie-notice``, ``site-footer``), unless it speaks of the absence or presence
-of a part (``no-sidebar``, ``has-comments``).  ``article`` and ``main`` are never
-left out by name, and another element not if it holds more than half of the
-page's text outside links and no article or main with text stands beside it;
-the densities decide there.  Comments of readers stay out as long as other text
-is left.
+(``cookie-notice``, ``site-footer``), or any word that speaks of nothing else
+(``post-comments-area``, ``userComments``, ``commentlist``), unless it speaks of
+the absence or presence of a part (``no-sidebar``, ``has-comments``).  ``article``
+and ``main`` are never left out by name, and another element, like a form, not
+if it holds more than half of the page's text outside links and no article or
+main with text stands beside it; the densities decide there.  Comments of
+readers stay out as long as other text is left.
+
+Three rules complete the taken region: sections and articles beside the core's
+own, under one parent, belong to it unless most of their text is links; a header
+inside it that holds a heading is the article's, not the site's; and a block of
+two links or more without any other word is a menu.
 
 Spark spreads the pages; a page is parsed by the standard library's parser
 into flat lists, without recursion, in time linear in its length.
 
 Results for odd input: null or empty HTML gives an empty text; plain text
 without tags is one block; unclosed and crossed tags are closed as browsers
-do; ties go to the node that comes first; repeated rows give repeated results;
-only the named columns are read.
+do; ties go to the node that comes first; pages of any length are taken whole;
+repeated rows give repeated results; an empty table gives an empty result; only
+the named columns are read.
 """
 
 from __future__ import annotations
@@ -56,12 +63,19 @@ NEVER = set("head script style noscript template nav footer aside button select
 SIDE = set("ad ads advert advertisement sponsor sponsored promo banner cookie cookies consent gdpr notice popup modal overlay "
            "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus respond replies share "
            "sharing social related recommended newsletter subscribe signup login search toolbar widget pagination pager skip".split())
+# Those of them that mark boilerplate wherever they stand in a name.
+STRONG = set("advert advertisement sponsored cookie cookies consent gdpr popup modal sidebar navbar navigation breadcrumb breadcrumbs "
+             "comment comments disqus newsletter".split())
+# Words that a word of boilerplate is written together with.
+PARTS = "list area box section wrapper wrap container block body form thread bar panel".split()
+TOGETHER = re.compile(f"({'|'.join(sorted(SIDE, key=len, reverse=True))})({'|'.join(PARTS)})")
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 COMMENTS = set("comment comments disqus respond replies".split())
 # Words of names that speak of a part elsewhere.
 ABOUT = set("no not non without hide has have with".split())
 # An article inside one of these is no part of it: they were left open.
 LEFT_OPEN = set("nav header footer ul li a div form".split())
-WORD = re.compile(r"[a-z]+")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 def _side_words(attrs: list) -> set[str]:
@@ -69,10 +83,11 @@ def _side_words(attrs: list) -> set[str]:
     found = set()
     for key, value in attrs:
         if key in ("class", "id", "role"):
-            for name in (value or "").lower().split():
-                words = WORD.findall(name)
+            for name in (value or "").split():
+                words = [w.lower() for w in WORD.findall(name)]
+                words = [m[1] if (m := TOGETHER.fullmatch(w)) else w for w in words]
                 if words and not ABOUT.intersection(words):
-                    found.update(SIDE.intersection((words[0], words[-1])))
+                    found.update(SIDE.intersection((words[0], words[-1])), STRONG.intersection(words))
     return found
 
 
@@ -82,7 +97,8 @@ class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.out, self.linked = ["#root"], [-1], [False], [False]
-        self.never, self.side = [False], [set()]  # left out by tag; words of boilerplate in its names
+        self.never, self.side = [False], [set()]  # left out by tag; words of boilerplate in its names, or "form"
+        self.header, self.named = [False], [False]  # a header outside articles; left out by name
         self.text: list[tuple[int, str]] = []  # (node, text); a block's edges carry None
         self.open = [0]
         self.count = Counter(["#root"])
@@ -117,7 +133,7 @@ class _Page(HTMLParser):
                 # an article is no part of a menu that was left open
                 self.out[k] = inside and held[up]
             else:
-                self.out[k] = inside or by_name[k] or self.never[k]
+                self.out[k] = inside or by_name[k] or self.never[k] or self.header[k]
             held[k] = held[up] or (self.out[k] and self.tag[k] not in LEFT_OPEN)
 
     def finish(self) -> None:
@@ -126,6 +142,7 @@ class _Page(HTMLParser):
             self._pop()
         n = len(self.tag)
         named = [bool(w) for w in self.side]
+        self.named = named
         if not any(named):
             self._leave_out(named)
             return
@@ -161,8 +178,10 @@ class _Page(HTMLParser):
         elif tag == "br":
             self.text.append((self.open[-1], " "))
         node = len(self.tag)
-        self.never.append(tag in NEVER or (tag == "header" and not (self.count["article"] or self.count["main"])))
-        self.side.append(set() if tag in ("body", "html", "article", "main") else _side_words(attrs))
+        self.never.append(tag in NEVER)
+        self.header.append(tag == "header" and not (self.count["article"] or self.count["main"]))
+        words = set() if tag in ("body", "html", "article", "main") else _side_words(attrs)
+        self.side.append(words | {"form"} if tag == "form" else words)
         self.tag.append(tag)
         self.parent.append(self.open[-1])
         self.linked.append(tag == "a" or self.linked[self.open[-1]])
@@ -224,6 +243,73 @@ def _around(page: _Page, core: int) -> int:
     return block
 
 
+def _sizes(page: _Page) -> list[tuple[int, int]]:
+    """Characters outside and inside links of every subtree."""
+    n = len(page.tag)
+    free, linked = [0] * n, [0] * n
+    for node, data in page.text:
+        if data and not page.out[node]:
+            size = sum(map(len, data.split()))
+            if page.linked[node]:
+                linked[node] += size
+            else:
+                free[node] += size
+    for k in range(n - 1, 0, -1):
+        free[page.parent[k]] += free[k]
+        linked[page.parent[k]] += linked[k]
+    return list(zip(free, linked, strict=True))
+
+
+def _beside(page: _Page, block: int, taken: list[bool], sizes: list[tuple[int, int]]) -> None:
+    """Take the sections and articles beside the core's own, on every level up to the body, unless links outweigh their text."""
+    path = {}
+    k = block
+    while k > 0 and page.tag[k] not in ("body", "html"):
+        if page.tag[k] in ("section", "article"):
+            path[page.parent[k]] = page.tag[k]
+        k = page.parent[k]
+    for k in range(1, len(page.tag)):
+        if not page.out[k] and path.get(page.parent[k]) == page.tag[k] and sizes[k][0] > sizes[k][1]:
+            taken[k] = True
+
+
+def _own_headers(page: _Page, taken: list[bool]) -> None:
+    """Headers with a heading inside the taken region are no longer left out."""
+    heads, inside = set(), [0] * len(page.tag)
+    for k in range(1, len(page.tag)):
+        up = page.parent[k]
+        inside[k] = k if page.header[k] and not page.never[k] and not page.named[k] and taken[up] and not page.out[up] else \
+            inside[up] if inside[up] and not (page.never[k] or page.named[k]) else 0
+        if page.tag[k] in HEADINGS:
+            heads.add(inside[k])
+    for k in range(1, len(page.tag)):
+        if inside[k] in heads - {0}:
+            page.out[k], taken[k] = False, True
+
+
+def _menus(page: _Page, taken: list[bool]) -> None:
+    """Blocks of two links or more without another word are taken back."""
+    n = len(page.tag)
+    words, linked, links = [0] * n, [0] * n, [0] * n
+    for node, data in page.text:
+        if data and not page.out[node]:
+            size = sum(c.isalnum() for c in data)
+            if page.linked[node]:
+                linked[node] += size
+            else:
+                words[node] += size
+    for k in range(n - 1, 0, -1):
+        up = page.parent[k]
+        words[up] += words[k]
+        linked[up] += linked[k]
+        links[up] += links[k] + (page.tag[k] == "a" and linked[k] > 0)
+    gone = [False] * n
+    for k in range(1, n):
+        gone[k] = gone[page.parent[k]] or (page.tag[k] in BLOCK and page.tag[k] not in HEADINGS and links[k] > 1 and not words[k])
+        if gone[k]:
+            taken[k] = False
+
+
 def main_text(html: str | None) -> str:
     page = _Page()
     page.feed(html or "")
@@ -247,9 +333,13 @@ def main_text(html: str | None) -> str:
     for k in alive:
         if density[k] >= least and density[k] > 0:
             taken[best[k]] = True
-    taken[_around(page, core)] = True
+    block = _around(page, core)
+    taken[block] = True
+    _beside(page, block, taken, _sizes(page))
     for k in range(1, n):
         taken[k] = taken[k] or taken[page.parent[k]]
+    _own_headers(page, taken)
+    _menus(page, taken)
     blocks: list[str] = []
     now: list[str] = []
     for node, data in [*page.text, (0, None)]:

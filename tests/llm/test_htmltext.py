@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 
 from panelcast.llm import htmltext as h
@@ -87,3 +90,102 @@ SIDEBAR = f'<div class="{{}}"><p>{LONG}</p></div>'
 ])
 def test_names_of_containers(html):
     assert h.main_text(html) == EXPECTED
+
+
+SHORT = "A short closing part."
+
+
+@pytest.mark.parametrize(("body", "lines"), [
+    (f"<div><section><p>{LONG}</p><p>{LONG}</p></section><section><h2>More</h2><p>{SHORT}</p></section></div>", [LONG.strip(), LONG.strip(), "More", SHORT]),
+    (f"<article><p>{LONG}</p><p>{LONG}</p></article><article><p>{SHORT}</p></article>", [LONG.strip(), LONG.strip(), SHORT]),
+    (f'<div class="content"><header><h1>A title</h1></header><p>{LONG}</p><p>{LONG}</p></div>', ["A title", LONG.strip(), LONG.strip()]),
+    (f"<article><p>{LONG}</p><form><p>Write your name here please <input></p></form><p>{LONG}</p></article>", [LONG.strip(), LONG.strip()]),
+    (f"<form id=aspnet><div><p>{LONG}</p><p>{LONG}</p></div></form>", [LONG.strip(), LONG.strip()]),
+    (f"<div><div><a href=1>Home page</a> | <a href=2>All the news</a></div><p>{LONG}</p><p>{LONG}</p></div>", [LONG.strip(), LONG.strip()]),
+    (f"<article><p>{LONG}</p><p><a href=1>One source</a></p><p>See <a href=2>this</a> and <a href=3>that</a></p></article>",
+     [LONG.strip(), "One source", "See this and that"]),
+])
+def test_parts_of_the_article(body, lines):
+    assert h.main_text(page(body)).split("\n") == lines
+
+
+@pytest.mark.parametrize("name", ["commentlist", "post-comments-area", "userComments", "eu-cookie-law", "left-sidebar-wrapper", "CommentThread",
+                                  "ad-box", "adBox", "site_sidebar_left", "newsletterForm"])
+def test_compound_names_of_boilerplate(name):
+    for attr in ("class", "id"):
+        assert h.main_text(page(f'{ARTICLE}<div {attr}="{name}"><p>{LONG}</p></div>')) == EXPECTED
+        assert h.main_text(page(f'<div {attr}="{name}"><p>{LONG}</p></div><div class="text">{ARTICLE}</div>')) == EXPECTED
+
+
+@pytest.mark.parametrize("name", ["no-sidebar", "has-comments", "with-sidebar", "commentary", "market-share-report", "badge", "loading", "shadow-box"])
+def test_other_names_stay(name):
+    inner = ARTICLE.replace("<article>", "").replace("</article>", "")
+    assert h.main_text(page(f'<div class="{name}">{inner}</div>')) == EXPECTED
+
+
+def recursive_densities(node, share):
+    """(density, sum over children, chars, link chars, tags, link tags) of a random tree (tag, parts), by recursion; page order."""
+    out = []
+
+    def walk(node, linked):
+        place = len(out)
+        out.append(None)
+        tag, parts = node
+        linked = linked or tag == "a"
+        c = lc = t = lt = 0
+        total = 0.0
+        for part in parts:
+            if isinstance(part, str):
+                n = len("".join(part.split()))
+                c += n
+                lc += n * linked
+            else:
+                d, _, *below = walk(part, linked)
+                total += d
+                c, lc, t, lt = c + below[0], lc + below[1], t + below[2] + 1, lt + below[3] + (part[0] == "a")
+        density = 0.0
+        if c:
+            base = max(math.log(c / max(c - lc, 1) * lc + share * c + math.e), 1.5)
+            density = c / max(t, 1) * max(math.log(c * max(t, 1) / (max(lc, 1) * max(lt, 1))), 0.0 if lc else 0.1) / math.log(base)
+        out[place] = (density, total, c, lc, t, lt)
+        return out[place]
+
+    walk(node, False)
+    return out
+
+
+def test_densities_match_a_recursive_version():
+    rnd = random.Random(3)
+
+    def tree(depth):
+        tag = rnd.choice(["div", "section", "p", "b", "a", "ul"] if depth else ["div"])
+        parts = [rnd.choice(["some words ", "x", LONG]) if depth == 4 or rnd.random() < 0.5 else tree(depth + 1) for _ in range(rnd.randint(1, 4))]
+        return tag, [p for p in parts if isinstance(p, str) or tag not in ("p", "a") or p[0] == "b"]
+
+    def html(node):
+        return f"<{node[0]}>" + "".join(p if isinstance(p, str) else html(p) for p in node[1]) + f"</{node[0]}>"
+
+    def flat(node, up=-1, out=None):
+        out = [] if out is None else out
+        place = len(out)
+        out.append((node[0], up))
+        for part in node[1]:
+            if not isinstance(part, str):
+                flat(part, place, out)
+        return out
+
+    checked = 0
+    for _ in range(300):
+        root = ("#root", [tree(0)])
+        parsed = h._Page()
+        parsed.feed(html(root[1][0]))
+        parsed.close()
+        parsed.finish()
+        if list(zip(parsed.tag, parsed.parent, strict=True)) != flat(root):  # the parser closed a paragraph or link that holds a block
+            continue
+        whole = recursive_densities(root, 0.0)[0]
+        want = recursive_densities(root, whole[3] / max(whole[2], 1))
+        density, total = h._densities(parsed)
+        assert density == pytest.approx([w[0] for w in want]) and total == pytest.approx([w[1] for w in want])
+        checked += 1
+    assert checked > 100
