@@ -3,7 +3,10 @@
 Tokenizer A is a byte-level BPE (a ``tokenizers`` JSON file), B a piece model
 with byte fallback (a ``sentencepiece`` file).  Every whole text is tokenised by
 both, A reading a space before the text, which B adds itself.  Tokens whose
-bytes do not join to exactly that are not aligned.
+bytes do not join to exactly that are not aligned.  Where a text has only
+characters that all libraries class alike, and A's ids are in the order of its
+merges, A's vocabulary and merges are run by ``tiktoken``, which takes a quarter of
+the time and gives the same ids; other texts are run by ``tokenizers``.
 
 Where a token of A and a token of B both begin with a space at the same byte,
 both have a token that ends there: an anchor, verified on the two end lists.
@@ -34,6 +37,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -44,6 +48,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -53,6 +58,9 @@ from panelcast.session import checkpoint_dir
 MEMO = 300_000  # windows kept per task; beyond, the memory begins anew
 MEMO_IDS = 64  # longer windows seldom come again and are aligned each time
 TOGETHER = 400_000  # characters tokenised and aligned in one call
+# Byte-level BPE's pattern, and characters that all libraries class alike (fixed values): Latin, general punctuation, euro.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+ALIKE = re.compile("[\x00-\u024f\u2010-\u2027\u20ac]*")
 SPACE = "▁"  # B's sign for a space (fixed value)
 
 COMMA, BAR, SEMICOLON, LINE = range(4)  # what stands before a token's id
@@ -73,6 +81,7 @@ class Sides:
     def __init__(self, a_file: bytes, b_file: bytes) -> None:
         self.a = Tokenizer.from_str(a_file.decode())
         self.a.encode_special_tokens = True
+        self.fast = ranked(a_file)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_file)
         self.a_bytes, self.b_bytes = a_tokens(a_file), b_tokens(self.b)
         self.a_size, self.b_size = (np.array([len(x) for x in t]) for t in (self.a_bytes, self.b_bytes))
@@ -80,8 +89,10 @@ class Sides:
         self.a_space, self.b_space = (np.array([x[:1] == b" " for x in t]) for t in (self.a_bytes, self.b_bytes))
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        return [x.ids for x in a], self.b.encode(texts, num_threads=1)
+        rest = [k for k, t in enumerate(texts) if self.fast is None or not ALIKE.fullmatch(t)]
+        found = dict(zip(rest, self.a.encode_batch_fast([" " + texts[k] for k in rest], add_special_tokens=False), strict=True))
+        a = [found[k].ids if k in found else self.fast.encode_ordinary(" " + t) for k, t in enumerate(texts)]
+        return a, self.b.encode(texts, num_threads=1)
 
     def whole(self, text: str, a: list[int], b: list[int]) -> bool:
         """Whether both sides' tokens join to the text with a space before it."""
@@ -89,6 +100,21 @@ class Sides:
         return b"".join([self.a_bytes[i] for i in a]) == want and b"".join([self.b_bytes[i] for i in b]) == want
 
 
+def ranked(a_file: bytes) -> tiktoken.Encoding | None:
+    """A's own vocabulary and merges for the faster library, if its ids are in the order of the merges and it splits by PATTERN alone."""
+    spec = json.loads(a_file)
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not spec.get("normalizer") \
+        and not any(model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix"))
+    merged = [model["vocab"][m.replace(" ", "") if isinstance(m, str) else "".join(m)] for m in model["merges"]]
+    if not plain or any(x >= y for x, y in zip(merged, merged[1:], strict=False)):
+        return None
+    alphabet = byte_alphabet()
+    added = {t["id"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(alphabet[c] for c in t): i for t, i in model["vocab"].items() if i not in added}
+    return tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def a_tokens(a_file: bytes) -> list[bytes]:
     spec = json.loads(a_file)
     alphabet = byte_alphabet()

@@ -119,3 +119,17 @@ def test_registered_query(spark, both):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     rows = {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in q.QUERIES["op13_token_align"](spark, sf).collect()}
     assert [rows[i] for i, _ in docs] == brute(both, [x for _, x in docs])
+
+
+def test_both_libraries_split_alike(both):
+    assert both.fast is not None
+    plain = lambda x: both.a.encode(" " + x, add_special_tokens=False).ids
+    for k in [*range(0x250), *range(0x2010, 0x2028), 0x20AC]:
+        c = chr(k)
+        for x in (c, f"a{c}b", f"{c}{c} {c}", f"1{c}'s", f"\n{c} \n", f"  {c}1"):
+            assert t.ALIKE.fullmatch(x) and both.encode([x])[0][0] == plain(x), (k, x)
+    rnd = random.Random(7)
+    for _ in range(500):
+        x = messy(rnd, rnd.randint(0, 30))
+        assert both.encode([x])[0][0] == plain(x)
+    assert not t.ALIKE.fullmatch("中") and not t.ALIKE.fullmatch("a\U0001f600")
