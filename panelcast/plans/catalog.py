@@ -864,8 +864,35 @@ def q_random_forest_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tree_blocked(spark, sf_dir, "random_forest", {"max_depth": 8})
 
 
+def _block_model(spark: SparkSession, sf_dir: str, name: str, **options) -> DataFrame:
+    """Fold metrics of one of the block models for every held-out year."""
+    from panelcast.operators.folds import assign_blocked_folds
+    from panelcast.operators.models import make_model_spec
+    from panelcast.plans.weekly import block_model_predictions, fold_metrics
+    from panelcast.session import cut_lineage
+    assigned = assign_blocked_folds(cut_lineage(pairs(spark, sf_dir)), ("year",))
+    preds, details = block_model_predictions(assigned, SPEC, make_model_spec(name, random_state=SEED), split_type="year", **options)
+    return round_doubles(fold_metrics(preds, THRESHOLD, details).drop("fit_seconds"))
+
+
+def q_extra_trees_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """200 extra trees, max_features tuned inside every held-out year."""
+    return _block_model(spark, sf_dir, "extra_trees")
+
+
 def q_gbt_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tree_blocked(spark, sf_dir, "xgboost", {"max_depth": 2})
+    """250 rounds of boosting at depth 2 for every held-out year."""
+    return _block_model(spark, sf_dir, "xgboost", tune=False, param_grid={"max_depth": [2]})
+
+
+def q_ann_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The net with two hidden layers for every held-out year, 40 epochs of four batches at a rate of 0.01."""
+    return _block_model(spark, sf_dir, "ann", tune=False, epochs=40, rate=0.01)
+
+
+def q_svr_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kernel machine on 100 landmarks, C tuned inside every held-out year."""
+    return _block_model(spark, sf_dir, "svm")
 
 
 # ------------------------------------------------ daily KNN grid search
@@ -876,18 +903,17 @@ def _daily_long(spark: SparkSession, sf_dir: str, horizons) -> DataFrame:
 
 
 def q_knn_grid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cv_results of the 20-point KNN grid (5-fold CV, 7-day horizon), test scores."""
+    """cv_results of the 20-point KNN grid (5-fold CV, 7-day horizon), test and train scores."""
     from panelcast.plans.daily import knn_grid_search
-    cv_results, _, _, _ = knn_grid_search(_daily_long(spark, sf_dir, [7]), panel.FEATURES, "y",
-                                          ["site", "Date"], seed=SEED, train_scores=False)
+    cv_results, _, _, _ = knn_grid_search(_daily_long(spark, sf_dir, [7]), panel.FEATURES, "y", ["site", "Date"], seed=SEED)
     return round_doubles(cv_results.withColumnRenamed("split_type", "horizon_days"))
 
 
 def q_horizon_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Horizons 1-7: KNN grid search per horizon, all in one plan."""
+    """Horizons 1 to 7: KNN grid search per horizon, all in one plan."""
     from panelcast.plans.daily import horizon_comparison
     return round_doubles(horizon_comparison(_daily_long(spark, sf_dir, range(1, 8)), panel.FEATURES,
-                                            "y", ["site", "Date"], seed=SEED))
+                                            "y", ["site", "Date"], seed=SEED, train_scores=False))
 
 
 def q_polynomial_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -928,6 +954,35 @@ def q_shapley_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(linear_shapley(sample, panel.FEATURES, ["site", "Date"], beta))
 
 
+def _tuned_knn(spark: SparkSession, sf_dir: str):
+    """KNN tuned on the weekly pairs (random split, 5-fold grid search), fitted on the training rows; and the test rows."""
+    from panelcast.operators.explain_knn import KnnModel
+    from panelcast.operators.ranking import exact_split
+    from panelcast.plans.daily import knn_grid_search
+    from panelcast.session import cut_lineage
+    keys = ["site", "current_date"]
+    d = cut_lineage(pairs(spark, sf_dir).select(F.lit(7).alias("horizon_days"), *keys, *panel.FEATURES, F.col("total_target").alias("y")))
+    _, best, _, _ = knn_grid_search(d, panel.FEATURES, "y", keys, seed=SEED, train_scores=False)
+    g = best.first()  # one row
+    parts = cut_lineage(exact_split(d, keys, test_size=0.2, seed=SEED, by=["horizon_days"]))
+    model = KnnModel(parts.where("NOT is_test"), panel.FEATURES, "y", keys, k=g["n_neighbors"], weights=g["weights"], p=g["p"])
+    return model, parts.where("is_test"), keys
+
+
+def q_knn_permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Permutation importance (30 repeats) of the tuned KNN on the test rows."""
+    from panelcast.operators.explain_knn import permutation_importance
+    model, test, keys = _tuned_knn(spark, sf_dir)
+    return round_doubles(permutation_importance(model, test, "y", keys, n_repeats=30, seed=SEED))
+
+
+def q_knn_shapley_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapley values of the tuned KNN for a fixed sample of 60 test rows, all coalitions of the five features."""
+    from panelcast.operators.explain_knn import shapley_values
+    model, test, keys = _tuned_knn(spark, sf_dir)
+    return round_doubles(shapley_values(model, test, keys, max_samples=60, seed=SEED))
+
+
 def q_iforest_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Isolation-forest outlier report (0.5 % contamination) per raw measure."""
     from panelcast.operators.outliers import flag_outliers, isolation_forest_scores
@@ -949,17 +1004,25 @@ def q_blocked_validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(summary)
 
 
-def q_knn_nested_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """KNN with the 20-point grid tuned by inner group k-fold CV inside every
-    held-out year (nested), scored per fold."""
+def _knn_nested(spark: SparkSession, sf_dir: str, split_type: str) -> DataFrame:
     from panelcast.operators.folds import assign_blocked_folds
     from panelcast.plans.weekly import fold_metrics, knn_nested_predictions
     from panelcast.session import cut_lineage
-    assigned = assign_blocked_folds(cut_lineage(pairs(spark, sf_dir)), ("year",))
-    preds, details = knn_nested_predictions(assigned, SPEC, split_type="year")
+    assigned = assign_blocked_folds(cut_lineage(pairs(spark, sf_dir)), (split_type,))
+    preds, details = knn_nested_predictions(assigned, SPEC, split_type=split_type)
     return round_doubles(fold_metrics(preds, THRESHOLD, details).drop("fit_seconds"))
 
 
+def q_knn_nested_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KNN with the 20-point grid tuned by inner group k-fold CV inside every held-out year (nested), scored per fold."""
+    return _knn_nested(spark, sf_dir, "year")
+
+
+def q_knn_nested_station_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same inside every held-out station-year."""
+    return _knn_nested(spark, sf_dir, "station_year")
+
+
 def q_ridge_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Polynomial ridge, alpha in {1, 10} tuned by nested group k-fold CV per held-out year."""
     from panelcast.operators.folds import assign_blocked_folds
@@ -1024,9 +1087,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "polynomial_blocked": q_polynomial_blocked,
     "permutation_importance": q_permutation_importance,
     "shapley_values": q_shapley_values,
+    "knn_permutation_importance": q_knn_permutation_importance,
+    "knn_shapley_values": q_knn_shapley_values,
     "iforest_outliers": q_iforest_outliers,
     "blocked_validation_summary": q_blocked_validation_summary,
     "knn_nested_year": q_knn_nested_year,
+    "knn_nested_station_year": q_knn_nested_station_year,
+    "horizon_comparison": q_horizon_comparison,
+    "extra_trees_blocked": q_extra_trees_blocked,
+    "gbt_blocked": q_gbt_blocked,
+    "ann_blocked": q_ann_blocked,
+    "svr_blocked": q_svr_blocked,
     "ridge_nested_year": q_ridge_nested,
     "observed_dataset": q_observed_dataset,
     "weekly_dataset": q_weekly_dataset,

@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 from panelcast.functions.cleaning import clean_numeric_frame
 from panelcast.functions.labels import clip_nonnegative
 from panelcast.operators.baselines import baseline_predictions
+from panelcast.operators.boosting import boosted_predictions
+from panelcast.operators.extra_trees import extra_trees_predictions
 from panelcast.operators.folds import assign_blocked_folds, blocked_fold_sizes, nested_group_folds, split_group_column
 from panelcast.operators.foldstats import complement_median, complement_moments
 from panelcast.operators.knn import fold_score, knn_neighbours, knn_predict, knn_rows, parameter_grid
 from panelcast.operators.knn_tuning import nested_scores
 from panelcast.operators.linear import fit_blocked_linear, predict_blocked_linear, tune_blocked_ridge
 from panelcast.operators.metrics import event_metric_columns, summarize_fold_metrics, summarize_pooled_predictions
-from panelcast.operators.models import fit_blocked_spark_ml, make_model_spec
+from panelcast.operators.kernel_svr import svr_predictions
+from panelcast.operators.models import ModelSpec, fit_blocked_spark_ml, make_model_spec
+from panelcast.operators.neural import neural_predictions
 from panelcast.operators.select import extract_features, quote
 from panelcast.operators.series import add_total, site_day_mean, weekly_pairs
 from panelcast.session import cut_lineage
@@ -221,7 +225,8 @@ def evaluate_blocked_validation(pairs: DataFrame, spec: PanelSpec, *, split_type
                                                inner_cv=inner_cv)
                 found.append((model_rows(pr, spec, name, ms.label), det))
         else:
-            raise ValueError(f"model {name!r} has no Spark-native estimator yet")
+            found = [block_model_predictions(assigned, spec, ms, split_type=st, medians=medians, inner_cv=inner_cv, tune=tune)
+                     for st in dict.fromkeys(split_types)]
         parts += [pr for pr, _ in found]
         details += [det for _, det in found]
     base = baseline_predictions(assigned, current=spec.target, target=spec.target_out,
@@ -234,6 +239,32 @@ def evaluate_blocked_validation(pairs: DataFrame, spec: PanelSpec, *, split_type
     return fm, preds, summarize_fold_metrics(fm), summarize_pooled_predictions(preds, threshold)
 
 
+def block_model_predictions(assigned: DataFrame, spec: PanelSpec, ms: ModelSpec, *, split_type: str, medians: DataFrame | None = None,
+                            inner_cv: int = 5, tune: bool = True, param_grid: dict | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """Predictions and fit details of extra trees, boosting, the neural net or the kernel machine for every fold of a split type.
+
+    ``options`` go to the model's own function and override the registry's fixed values.
+    """
+    ids, f = pair_ids(spec), ms.fixed
+    common = dict(split_type=split_type, param_grid=param_grid or ms.param_grid, inner_cv=inner_cv, tune=tune)
+    args = (assigned, spec.features, spec.target_out, ids)
+    if ms.kind == "extra_trees":
+        fixed = dict(n_estimators=f["n_estimators"], min_samples_leaf=f["min_samples_leaf"], seed=f["seed"])
+        pred, details = extra_trees_predictions(*args, **common, **(fixed | options))
+    elif ms.kind == "boosting":
+        fixed = dict(n_estimators=f["n_estimators"], learning_rate=f["learning_rate"], subsample=f["subsample"], colsample=f["colsample_bytree"],
+                     lam=f["reg_lambda"], seed=f["seed"], medians=medians)
+        pred, details = boosted_predictions(*args, **common, **(fixed | options))
+    elif ms.kind == "neural":
+        pred, details = neural_predictions(*args, **common, **(dict(epochs=f["max_iter"], rate=f["learning_rate"], seed=f["seed"], medians=medians) | options))
+    elif ms.kind == "kernel":
+        pred, details = svr_predictions(*args, **common, **(dict(medians=medians) | options))
+    else:
+        raise ValueError(f"model {ms.name!r} is not one of the block models")
+    part = assigned.where(F.col("split_type") == split_type)
+    return model_rows(part.join(pred, ["split_type", "fold", *ids]), spec, ms.name, ms.label), details
+
+
 def _inner_table(part: DataFrame, inner: DataFrame, columns: list[str]) -> DataFrame:
     """The inner validation problems as split types of their own: each row once for every outer fold it trains."""
     return cut_lineage(part.join(inner.select("outer", "fold", "inner"), "fold").select(
