@@ -985,14 +985,14 @@ def q_knn_shapley_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_iforest_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Isolation-forest outlier report (0.5 % contamination) per raw measure."""
-    from panelcast.operators.outliers import flag_outliers, isolation_forest_scores
+    from panelcast.operators.outliers import flag_outliers, isolation_forest_columns
     raw = panel.read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", F.col("l_quantity").alias("qty"),
         F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("part_a"),
         F.col("l_tax").alias("part_b"))
     ids = ["l_orderkey", "l_linenumber"]
-    scores = isolation_forest_scores(raw, panel.MEASURES, ids, seed=SEED)
-    _, report = flag_outliers(raw, panel.MEASURES, ids, contamination=0.005, scores=scores)
+    scored = isolation_forest_columns(raw, panel.MEASURES, ids, seed=SEED)
+    _, report = flag_outliers(raw, panel.MEASURES, ids, contamination=0.005, scored=scored)
     return round_doubles(report)
 
 

@@ -55,3 +55,14 @@ def test_columns_without_values_have_no_outliers(spark):
     rows = {r["column"]: r for r in report.collect()}
     assert (rows["e"]["original_non_nan"], rows["e"]["filtered_non_nan"], rows["e"]["outliers"]) == (0, 0, 0)
     assert filtered.count() == 30
+
+
+def test_percentile_brackets_are_narrowed(spark, monkeypatch):
+    monkeypatch.setattr("panelcast.operators.outliers.SORTED_VALUES", 20)
+    rng = np.random.default_rng(3)
+    vals = {"c": rng.normal(size=3000), "t": np.round(rng.normal(size=2500), 1), "one": np.full(400, 7.0), "few": np.array([1.0, 2.0])}
+    df = spark.createDataFrame([(c, float(x)) for c, v in vals.items() for x in v] + [("c", None), ("none", None)], "`column` string, v double").repartition(5)
+    for q in (0.0, 0.005, 0.37, 1.0):
+        got = {r["column"]: r["threshold"] for r in exact_percentile(df, ["column"], "v", q).collect()}
+        assert got.keys() == vals.keys()
+        assert all(abs(got[c] - np.percentile(v, 100 * q)) < 1e-12 for c, v in vals.items())
