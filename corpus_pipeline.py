@@ -5,6 +5,13 @@ before it kept, and returns a DataFrame; all but the last return the columns
 of ``documents``.  ``run`` writes each stage as Parquet into the shared folder
 of ``spark.checkpoint.dir`` and reads it again, so that a lost executor costs
 at most the stage at hand.
+
+Odd input, in every stage: null and empty texts have no words, fail the quality
+rules and go there; texts of any length are taken whole; rows without id are told
+apart by their texts, and rows that repeat id and text are copies, of which
+near-dedup keeps one; ties go to the smaller id; an empty table stays empty; further
+columns pass through to the end, whatever their names (mixing adds ``copy`` and
+``shuffle_key``), but for ``__n_lines``, ``__n_removed``, ``__copy`` and ``__order``.
 """
 
 from __future__ import annotations

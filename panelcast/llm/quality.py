@@ -25,7 +25,9 @@ Results for odd input:
 * labels with NULL quality are left out; of several labels of one document
   each counts; labels of unknown documents do not count;
 * repeated rows get equal verdicts; an empty table gives an empty table;
-* further columns pass through ``judge`` unchanged.
+* very long texts are measured whole;
+* further columns pass through ``keep_good`` unchanged, whatever their names, and
+  through ``judge`` but for the names that it adds.
 """
 
 from __future__ import annotations
@@ -196,5 +198,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """
     slim = measured(docs.select(id_col, text_col, stratum_col), text_col).select(id_col, stratum_col, "__m")
     cutoffs = learn_cutoffs(slim, labels, id_col, stratum_col)
-    return judge(measured(docs, text_col), cutoffs, stratum_col).where("__kept").select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")  # columns of any name go through unchanged
+    held = docs.select(F.col(text_col).alias("__text"), F.col(stratum_col).alias("__stratum"), whole)
+    return judge(measured(held, "__text"), cutoffs, "__stratum").where("__kept").select("__row.*")

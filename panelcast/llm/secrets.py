@@ -14,7 +14,9 @@ with the smallest hash (a documented, bounded sample).
 Results for odd input: null and empty texts have no candidates; whole texts
 are searched; equal candidates in one text are separate rows; without findings
 of both labels there is nothing to learn, and every candidate gets the only
-label seen (probability 0 without any); only the named columns are read.
+label seen (probability 0 without any); findings with equal hashes are chosen in
+the order of their features; an empty table has no candidates; very long texts
+are searched whole; only the named columns are read, so clashing names do no harm.
 """
 
 from __future__ import annotations

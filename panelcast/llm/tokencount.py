@@ -18,7 +18,8 @@ Results for odd input: null and empty texts count 0; a text without a place to
 cut is one segment; whole texts are counted; edits are given in code points of
 the text before any edit, end exclusive, must not overlap, and are clipped to
 the text; edits at one place apply in their order; rows without edits keep
-their count; repeated rows give repeated results.
+their count; repeated rows give repeated results; an empty table gives an empty
+result; only the named columns are read, so clashing names do no harm.
 """
 
 from __future__ import annotations

@@ -12,8 +12,9 @@ blocks fits and none that allows does.
 
 Results for odd input: a NULL URL, or one without ``://``, has empty host and
 path, fits no rule and is allowed; ties cannot occur among base rules, as one
-URL fits at most one rule of a given length; repeated rows give repeated
-results; an empty table gives an empty table.
+URL fits at most one rule of a given length; URLs of any length are judged
+whole; repeated rows give repeated results; an empty table gives an empty table;
+only the named columns are read, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm.common import small_side
+from panelcast.session import cut_lineage
 
 TOKEN = r"[a-z0-9]+"
 
@@ -77,22 +79,31 @@ def _tokens(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(_ascii_lower(c), F.lit(f"({TOKEN})"), F.lit(1)))
 
 
-def rule_index(spark: SparkSession, urls: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+def rules_table(spark: SparkSession, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Rules as a table (rule, action, regex, base, tokens); a longer list is read from files with these columns."""
+    return spark.createDataFrame([(r.name, r.action, r.regex, r.base, list(r.tokens)) for r in rules],
+                                 "rule string, action string, regex string, base boolean, tokens array<string>")
+
+
+def rule_index(spark: SparkSession, urls: DataFrame, rules: tuple[Rule, ...] | DataFrame) -> DataFrame:
     """(token, rule columns): each rule under its rarest token, counted over all ``urls`` (column __tokens).
 
     A rule without a literal token stands under the empty token, which every URL holds.
     """
-    rows = [(r.name, r.action, r.regex, r.base, t) for r in rules for t in (r.tokens or ("",))]
-    spread = spark.createDataFrame(rows, "rule string, action string, regex string, base boolean, token string")
-    wanted = sorted({t for *_, t in rows})
-    counts = urls.select(F.explode(F.array_intersect("__tokens", F.array(*[F.lit(t) for t in wanted]))).alias("token")) \
-        .groupBy("token").count()
+    table = rules if isinstance(rules, DataFrame) else rules_table(spark, rules)
+    tokens = F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))
+    spread = cut_lineage(table.select("rule", "action", "regex", "base", F.explode(tokens).alias("token")))
+    wanted = small_side(spread.where("token <> ''").select("token").distinct())
+    counts = urls.select(F.explode("__tokens").alias("token")).join(wanted, "token").groupBy("token").count()
     return spread.join(counts, "token", "left").groupBy("rule", "action", "regex", "base").agg(
         F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), F.col("token"))).alias("token"))
 
 
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(id, host, path, rule, verdict, n_candidates): one row per row of ``pages``."""
+def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] | DataFrame = RULES) -> DataFrame:
+    """(id, host, path, rule, verdict, n_candidates): one row per row of ``pages``.
+
+    ``rules`` may be a table as of ``rules_table``, of any length; each base rule and each pattern has a name of its own.
+    """
     spark = pages.sparkSession
     # rows that repeat a URL are judged once: equal URLs have equal verdicts
     host, path, rest = split_url(F.col("__url"))

@@ -3,6 +3,8 @@ import sys
 from collections import Counter
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from panelcast.llm import decontaminate
 from test_linededup import brute as brute_lines
@@ -68,6 +70,18 @@ def test_stages_keep_the_columns_of_documents(spark, tmp_path, words):
     assert len(corpus_pipeline.STAGES) == 5 and decontaminate.WINDOW == 5
 
 
+def test_clashing_columns_and_rows_without_id(spark, tmp_path, words):
+    write_tables(spark, tmp_path, words)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    names = ["__m", "__key", "__id", "__text", "__stratum", "__cut", "__row", "__kept", "__n"]
+    odd = docs.selectExpr("*", *[f"{k} AS {n}" for k, n in enumerate(names)]).withColumn(
+        "doc_id", F.when(F.col("doc_id") % 9 != 0, F.col("doc_id")))
+    for _, stage in corpus_pipeline.STAGES:
+        odd = stage(spark, odd, str(tmp_path))
+        rows = odd.select(*names).distinct().collect()
+        assert [tuple(r) for r in rows] == [tuple(range(len(names)))]
+
+
 def test_entry_without_the_subpackage(tmp_path):
     """The rest imports when corpus_pipeline.py and the llm folders are gone; other import errors are not swallowed."""
     for name in ("__spark_entry__.py", "panelcast"):

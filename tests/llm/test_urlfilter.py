@@ -45,3 +45,16 @@ def test_rules_stand_under_their_rarest_token(spark):
     urls = spark.createDataFrame([(["free", "a"],), (["free", "bets"],), (["free"],)], "__tokens array<string>")
     index = {r["rule"]: r["token"] for r in u.rule_index(spark, urls, u.RULES).collect()}
     assert index["bets"] == "bets" and index["ads"] == "" and index["example.net/en/"] == "en"
+
+
+def test_many_rules_come_as_a_table(spark, monkeypatch):
+    many = [u.base_rule("block", f"site{k}.example/p{k}/") for k in range(3_000)] + [u.Rule("odd", "block", r"/odd-path/", ("odd", "path"))]
+    urls = ["http://site7.example/p7/x", "http://a.site2999.example/p2999/", "http://site8.example/p7/", "http://x.y/odd-path/", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for wide in (True, False):
+        if not wide:
+            monkeypatch.setattr(u, "small_side", lambda df, limit=0: df)
+        rows = {r["page_id"]: r for r in u.judge_urls(pages, rules=u.rules_table(spark, tuple(many))).collect()}
+        assert [(rows[k]["rule"], rows[k]["verdict"]) for k in range(5)] == [
+            ("site7.example/p7/", "block"), ("site2999.example/p2999/", "block"), (None, "allow"), (None, "block"), (None, "allow")]
+        assert rows[0]["n_candidates"] < 5
