@@ -1093,7 +1093,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "blocked_validation_summary": q_blocked_validation_summary,
     "knn_nested_year": q_knn_nested_year,
     "knn_nested_station_year": q_knn_nested_station_year,
-    "horizon_comparison": q_horizon_comparison,
     "extra_trees_blocked": q_extra_trees_blocked,
     "gbt_blocked": q_gbt_blocked,
     "ann_blocked": q_ann_blocked,
