@@ -200,7 +200,7 @@ def evaluate_blocked_validation(pairs: DataFrame, spec: PanelSpec, *, split_type
     the number of folds; without, ``knn`` runs with k=5, uniform, p=2,
     ``polynomial`` with alpha = 1 and trees with the last point of their grid.
     """
-    pairs = cut_lineage(pairs)
+    pairs = require_rows(cut_lineage(pairs))
     assigned = assign_blocked_folds(pairs, split_types)
     medians = gap_medians(assigned, spec.features, pair_ids(spec))
     parts, details = [], []

@@ -38,21 +38,26 @@ def write_table(df: DataFrame, path: str, *, fmt: str = "csv", partition_by: lis
         w.format(fmt).save(path)
 
 
+INLINE_ROWS = 10_000  # rows of a table that a report holds itself
+
+
 def write_json_report(spark: SparkSession, payload: dict, path: str,
-                      tables: dict[str, DataFrame] | None = None) -> DataFrame:
-    """One-row JSON run record.  Scalars come from ``payload`` (kept as a JSON
-    text column); each entry of ``tables`` becomes an array of row structs
-    built by Spark with a scalar subquery (``collect_list(struct(*))``), so
-    result tables are never collected to the driver.  NULLs stay ``null``."""
-    selects = []
-    spark.createDataFrame([(json.dumps(payload),)], "payload string").createOrReplaceTempView(
-        "__report_payload")
-    selects.append("(SELECT first(payload) FROM __report_payload) AS payload")
-    for i, (name, table) in enumerate((tables or {}).items()):
-        view = f"__report_t{i}"
-        table.createOrReplaceTempView(view)
-        selects.append(f"(SELECT collect_list(struct(*)) FROM {view}) AS `{name}`")
-    out = spark.sql("SELECT " + ", ".join(selects))
+                      tables: dict[str, DataFrame] | None = None, inline_rows: int = INLINE_ROWS) -> DataFrame:
+    """One-row JSON run record in ``path``.  Scalars come from ``payload`` (kept as a JSON text column).
+
+    A table of up to ``inline_rows`` rows becomes an array of row structs; a longer one is written as JSON lines
+    into ``path``-tables/name, by all tasks, and the record holds that path.  Nothing goes through the driver; NULLs
+    stay ``null``.
+    """
+    out = spark.createDataFrame([(json.dumps(payload),)], "payload string")
+    for name, table in (tables or {}).items():
+        if table.limit(inline_rows + 1).count() > inline_rows:
+            place = f"{path.rstrip('/')}-tables/{name}"
+            table.write.mode("overwrite").option("ignoreNullFields", False).json(place)
+            out = out.withColumn(name, F.lit(place))
+        else:
+            rows = table.agg(F.collect_list(F.struct("*")).alias(name))  # one row of at most inline_rows structs
+            out = out.join(F.broadcast(rows))
     out.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
     return out
 

@@ -19,6 +19,15 @@ def test_json_report_and_table(spark):
     assert os.path.isdir(out + "/tbl/horizon_days=7")
 
 
+def test_long_tables_stand_beside_the_report(spark):
+    out = tempfile.mkdtemp(prefix="pc-sink-", dir="/tmp")
+    t = spark.range(50).withColumn("r", F.when(F.col("id") > 9, F.lit(1.5)))
+    write_json_report(spark, {}, out + "/report", {"long": t, "short": t.limit(2)}, inline_rows=20)
+    rec = spark.read.json(out + "/report").first()
+    assert len(rec["short"]) == 2 and rec["long"] == out + "/report-tables/long"
+    assert sorted(map(tuple, spark.read.json(rec["long"]).select("id", "r").collect())) == sorted(map(tuple, t.collect()))
+
+
 def test_summary_display_names(spark):
     cols = ["horizon_days", "split_type", "model", "baseline", "folds", "test_rows"] + [
         f"{m}_mean_sd" for m in ("mae", "rmse", "r2", "pod", "far", "csi")]
