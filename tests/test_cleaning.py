@@ -65,3 +65,26 @@ def test_format_mean_sd(spark):
     df = spark.createDataFrame([(None, None), (1.0, None), (1.0, 0.5)], "m double, s double")
     got = [r[0] for r in df.select(format_mean_sd("m", "s")).collect()]
     assert got == ["NA", "1.0000", "1.0000 +/- 0.5000"]
+
+
+def test_formats_that_cannot_fit_are_not_tried(spark):
+    from panelcast.functions import dates
+    assert dates.format_shape("yyyy-MM-dd") == "%-%-%"
+    assert dates.format_shape("yyyy-MM-dd'T'HH:mm:ss") == "%-%-%t%:%:%"
+    assert dates.format_shape("yyyy[-MM]") is None and dates.format_shape("yyyy_MM") == "%\\_%"
+    texts = ["2020-01-02", " 2020-01-02 ", "2020-01-02 03:04:05", "2020-01-02T03:04:05", "2020-01-02t03:04:05", "1/2/2020",
+             "1/2/2020 3:04", "1/2/2020 3:04:05", "2020/1/2", "2020-1-2", "1-2-2020", "2020-13-01", "x", "", None, "1/2/2020 3",
+             "1999-12-31 23:59:59", "2020-01-02  03:04:05", "1/2/2020\t3:04", "-/-", "2020_01_02"]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    tried = F.coalesce(*[F.try_to_timestamp(F.trim("v"), F.lit(f)) for f in dates.DEFAULT_DATE_FORMATS])
+    rows = df.select("v", parse_any_timestamp("v").alias("got"), tried.alias("want")).collect()
+    assert all(r["got"] == r["want"] for r in rows), rows
+    assert sum(r["want"] is not None for r in rows) >= 8
+
+
+def test_nan_to_null_names_its_column_once(spark):
+    from panelcast.functions.cleaning import nan_to_null
+    df = spark.createDataFrame([(float("nan"),), (None,), (1.5,), (float("inf"),)], "v double")
+    assert [r[0] for r in df.select(nan_to_null(F.col("v"))).collect()] == [None, None, 1.5, float("inf")]
+    nested = nan_to_null(nan_to_null(F.col("cell")))
+    assert str(nested).count("cell") == 1
