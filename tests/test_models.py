@@ -237,3 +237,13 @@ def test_many_folds_are_solved_together(spark, monkeypatch):
         keep = np.array([[1.0, r[3], r[4], r[5]] for r in rows if r[1] != f])
         want = np.linalg.lstsq(keep[:, :3], keep[:, 3], rcond=None)[0]
         assert np.allclose([got[f]["b0"], got[f]["b_0"], got[f]["b_1"]], want) and got[f]["n_train"] == 590
+
+
+def test_fold_metrics_work_out_the_predictions_once(spark):
+    from panelcast.plans.weekly import fold_metrics
+    rows = [("s", f"f{i % 3}", "m", "M", "none", 7, float(i), float(i + 1)) for i in range(9)]
+    preds = spark.createDataFrame(rows, "split_type string, fold string, method string, model string, baseline string, "
+                                        "nominal_horizon_days int, y_true double, v double").withColumn("y_pred", F.sqrt("v"))
+    fm = fold_metrics(preds, 1.0)
+    assert "SQRT" not in fm._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["fold"], r["train_rows"], r["test_rows"]) for r in fm.collect()) == [(f"f{i}", 6, 3) for i in range(3)]
