@@ -38,3 +38,28 @@ def test_fold_medians_are_partition_invariant(spark):
                           panel.FEATURES, ["site", "current_date"])
     cols = ["split_type", "fold", "feature", "median"]
     assert _rows(a, cols) == _rows(b, cols)
+
+
+def test_rows_meet_their_split_wide_means_without_a_shuffle_by_split_type(spark, monkeypatch):
+    """Joined by split type alone, all rows of a split type would be read by one task."""
+    from panelcast.operators import linear
+    from panelcast.operators.foldstats import complement_moments
+
+    a = assign_blocked_folds(catalog.pairs(spark, SF001))
+    seen = {}
+
+    def caught(moved, d):
+        seen["moved"] = moved
+        return plain(moved, d)
+
+    plain = linear._plain_sums
+    monkeypatch.setattr(linear, "_plain_sums", caught)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a table whose size Spark cannot tell
+    try:
+        linear.fold_moments(a, panel.FEATURES, "total_target")
+        for df in (seen["moved"], complement_moments(a, panel.FEATURES)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
