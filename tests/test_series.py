@@ -153,3 +153,33 @@ def test_panel_interpolated_rows_equal_day_span(spark):
             .agg((F.datediff(F.max("time"), F.min("time")) + 1).alias("n"))
             .agg(F.sum("n")).first()[0])
     assert d.count() == span == 24474
+
+
+def test_targets_of_daily_rows_need_one_shuffle_by_site_year(spark):
+    """Rows interpolated inside a site-year already lie where the target windows want them."""
+    from testdata_paths import SF001
+    from panelcast.plans import catalog
+    for q in (catalog.q_multi_horizon_targets, catalog.q_shifted_target_7d):
+        plan = q(spark, SF001)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2  # site-day means; site-years
+
+
+def test_year_column_gives_the_same_targets(spark):
+    from testdata_paths import SF001
+    from panelcast.plans import catalog
+    plain, carried = catalog.daily(spark, SF001), catalog.daily(spark, SF001, "yr")
+    assert carried.where(F.col("yr") != F.year("Date")).isEmpty() and carried.drop("yr").columns == plain.columns
+    for f in (lambda d, **k: shifted_target(d, "total", site="site", **k), lambda d, **k: multi_horizon_targets(d, "total", [1, 7], site="site", **k)):
+        a, b = f(plain), f(carried, year_col="yr")
+        assert a.columns == b.columns and sorted(a.collect()) == sorted(b.collect())
+
+
+def test_quantise_equals_spark_round_and_needs_no_decimal(spark):
+    from panelcast.plans.catalog import half_away, quantise
+    xs = [0.0, -0.0, 0.5, -0.5, 1.5, 2.5, -2.5, 0.49999999999999994, -0.49999999999999994, 4503599627370495.5, 4503599627370496.5,
+          9007199254740993.0, 1e300, -1e300, float("inf"), float("-inf"), float("nan"), None, *[i / 8 for i in range(-40, 40)]]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = df.select((half_away(F.col("x")) + 0.0).alias("a"), (F.round("x") + 0.0).alias("b")).collect()
+    assert all(repr(r["a"]) == repr(r["b"]) for r in got)
+    plan = df.select(quantise(F.col("x")))._jdf.queryExecution().executedPlan().toString()
+    assert "round(" not in plan
