@@ -166,3 +166,39 @@ def test_knn_imputation_matches_brute_force(spark, blocks):
     assert np.allclose(out[["a", "b", "c", "e"]].to_numpy(float), brute_impute(x, 5), atol=1e-12)
     assert impute_knn(df.select("id", "z"), ["z"], ["id"]).where("z IS NOT NULL").count() == 0
     assert impute_knn(df.where("id < 0"), ["a"], ["id"]).count() == 0
+
+
+def test_middle_buckets_are_found_without_a_row_per_fold_and_bucket(spark):
+    """The buckets of each fold's middle training values, from counts alone, against a scan of all buckets."""
+    from panelcast.operators import foldstats
+    rng = np.random.default_rng(5)
+    own = {(st, f, fold): {int(b): int(n) for b, n in zip(rng.choice(300, int(rng.integers(0, 6)), replace=False), rng.integers(1, 5, 6))}
+           for st in ("a", "b") for f in ("p", "q") for fold in map(str, range(40))}
+    own[("a", "p", "big")] = {int(b): 30 for b in range(0, 300, 7)}
+    own[("c", "p", "all")] = {4: 3, 9: 2}  # no training values
+    total = {}
+    for (st, f, _), cells in own.items():
+        for b, n in cells.items():
+            total[(st, f, b)] = total.get((st, f, b), 0) + n
+    folds = spark.createDataFrame([(*k, [(b, n) for b, n in v.items()] or None) for k, v in own.items()] + [("a", "void", "1", None)],
+                                  "split_type string, feature string, fold string, own array<struct<__b: bigint, n_f: bigint>>")
+    got = sorted(tuple(r) for r in foldstats._middle_buckets(
+        folds, spark.createDataFrame([(*k, n) for k, n in total.items()], "split_type string, feature string, __b bigint, n_b bigint")).collect())
+    want = []
+    for (st, f, fold), cells in own.items():
+        values = [b for (s, g, b), n in sorted(total.items()) if (s, g) == (st, f) for _ in range(n - cells.get(b, 0))]
+        for k in sorted({(len(values) - 1) // 2, len(values) // 2}) if values else []:
+            want.append((st, f, fold, values[k], k, k - sum(v < values[k] for v in values)))
+    assert got == sorted(want)
+
+
+def test_value_buckets_are_found_by_bisection(spark):
+    from panelcast.operators.foldstats import with_value_buckets
+    df = spark.range(3000).select(F.lit("g").alias("g"), F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.col("id") * 0.5).alias("value"), F.xxhash64("id").alias("__h"))
+    out, b = with_value_buckets(df, ["g"], buckets=70)
+    rows = out.select("value", "__h", "__cuts", b.alias("b")).collect()
+    for r in rows:
+        lo, eq = sum(c < r["value"] for c in r["__cuts"]), sum(c == r["value"] for c in r["__cuts"])
+        assert r["b"] == lo * 70 + min(int((float(r["__h"]) + 2.0 ** 63) / 2.0 ** 64 * (eq + 1)), eq)
+    plan = out.select(b)._jdf.queryExecution().executedPlan().toString()
+    assert "filter(" not in plan
