@@ -247,3 +247,60 @@ def test_fold_metrics_work_out_the_predictions_once(spark):
     fm = fold_metrics(preds, 1.0)
     assert "SQRT" not in fm._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["fold"], r["train_rows"], r["test_rows"]) for r in fm.collect()) == [(f"f{i}", 6, 3) for i in range(3)]
+
+
+def test_permutation_importance_in_several_passes_is_the_same_and_leaves_no_shuffle(spark, monkeypatch):
+    import time
+    from pathlib import Path
+
+    from panelcast.operators import explain
+    rows = [(i, float(i % 7), float((i * 5) % 11), float(i % 3)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y double")
+
+    def run():
+        got = explain.permutation_importance(df, ["a", "b"], "y", ["id"], explain.linear_predictor({"a": 0.5, "b": -0.25}, 1.0), n_repeats=5, seed=3)
+        return [tuple(r) for r in got.collect()]
+
+    def files():
+        dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {p for d in dirs for p in Path(d).rglob("shuffle_*.data")}
+
+    whole = run()
+    monkeypatch.setattr(explain, "CELLS_AT_ONCE", 1)
+    passes, plain = [], explain.global_index
+
+    def counted(d, *a, **k):
+        passes.append(1)
+        return plain(d, *a, **k)
+
+    monkeypatch.setattr(explain, "global_index", counted)
+    before = files()
+    several = run()
+    assert len(passes) == 1 + 5
+    for x, y in zip(whole, several, strict=True):
+        assert x[0] == y[0] and np.allclose(x[1:], y[1:], rtol=1e-12)
+    for _ in range(50):  # files are removed in the background; the last, small table may keep its own
+        left = len(files() - before)
+        if left <= 8:
+            break
+        time.sleep(0.2)
+    assert left <= 8
+
+
+def test_a_checkpoint_gives_its_shuffles_back(spark):
+    import time
+    from pathlib import Path
+
+    from panelcast.session import cut_lineage
+    dirs = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {p for d in dirs for p in Path(d).rglob("shuffle_*.data")}
+    before = files()
+    df = cut_lineage(spark.range(5000).groupBy((F.col("id") % 100).alias("g")).agg(F.sum("id").alias("s")))
+    assert df.count() == 100 and df.agg(F.sum("s")).first()[0] == 4999 * 2500
+    own = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false")
+    assert own == "false"
+    for _ in range(50):
+        if len(files() - before) <= 2:  # the two small sums above
+            break
+        time.sleep(0.2)
+    assert len(files() - before) <= 2
