@@ -63,3 +63,17 @@ def test_rows_meet_their_split_wide_means_without_a_shuffle_by_split_type(spark,
             assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_rows_meet_the_scale_of_their_split_without_a_shuffle_by_split(spark):
+    from panelcast.operators.knn_tuning import _with_unit
+    rows = spark.range(20).selectExpr("id as rid", "if(id % 2 = 0, 'a', 'b') as split")
+    scale = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "split string, unit array<double>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = _with_unit(rows, scale)
+        assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r["rid"], r["unit"][0]) for r in got.collect()) == [(i, 1.0 + i % 2) for i in range(20)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
