@@ -168,6 +168,39 @@ def test_knn_imputation_matches_brute_force(spark, blocks):
     assert impute_knn(df.where("id < 0"), ["a"], ["id"]).count() == 0
 
 
+@pytest.mark.parametrize("step", [None, 0.5])
+def test_imputation_meets_few_donors_and_is_exact(monkeypatch, step):
+    """The search of one block pair against all distances, with many equal ones, and the number of distances it works out."""
+    import pyarrow as pa
+    from panelcast.operators import impute
+    for name, value in (("DIRECT", 0), ("LEAF", 32), ("GROUP", 4)):
+        monkeypatch.setattr(impute, name, value)
+    rng = np.random.default_rng(11)
+    n, d, k = 6_000, 3, 5
+    x = rng.normal(size=(n, d)) * [100.0, 10.0, 1.0]
+    if step:
+        x = np.round(x / step / 10) * step
+    x[rng.random(x.shape) < 0.1] = np.nan
+    asked = np.flatnonzero(np.isnan(x).any(axis=1))[:800]
+    ids = rng.permutation(n)
+    worked, plain = [], impute._distances
+    monkeypatch.setattr(impute, "_distances", lambda q, c, d: worked.append(len(q) * len(c)) or plain(q, c, d))
+    cells = lambda rows: {f"x{i}": pa.array(x[rows, i], from_pandas=True) for i in range(d)}
+    out = impute._kernel(d, k)(pa.table({"rid": pa.array(asked), **cells(asked)}), pa.table({"i0": pa.array(ids), **cells(np.arange(n))}))
+    got = {}
+    for r in out.to_pylist():
+        got.setdefault((r["rid"], r["col"]), []).append((r["d"], r["i0"], r["v"]))
+    for r in asked:
+        common = (~np.isnan(x) & ~np.isnan(x[r])).sum(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            away = np.sqrt(np.nansum((x - x[r]) ** 2, axis=1) * d / common)
+        for i in np.flatnonzero(np.isnan(x[r])):
+            may = np.flatnonzero((common > 0) & ~np.isnan(x[:, i]))
+            best = may[np.lexsort((ids[may], away[may]))[:k]]
+            assert sorted(got.get((r, i), [])) == [(away[j], ids[j], x[j, i]) for j in best]
+    assert step or sum(worked) < 0.35 * n * len(asked)
+
+
 def test_middle_buckets_are_found_without_a_row_per_fold_and_bucket(spark):
     """The buckets of each fold's middle training values, from counts alone, against a scan of all buckets."""
     from panelcast.operators import foldstats
