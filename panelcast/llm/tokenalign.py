@@ -12,7 +12,7 @@ Where a token of A and a token of B both begin with a space at the same byte,
 both have a token that ends there: an anchor, verified on the two end lists.
 Anchors cut a document into windows of a few ids of each side.  What a window
 aligns to depends on its ids alone, so it is worked out once per pair of id
-tuples and kept: its groups (cut where tokens of both end), and its links (the
+tuples, known by two 64-bit fingerprints, and kept: its groups (cut where tokens of both end), and its links (the
 pair of tokens that end together).  A corpus repeats its words, so nearly every
 window is found by a look-up.
 
@@ -57,7 +57,7 @@ from panelcast.session import checkpoint_dir
 
 MEMO = 300_000  # windows kept per task; beyond, the memory begins anew
 MEMO_IDS = 64  # longer windows seldom come again and are aligned each time
-TOGETHER = 400_000  # characters tokenised and aligned in one call
+TOGETHER = 1_600_000  # characters tokenised and aligned in one call
 # Byte-level BPE's pattern, and characters that all libraries class alike (fixed values): Latin, general punctuation, euro.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ALIKE = re.compile("[\x00-\u024f\u2010-\u2027\u20ac]*")
@@ -197,14 +197,13 @@ class Aligner:
 
     def __init__(self, s: Sides) -> None:
         self.s = s
-        self.memo: dict[tuple, Window] = {}
-
-    def windows(self, a: np.ndarray, cut_a: np.ndarray, end_a: np.ndarray, b: np.ndarray, cut_b: np.ndarray, end_b: np.ndarray) -> list[Window]:
-        """The windows between the given places, from the memory or aligned together."""
-        # the two id tuples, packed as bytes
-        packed_a, packed_b = a.astype(np.int32).tobytes(), b.astype(np.int32).tobytes()
-        keys = [(packed_a[i:j], packed_b[k:m]) for i, j, k, m in zip(*((x * 4).tolist() for x in (cut_a, end_a, cut_b, end_b)), strict=True)]
-        found = list(map(self.memo.get, keys))
+        self.memo: dict[int, tuple[int, Window]] = {}  # by the first fingerprint, with the second
+
+    def windows(self, marks: list[int], checks: list[int], a: np.ndarray, cut_a: np.ndarray, end_a: np.ndarray,
+                b: np.ndarray, cut_b: np.ndarray, end_b: np.ndarray) -> list[Window]:
+        """The windows between the given places, from the memory (both fingerprints must agree) or aligned together."""
+        kept = list(map(self.memo.get, marks))
+        found = [k[1] if k is not None and k[0] == c else None for k, c in zip(kept, checks, strict=True)]
         missing = np.array([k for k, f in enumerate(found) if f is None], dtype=np.int64)
         if len(self.memo) + len(missing) > MEMO:
             self.memo.clear()
@@ -212,10 +211,11 @@ class Aligner:
         for ids, cut, end in ((a, cut_a[missing], end_a[missing]), (b, cut_b[missing], end_b[missing])):
             size = end - cut
             sides += [ids[np.repeat(cut - np.cumsum(size) + size, size) + np.arange(int(size.sum()))], size]
-        for k, window in zip(missing.tolist(), align(*sides, self.s), strict=True):
+        short = (sides[1] + sides[3] <= MEMO_IDS).tolist()
+        for k, window, keep in zip(missing.tolist(), align(*sides, self.s), short, strict=True):
             found[k] = window
-            if len(keys[k][0]) + len(keys[k][1]) <= 4 * MEMO_IDS:
-                self.memo[keys[k]] = window
+            if keep:
+                self.memo[marks[k]] = checks[k], window
         return found
 
     def documents(self, a: list[list[int]], b: list[list[int]]) -> list[tuple[str, int, np.ndarray]]:
@@ -233,7 +233,7 @@ class Aligner:
         if (check[first[which]] != check).any():  # two windows share 64 bits: every window stands for itself
             first = which = np.arange(len(mark))
         end_a, end_b = np.append(cut_a[1:], len(ids_a)), np.append(cut_b[1:], len(ids_b))
-        found = self.windows(ids_a, cut_a[first], end_a[first], ids_b, cut_b[first], end_b[first])
+        found = self.windows(mark[first].tolist(), check[first].tolist(), ids_a, cut_a[first], end_a[first], ids_b, cut_b[first], end_b[first])
         texts = [f[0] for f in found]
         sizes = np.array([f[1] for f in found])
         codes = np.fromiter(chain.from_iterable([f[2] for f in found]), dtype=np.int64)

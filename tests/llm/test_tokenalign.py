@@ -89,6 +89,19 @@ def test_windows_with_equal_fingerprints_stay_apart(both, monkeypatch):
     assert [x[:2] + (x[2].tolist(),) for x in t.Aligner(both).documents(a, b)] == want
 
 
+def test_memory_goes_by_both_fingerprints(both, monkeypatch):
+    """Later documents find earlier windows, also where the first fingerprints of different windows are equal."""
+    plain = t.fingerprints
+    calls = [both.encode([x]) for x in ("the house of the old", "don't the house 345", "the house of the old é")]
+    want = [[y[:2] + (y[2].tolist(),) for y in t.Aligner(both).documents(*c)] for c in calls]
+    for some in (2**64 - 1, 1):
+        monkeypatch.setattr(t, "fingerprints", lambda *x, some=some: plain(*x) & np.uint64(some) if x[-1] == 1 else plain(*x))
+        aligner = t.Aligner(both)
+        assert [[y[:2] + (y[2].tolist(),) for y in aligner.documents(*c)] for c in calls] == want
+        assert all(type(mark) is int and type(check) is int for mark, (check, _) in aligner.memo.items())
+        assert len(aligner.memo) <= 2 or some > 1
+
+
 def test_documents_match_brute_force(spark, both, make_docs, monkeypatch):
     monkeypatch.setattr(t, "MEMO", 50)
     monkeypatch.setattr(t, "TOGETHER", 100)
