@@ -304,3 +304,16 @@ def test_a_checkpoint_gives_its_shuffles_back(spark):
             break
         time.sleep(0.2)
     assert len(files() - before) <= 2
+
+
+def test_forest_passes_are_small_and_change_nothing(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from panelcast.operators.models import NODE_MEMORY_MB, make_model_spec, spark_estimator
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 2))
+    rows = spark.createDataFrame([(float(a), float(b), float(a * b)) for a, b in x], "a double, b double, label double")
+    data = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows)
+    est = spark_estimator(make_model_spec("random_forest"), {"max_depth": 4}).setNumTrees(10)
+    assert est.getCacheNodeIds() and est.getMaxMemoryInMB() == NODE_MEMORY_MB < 256
+    got = est.fit(data).transform(data).select("prediction").collect()
+    assert got == est.copy({est.cacheNodeIds: False, est.maxMemoryInMB: 256}).fit(data).transform(data).select("prediction").collect()
