@@ -317,3 +317,35 @@ def test_forest_passes_are_small_and_change_nothing(spark):
     assert est.getCacheNodeIds() and est.getMaxMemoryInMB() == NODE_MEMORY_MB < 256
     got = est.fit(data).transform(data).select("prediction").collect()
     assert got == est.copy({est.cacheNodeIds: False, est.maxMemoryInMB: 256}).fit(data).transform(data).select("prediction").collect()
+
+
+def test_permuted_values_meet_their_rows_by_hash_and_null_keys_keep_their_order(spark, monkeypatch):
+    import hashlib
+
+    from panelcast.operators import explain
+    rows = [(None if i % 9 == 0 else f"s{i // 9}", i, float(i % 7), float(i % 3)) for i in range(90)]
+    df = spark.createDataFrame(rows, "site string, id long, a double, y double")
+    joins, join = [], type(df).join
+
+    def seen(self, other, *a, **k):
+        out = join(self, other, *a, **k)
+        if "__pos" in self.columns and "__v" in self.columns:
+            joins.append(out)
+        return out
+
+    monkeypatch.setattr(type(df), "join", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = explain.permutation_importance(df, ["a"], "y", ["site", "id"], explain.linear_predictor({"a": 0.5}, 1.0), n_repeats=2, seed=3).collect()
+        plan = joins[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "ShuffledHashJoin" in plan
+    text = lambda *parts: hashlib.md5(":".join(str(p) for p in parts if p is not None).encode()).hexdigest()
+    order = sorted(rows, key=lambda r: text(3, r[0], r[1]))
+    gains = []
+    for r in range(2):
+        donor = sorted(rows, key=lambda x: text(3, "a", r, x[0], x[1]))
+        gains.append(np.mean([(1 + 0.5 * d[2] - o[3]) ** 2 - (1 + 0.5 * o[2] - o[3]) ** 2 for d, o in zip(donor, order, strict=True)]))
+    assert np.isclose(got[0]["importance_mean"], np.mean(gains)) and np.isclose(got[0]["importance_std"], np.std(gains))
