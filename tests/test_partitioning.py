@@ -1,6 +1,9 @@
 """Results must not depend on how the input is partitioned (so a task
 recomputed after an executor loss reproduces the same rows)."""
 
+import math
+
+import pytest
 from pyspark.sql import functions as F
 
 from testdata_paths import SF001
@@ -77,3 +80,19 @@ def test_rows_meet_the_scale_of_their_split_without_a_shuffle_by_split(spark):
         assert sorted((r["rid"], r["unit"][0]) for r in got.collect()) == [(i, 1.0 + i % 2) for i in range(20)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("by", [None, ["kind"]])
+def test_a_split_without_positions_is_the_same_and_moves_no_rows(spark, by):
+    from panelcast.operators.ranking import exact_split
+    # every row twice: ties in hash and key
+    df = spark.range(0, 4000, 1, 4).selectExpr("id div 2 as id", "if(id % 3 = 0, 'x', 'y') as kind", "id * 0.5 as v")
+    key = lambda t: sorted((r["id"], r["kind"], r["is_test"]) for r in t.collect())
+    placed, plain = exact_split(df, ["id"], test_size=0.3, by=by), exact_split(df, ["id"], test_size=0.3, by=by, position=None)
+    assert key(placed) == key(plain)
+    assert plain.where("is_test").count() == sum(math.ceil(0.3 * n) for n in ([1334, 2666] if by else [4000]))
+    big = df.where("id < 1000")
+    assert "is_test" in exact_split(big, ["id"], position=None).columns and exact_split(big.where("id < 0"), ["id"], position=None).isEmpty()
+    # rows of all but one bucket go past the only exchange of rows
+    plan = plain._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1 and "Union" in plan
